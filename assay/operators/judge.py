@@ -148,7 +148,7 @@ def fold_checks(clauses: DataFrame, *by: str) -> DataFrame:
 
 def run_outcome(outcome: Column, position: Column) -> Column:
     """Aggregate: the worst outcome; on a tie, the one recorded first."""
-    return F.max_by(outcome, F.struct(severity(outcome), -position))
+    return F.min_by(outcome, F.struct(-severity(outcome), position))
 
 
 def run_rollup(

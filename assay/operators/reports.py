@@ -51,11 +51,9 @@ def report_junit_counts(results: DataFrame) -> DataFrame:
     )
 
 
-def report_as_of(
-    history: DataFrame, run_id: str, started_at: Column
-) -> DataFrame:
+def report_as_of(history: DataFrame, started_at: Column, run_id: Column) -> DataFrame:
     """A run's results, problems first, with since when each held at that run."""
-    heads = heads_as_of(history, started_at, F.lit(run_id)).select("check_id", "since")
+    heads = heads_as_of(history, started_at, run_id).select("check_id", "since")
     rows = history.where(F.col("run_id") == run_id).withColumn(
         "outcome", known_outcome(F.col("outcome"))
     )

@@ -7,33 +7,33 @@ from pyspark.sql import functions as F
 
 # An error says nothing about the data, so its dataset is scanned again.
 ANSWERED = ("pass", "warn", "fail", "skipped")
-DATASET = ["datasource", "dataset"]
+OF_RUN = ["run_id", "datasource", "dataset"]
 
 
-def answered(dataset_runs: DataFrame, run_id: str | None = None) -> DataFrame:
-    """The datasets an earlier attempt at a run has an answer for."""
-    rows = dataset_runs.where(F.col("outcome").isin(*ANSWERED))
-    return rows if run_id is None else rows.where(F.col("run_id") == run_id)
+def answered(dataset_runs: DataFrame) -> DataFrame:
+    """The datasets of each run an earlier attempt has an answer for."""
+    return dataset_runs.where(F.col("outcome").isin(*ANSWERED)).select(*OF_RUN)
 
 
-def datasets_to_scan(selected: DataFrame, dataset_runs: DataFrame, run_id: str) -> DataFrame:
-    """The selected checks' datasets the run has no answer for yet."""
-    wanted = selected.select(*DATASET).distinct()
-    return wanted.join(answered(dataset_runs, run_id), DATASET, "left_anti")
+def datasets_to_scan(selected: DataFrame, dataset_runs: DataFrame) -> DataFrame:
+    """Datasets of the checks selected for a run that it has no answer for yet.
+
+    `selected` holds `run_id, check_id, datasource, dataset`, for one run that
+    is resumed or for many.
+    """
+    return selected.select(*OF_RUN).distinct().join(answered(dataset_runs), OF_RUN, "left_anti")
 
 
 def unevaluated_checks(
-    selected: DataFrame, dataset_runs: DataFrame, results: DataFrame, run_id: str
+    selected: DataFrame, dataset_runs: DataFrame, results: DataFrame
 ) -> DataFrame:
     """Selected checks a retry passes over although no attempt recorded them."""
-    done = selected.join(answered(dataset_runs, run_id), DATASET, "left_semi")
-    recorded = results.where(F.col("run_id") == run_id).select("check_id")
-    return done.join(recorded, "check_id", "left_anti")
+    done = selected.join(answered(dataset_runs), OF_RUN, "left_semi")
+    return done.join(results.select("run_id", "check_id"), ["run_id", "check_id"], "left_anti")
 
 
 def replace_attempt(results: DataFrame, attempt: DataFrame) -> DataFrame:
     """Results after a retry: an attempt's rows replace its datasets' earlier
     rows of the same run, whatever checks those were of."""
-    scope = attempt.select("run_id", *DATASET).distinct()
-    kept = results.join(scope, ["run_id", *DATASET], "left_anti")
+    kept = results.join(attempt.select(*OF_RUN).distinct(), OF_RUN, "left_anti")
     return kept.unionByName(attempt)

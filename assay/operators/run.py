@@ -101,7 +101,7 @@ def run_suites(
     )
     results = fold_checks(every, *by).join(carried, list(by)).join(names, "check_id")
     totals = run_rollup(
-        results.withColumn("place", F.struct("suite", "position")["position"]),
+        results.withColumn("place", F.struct("suite", "position")),
         "run_id",
         "place",
         fail_on,
