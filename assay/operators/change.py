@@ -109,9 +109,10 @@ def last_runs_backfill(
         .agg(F.array_sort(F.collect_list(sample)).alias("tail"))  # at most `runs` items
     )
     earlier = Window.partitionBy("clause_id").orderBy(SPAN).rowsBetween(-runs, -1)
-    seen = F.flatten(F.collect_list("tail").over(earlier))
-    kept = F.slice(seen, F.greatest(F.size(seen) - runs + 1, F.lit(1)), F.lit(runs))
-    seeds = tails.select("clause_id", SPAN, F.inline(kept)).withColumn("_seed", F.lit(True))
+    seen = tails.withColumn("seen", F.flatten(F.collect_list("tail").over(earlier)))
+    first = F.greatest(F.size("seen") - runs + 1, F.lit(1))
+    kept = F.slice("seen", first, F.lit(runs))
+    seeds = seen.select("clause_id", SPAN, F.inline(kept)).withColumn("_seed", F.lit(True))
     both = rows.withColumn("_seed", F.lit(False)).unionByName(seeds, allowMissingColumns=True)
     inside = Window.partitionBy("clause_id", SPAN).orderBy(*ORDER)
     frame = inside.rowsBetween(-runs, -1)
