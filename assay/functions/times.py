@@ -13,15 +13,16 @@ from pyspark.sql import types as T
 DAY_SECONDS = 86_400
 
 
+def wall_seconds(wall: Column) -> Column:
+    """Whole seconds from 1970-01-01 00:00 on the clock the wall time was read on."""
+    day = F.unix_date(wall.cast("date")).cast("long")
+    return day * DAY_SECONDS + F.hour(wall) * 3600 + F.minute(wall) * 60 + F.second(wall)
+
+
 def wall_micros(wall: Column) -> Column:
-    """Microseconds from 1970-01-01 00:00 on the clock the wall time was read on."""
-    day = wall.cast("date")
-    whole = (
-        F.unix_date(day).cast("long") * DAY_SECONDS
-        + F.hour(wall).cast("long") * 3600
-        + F.minute(wall).cast("long") * 60
-    )
-    return whole * 1_000_000 + (F.extract(F.lit("SECOND"), wall) * 1_000_000).cast("long")
+    """`wall_seconds` to the microsecond."""
+    fraction = F.extract(F.lit("SECOND"), wall) - F.second(wall)
+    return wall_seconds(wall) * 1_000_000 + (fraction * 1_000_000).cast("long")
 
 
 def micros(value: Column, dtype: T.DataType) -> Column:
@@ -33,6 +34,15 @@ def micros(value: Column, dtype: T.DataType) -> Column:
     return wall_micros(value)
 
 
+def seconds(value: Column, dtype: T.DataType) -> Column:
+    """Whole seconds since 1970 of a timestamp, wall time (as UTC) or date."""
+    if isinstance(dtype, T.TimestampType):
+        return F.unix_seconds(value)
+    if isinstance(dtype, T.DateType):
+        return F.unix_date(value).cast("long") * DAY_SECONDS
+    return wall_seconds(value)
+
+
 def to_utc(wall: Column, zone: str = "UTC") -> Column:
     """A wall time of `zone` as the wall time in UTC."""
     return wall if zone == "UTC" else F.convert_timezone(F.lit(zone), F.lit("UTC"), wall)
@@ -40,7 +50,9 @@ def to_utc(wall: Column, zone: str = "UTC") -> Column:
 
 def day_number(value: Column, dtype: T.DataType) -> Column:
     """Whole UTC days since 1970."""
-    return F.floor(micros(value, dtype) / F.lit(DAY_SECONDS * 1_000_000)).cast("long")
+    if isinstance(dtype, T.TimestampType):
+        return F.floor(F.unix_seconds(value) / F.lit(DAY_SECONDS)).cast("long")
+    return F.unix_date(value.cast("date")).cast("long")
 
 
 def newest_instant(newest: Column, dtype: T.DataType, zone: str) -> Column:

@@ -11,9 +11,17 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.times import DAY_SECONDS, day_number
+from assay.functions.times import day_number
 from assay.operators.judge import message_of, outcome_of
-from assay.operators.ordered import SPAN, newest_per_key, newest_row, running, span_of
+from assay.operators.ordered import (
+    HOT_ROWS,
+    SPAN,
+    hot_keys,
+    newest_per_key,
+    newest_row,
+    running,
+    with_spans,
+)
 
 ORDER = ("started_at", "run_id")
 # How many of the newest rows a same-weekday baseline looks
@@ -66,7 +74,7 @@ def baseline_last_runs(samples: DataFrame, runs: int) -> DataFrame:
     )
 
 
-def previous_backfill(history: DataFrame, **spans: int) -> DataFrame:
+def previous_backfill(history: DataFrame, **hot: int) -> DataFrame:
     """Every result with its baseline of the previous run, `previous`."""
     sample = F.struct(F.col("measured").alias("value"), *ORDER)
     found = running(
@@ -74,7 +82,7 @@ def previous_backfill(history: DataFrame, **spans: int) -> DataFrame:
         ["clause_id"],
         ORDER,
         newest={"_before": F.when(F.col("measured").isNotNull(), sample)},
-        **spans,
+        **hot,
     )
     before = _first_of_time(F.col("_before"))
     return found.withColumn("_before", before).select(
@@ -92,30 +100,27 @@ def _first_of_time(value: Column) -> Column:
     return F.first(value).over(same)
 
 
-def last_runs_backfill(
-    history: DataFrame, runs: int, span_seconds: int = DAY_SECONDS
-) -> DataFrame:
+def last_runs_backfill(history: DataFrame, runs: int, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every measured result with the mean of the `runs` before it, `previous`.
 
-    Each span of a clause starts with the last `runs` results of the spans
+    Each span of a hot clause starts with the last `runs` results of the spans
     before it, so the frame never reaches outside the span.
     """
     rows = history.where(F.col("measured").isNotNull())
-    rows = rows.withColumn(SPAN, span_of(history, "started_at", span_seconds))
+    by, key = ["clause_id"], ["clause_id", SPAN]
+    hot = hot_keys(rows, by, "started_at", hot_rows)
     sample = F.struct(*ORDER, "measured")
-    tails = (
-        newest_per_key(rows.select("clause_id", SPAN, *ORDER, "measured"), ["clause_id", SPAN], ORDER, runs)
-        .groupBy("clause_id", SPAN)
-        .agg(F.array_sort(F.collect_list(sample)).alias("tail"))  # at most `runs` items
-    )
+    cut = with_spans(rows.select("clause_id", *ORDER, "measured"), by, "started_at", hot, "inner")
+    tails = newest_per_key(cut, key, ORDER, runs).groupBy(*key)
+    tails = tails.agg(F.array_sort(F.collect_list(sample)).alias("tail"))  # `runs` at most
     earlier = Window.partitionBy("clause_id").orderBy(SPAN).rowsBetween(-runs, -1)
     seen = tails.withColumn("seen", F.flatten(F.collect_list("tail").over(earlier)))
     first = F.greatest(F.size("seen") - runs + 1, F.lit(1))
     kept = F.slice("seen", first, F.lit(runs))
-    seeds = seen.select("clause_id", SPAN, F.inline(kept)).withColumn("_seed", F.lit(True))
-    both = rows.withColumn("_seed", F.lit(False)).unionByName(seeds, allowMissingColumns=True)
-    inside = Window.partitionBy("clause_id", SPAN).orderBy(*ORDER)
-    frame = inside.rowsBetween(-runs, -1)
+    seeds = seen.select(*key, F.inline(kept)).withColumn("_seed", F.lit(True))
+    placed = with_spans(rows, by, "started_at", hot, "left").withColumn("_seed", F.lit(False))
+    both = placed.unionByName(seeds, allowMissingColumns=True)
+    frame = Window.partitionBy(*key).orderBy(*ORDER).rowsBetween(-runs, -1)
     n = F.count(F.lit(1)).over(frame)
     mean = F.when(n == runs, F.sum(F.col("measured") / runs).over(frame))
     found = both.withColumns({"previous": mean, "samples": n}).where(~F.col("_seed"))

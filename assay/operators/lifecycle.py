@@ -109,7 +109,7 @@ def definition_fingerprint(clauses: Column) -> Column:
     return F.sha2(F.to_json(F.array_sort(F.transform(clauses, normal))), 256)
 
 
-def definition_versions(recorded: DataFrame, **spans: int) -> DataFrame:
+def definition_versions(recorded: DataFrame, **hot: int) -> DataFrame:
     """The versions a stream of recorded definitions makes.
 
     `recorded` holds `check_id, fingerprint, started_at, run_id`. A version
@@ -118,7 +118,7 @@ def definition_versions(recorded: DataFrame, **spans: int) -> DataFrame:
     """
     order = ("started_at", "run_id")
     seen = running(
-        recorded, ["check_id"], order, newest={"latest": F.col("fingerprint")}, **spans
+        recorded, ["check_id"], order, newest={"latest": F.col("fingerprint")}, **hot
     )
     starts = F.when(F.col("latest").eqNullSafe(F.col("fingerprint")), 0).otherwise(1)
     counted = running(
@@ -127,7 +127,7 @@ def definition_versions(recorded: DataFrame, **spans: int) -> DataFrame:
         order,
         totals={"version": F.col("_starts")},
         inclusive=True,
-        **spans,
+        **hot,
     )
     return counted.where(F.col("_starts") == 1).select(
         "check_id", "version", "fingerprint", F.col("started_at").alias("recorded_at"), "run_id"

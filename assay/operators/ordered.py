@@ -1,10 +1,11 @@
-"""Running values over ordered rows that never put one key in one task.
+"""Running values over ordered rows that never put one hot key in one task.
 
 A plain window over a key sorts and reads all of the key's rows in a single
-task, so one check holding a third of a history is one straggler. Here each
-key's rows are cut into spans of time: a window runs inside every span, and
-what a span starts with is carried from the spans before it, of which there is
-one summary row each. Only whole spans are shuffled, once.
+task, so one check holding a third of a history is one straggler. Here the keys
+are counted first. The rows of a key with very many are cut into spans of time:
+a window runs inside every span, and what a span starts with is carried from
+the spans before it, of which there is one summary row each. Every other key is
+one span, and nothing is carried.
 """
 
 from __future__ import annotations
@@ -14,15 +15,45 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.times import DAY_SECONDS, micros
+from assay.functions.times import seconds
 
 SPAN = "_span"
+# A key with more rows than this is cut into spans, several per this many rows
+# so that uneven times still give small spans.
+HOT_ROWS = 1_000_000
+SPANS_PER_HOT_ROWS = 8
+# At most so many keys are cut: any other holds less than a ten-thousandth of
+# all rows. It bounds the side that is broadcast.
+HOT_KEYS = 10_000
 
 
-def span_of(df: DataFrame, time: str, seconds: int = DAY_SECONDS) -> Column:
-    """The number of the time span a row lies in."""
-    at = micros(F.col(time), df.schema[time].dataType)
-    return F.floor(at / F.lit(seconds * 1_000_000)).cast("long")
+def hot_keys(df: DataFrame, by: Sequence[str], time: str, hot_rows: int) -> DataFrame:
+    """The keys to cut, with where their spans start and how long one is.
+
+    Counts and exact bounds only, so that a task that is run again cuts alike.
+    """
+    at = seconds(F.col(time), df.schema[time].dataType)
+    counts = df.groupBy(*by).agg(
+        F.count(F.lit(1)).alias("_n"), F.min(at).alias("_from"), F.max(at).alias("_to")
+    )
+    spans = F.ceil(F.col("_n") * SPANS_PER_HOT_ROWS / F.lit(hot_rows))
+    length = F.greatest(F.ceil((F.col("_to") - F.col("_from")) / spans), F.lit(1))
+    return (
+        counts.where(F.col("_n") > hot_rows)
+        .orderBy(F.desc("_n"), *by)
+        .limit(HOT_KEYS)
+        .select(*by, "_from", length.alias("_length"))
+    )
+
+
+def with_spans(
+    df: DataFrame, by: Sequence[str], time: str, hot: DataFrame, how: str
+) -> DataFrame:
+    """Rows with the number of their span: 1 and up for hot keys, else 0."""
+    at = seconds(F.col(time), df.schema[time].dataType)
+    span = F.floor((at - F.col("_from")) / F.col("_length")).cast("long") + 1
+    joined = df.join(F.broadcast(hot), list(by), how)
+    return joined.withColumn(SPAN, F.coalesce(span, F.lit(0))).drop("_from", "_length")
 
 
 def running(
@@ -33,64 +64,48 @@ def running(
     newest: Mapping[str, Column] | None = None,
     totals: Mapping[str, Column] | None = None,
     inclusive: bool = False,
-    span_seconds: int = DAY_SECONDS,
+    hot_rows: int = HOT_ROWS,
 ) -> DataFrame:
     """Add running columns over the rows before each row of its key.
 
     `newest` keeps the newest non-NULL value of an expression, `totals` its
     sum; `inclusive` counts the row itself too. `order` starts with the time
-    the spans are cut by and must be unique within a key. A span is a day
-    unless a key is so busy that its days must be cut smaller.
+    hot keys are cut by and must be unique within a key.
     """
     newest, totals = dict(newest or {}), dict(totals or {})
-    names = [*newest, *totals]
-    cut = df.withColumn(SPAN, span_of(df, order[0], span_seconds)).withColumns(
-        {f"_v_{name}": value for name, value in {**newest, **totals}.items()}
-    )
-    inside = Window.partitionBy(*by, SPAN).orderBy(*order)
-    frame = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    values = {f"_v_{name}": value for name, value in {**newest, **totals}.items()}
+    hot = hot_keys(df, by, order[0], hot_rows)
     at = F.struct(*order)
 
-    def value(name: str) -> Column:
-        return F.col(f"_v_{name}")
+    def local(name: str) -> Column:
+        value = F.col(f"_v_{name}")
+        return F.last(value, ignorenulls=True) if name in newest else F.sum(value)
 
-    local = cut.withColumns(
-        {
-            f"_w_{name}": (
-                F.last(value(name), ignorenulls=True) if name in newest else F.sum(value(name))
-            ).over(frame)
-            for name in names
-        }
-    )
-    ends = cut.groupBy(*by, SPAN).agg(
-        *[
-            (
-                F.max_by(value(name), F.when(value(name).isNotNull(), at))
-                if name in newest
-                else F.sum(value(name))
-            ).alias(f"_e_{name}")
-            for name in names
-        ]
+    def end(name: str) -> Column:
+        value = F.col(f"_v_{name}")
+        return F.max_by(value, F.when(value.isNotNull(), at)) if name in newest else F.sum(value)
+
+    def carry(name: str) -> Column:
+        value = F.col(f"_e_{name}")
+        return F.last(value, ignorenulls=True) if name in newest else F.sum(value)
+
+    names = [*newest, *totals]
+    inside = Window.partitionBy(*by, SPAN).orderBy(*order)
+    frame = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
+    rows = with_spans(df.withColumns(values), by, order[0], hot, "left")
+    rows = rows.withColumns({f"_w_{n}": local(n).over(frame) for n in names})
+    ends = (
+        with_spans(df.withColumns(values), by, order[0], hot, "inner")
+        .groupBy(*by, SPAN)
+        .agg(*[end(n).alias(f"_e_{n}") for n in names])
     )
     earlier = Window.partitionBy(*by).orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)
-    carried = ends.select(
-        *by,
-        SPAN,
-        *[
-            (
-                F.last(f"_e_{name}", ignorenulls=True) if name in newest else F.sum(f"_e_{name}")
-            )
-            .over(earlier)
-            .alias(f"_c_{name}")
-            for name in names
-        ],
-    )
-    joined = local.join(carried, [*by, SPAN], "left")
-    out = {name: F.coalesce(f"_w_{name}", f"_c_{name}") for name in newest}
-    for name in totals:
-        parts = [F.coalesce(F.col(f"_{p}_{name}"), F.lit(0)) for p in ("w", "c")]
-        out[name] = parts[0] + parts[1]
-    return joined.select(*df.columns, *[column.alias(name) for name, column in out.items()])
+    carried = ends.select(*by, SPAN, *[carry(n).over(earlier).alias(f"_c_{n}") for n in names])
+    joined = rows.join(carried, [*by, SPAN], "left")
+    out = {n: F.coalesce(f"_w_{n}", f"_c_{n}") for n in newest}
+    for n in totals:
+        out[n] = F.coalesce(f"_w_{n}", F.lit(0)) + F.coalesce(f"_c_{n}", F.lit(0))
+    return joined.select(*df.columns, *[column.alias(n) for n, column in out.items()])
 
 
 def newest_per_key(df: DataFrame, by: Sequence[str], order: Sequence[str], n: int) -> DataFrame:

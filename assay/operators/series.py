@@ -16,10 +16,10 @@ from assay.operators.ordered import running
 ORDER = ("started_at", "run_id")
 
 
-def rule_changes(history: DataFrame, **spans: int) -> DataFrame:
+def rule_changes(history: DataFrame, **hot: int) -> DataFrame:
     """Results judged by another expression or dataset than the one before."""
     rule = F.struct("expression", "dataset")
-    found = running(history, ["check_id"], ORDER, newest={"older": rule}, **spans)
+    found = running(history, ["check_id"], ORDER, newest={"older": rule}, **hot)
     older = F.col("older")
     changed = {
         "expression_changed": ~F.col("expression").eqNullSafe(older["expression"]),
@@ -34,11 +34,11 @@ def rule_changes(history: DataFrame, **spans: int) -> DataFrame:
     )
 
 
-def definition_changes(history: DataFrame, **spans: int) -> DataFrame:
+def definition_changes(history: DataFrame, **hot: int) -> DataFrame:
     """Results under another definition version than the one before, both known."""
     # In a struct, so that an unknown version is the value before, not passed over.
     version = F.struct(F.col("definition_version").alias("version"))
-    found = running(history, ["check_id"], ORDER, newest={"older": version}, **spans)
+    found = running(history, ["check_id"], ORDER, newest={"older": version}, **hot)
     older = F.col("older.version")
     return (
         found.where(older != F.col("definition_version"))
@@ -54,7 +54,7 @@ def plotted(axis_metric: Column) -> Column:
     return on_axis & (F.col("outcome") != "error")
 
 
-def value_segments(history: DataFrame, axis_metric: Column, **spans: int) -> DataFrame:
+def value_segments(history: DataFrame, axis_metric: Column, **hot: int) -> DataFrame:
     """Runs of consecutive plotted values: one row each, oldest first by `breaks`.
 
     Two plotted results are in one segment when no other result lies between
@@ -62,7 +62,7 @@ def value_segments(history: DataFrame, axis_metric: Column, **spans: int) -> Dat
     """
     marked = history.withColumn("_on", plotted(axis_metric))
     off = F.when(F.col("_on"), 0).otherwise(1)
-    counted = running(marked, ["check_id"], ORDER, totals={"breaks": off}, **spans)
+    counted = running(marked, ["check_id"], ORDER, totals={"breaks": off}, **hot)
     return (
         counted.where(F.col("_on"))
         .groupBy("check_id", "breaks")
@@ -94,7 +94,7 @@ def current_rule_run(history: DataFrame, current: DataFrame) -> DataFrame:
     )
 
 
-def history_summary(history: DataFrame, axis_metric: Column, **spans: int) -> DataFrame:
+def history_summary(history: DataFrame, axis_metric: Column, **hot: int) -> DataFrame:
     """Per check: outcome counts, span, newest plotted value, and rule changes."""
     on, at = plotted(axis_metric), F.struct(*ORDER)
     off_axis = finite(F.col("value")).isNotNull() & (F.col("outcome") != "error") & ~on
@@ -109,8 +109,8 @@ def history_summary(history: DataFrame, axis_metric: Column, **spans: int) -> Da
     counts = [
         changes.groupBy("check_id").agg(F.count(F.lit(1)).alias(name))
         for name, changes in (
-            ("rule_changes", rule_changes(history, **spans)),
-            ("definition_changes", definition_changes(history, **spans)),
+            ("rule_changes", rule_changes(history, **hot)),
+            ("definition_changes", definition_changes(history, **hot)),
         )
     ]
     for counted in counts:

@@ -132,7 +132,7 @@ def event_of(outcome: Column, alert: Column, unskipped: Column) -> Column:
     )
 
 
-def alert_basis(results: DataFrame, **spans: int) -> DataFrame:
+def alert_basis(results: DataFrame, **hot: int) -> DataFrame:
     """Each result with what its check's alerts are compared with before it."""
     outcome = F.col("outcome")
     return running(
@@ -143,17 +143,17 @@ def alert_basis(results: DataFrame, **spans: int) -> DataFrame:
             "basis_alert": F.when(outcome.isin(*ALERTING), outcome),
             "basis_unskipped": F.when(outcome != "skipped", outcome),
         },
-        **spans,
+        **hot,
     )
 
 
-def state_changes(results: DataFrame, **spans: int) -> DataFrame:
+def state_changes(results: DataFrame, **hot: int) -> DataFrame:
     """Every result that opened, closed or broke an alert, with what came before."""
     outcome = F.col("outcome")
     alert, unskipped = F.col("basis_alert"), F.col("basis_unskipped")
     previous = F.when(outcome == "error", unskipped).otherwise(alert)
     return (
-        alert_basis(results, **spans)
+        alert_basis(results, **hot)
         .withColumns(
             {"event": event_of(outcome, alert, unskipped), "previous_outcome": previous}
         )

@@ -36,7 +36,7 @@ CTES = {
                    as state_since
         from supplier join nation on s_nationkey = n_nationkey""",
     "runs": """
-        select concat('r', lpad(cast(o_orderkey as string), 10, '0')) as run_id,
+        select o_orderkey as run_no, concat('r', lpad(cast(o_orderkey as string), 10, '0')) as run_id,
                case when o_orderkey % 10 = 9 then 'other' else 'main' end as project,
                o_orderdate + interval '1' hour * (o_orderkey % 24) as started_at,
                case when o_orderkey % 50 = 7 then null when o_orderstatus = 'F' then 1
@@ -45,11 +45,11 @@ CTES = {
                     then concat('k', cast(o_custkey as string)) end as run_key
         from orders""",
     "results": """
-        select g.result_id, g.run_id, g.check_id, g.outcome, g.qty, c.dataset, c.datasource, c.name,
+        select g.result_id, g.run_no, g.run_id, g.check_id, g.outcome, g.qty, c.dataset, c.datasource, c.name,
                case when g.outcome in ('error', 'mystery') then null
                     else cast(g.qty as double) end as value,
                g.place as position, cast(g.qty * 10 as double) as duration_ms
-        from (select l_orderkey * 1000000 + l_suppkey as result_id,
+        from (select l_orderkey * 1000000 + l_suppkey as result_id, l_orderkey as run_no,
                      concat('r', lpad(cast(l_orderkey as string), 10, '0')) as run_id,
                      l_suppkey as check_id, min(l_linenumber) * 1000000 + l_suppkey as place,
                      cast(sum(l_quantity) as bigint) as qty,
@@ -70,7 +70,7 @@ CTES = {
                case when extract(year from r.started_at) >= 1996
                     then cast((extract(month from r.started_at) + h.check_id) % 3 as int)
                     end as definition_version
-        from results h join runs r on h.run_id = r.run_id""",
+        from results h join runs r on h.run_no = r.run_no""",
     "clause_history": """
         select check_id as clause_id, value as measured, metric, started_at, run_id, run_key
         from history""",
@@ -103,7 +103,7 @@ CTES = {
                cast(sum(case when outcome = 'fail' then 1 else 0 end) as bigint) as failed,
                cast(sum(case when outcome in ('error', 'mystery') then 1 else 0 end) as bigint)
                    as errored
-        from results h join runs r on h.run_id = r.run_id
+        from results h join runs r on h.run_no = r.run_no
         group by r.run_id, r.project, r.started_at, r.exit_code""",
 }
 # What each is made from; a table's own name is a given table.
