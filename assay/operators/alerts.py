@@ -29,7 +29,7 @@ def alerts_to_write(
     """One row per change and notifier of its check, without those written for
     the run before and without checks that have a newer result."""
     superseded = recorded_after(history, changes.select("check_id", "started_at", "run_id"))
-    news = changes.join(superseded, "check_id", "left_anti")
+    news = changes.join(superseded, ["check_id", "run_id"], "left_anti")
     told = news.join(checks.select("check_id", "notify"), "check_id").select(
         "run_id", "check_id", "event", "previous_outcome", F.explode("notify").alias("notifier")
     )

@@ -74,7 +74,7 @@ def join_history_definition(history: DataFrame, definitions: DataFrame) -> DataF
 
 
 def recorded_after(history: DataFrame, places: DataFrame) -> DataFrame:
-    """The checks in `places` that have a result newer than their place.
+    """The `places` whose check has a result in a newer run.
 
     `places` holds `check_id, started_at, run_id`. A history is first folded
     to each check's newest place, so no pair of rows is formed.
@@ -82,7 +82,7 @@ def recorded_after(history: DataFrame, places: DataFrame) -> DataFrame:
     at = F.struct(*RUN_ORDER)
     newest = history.groupBy("check_id").agg(F.max(at).alias("newest"))
     both = places.join(newest, "check_id")
-    return both.where(F.col("newest") > at).select("check_id").distinct()
+    return both.where(F.col("newest") > at).select(*places.columns).distinct()
 
 
 def distinct_checks(results: DataFrame) -> DataFrame:

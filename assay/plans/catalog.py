@@ -1,6 +1,13 @@
 """All registered queries: importing this module registers them."""
 
-from assay.plans import histories, measuring  # noqa: F401
+from assay.plans import (  # noqa: F401
+    files,
+    histories,
+    lifecycles,
+    measuring,
+    rolled,
+    scalars,
+)
 from assay.plans.measuring import flagship
 from assay.plans.registry import ORACLES, QUERIES
 

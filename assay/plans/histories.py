@@ -264,7 +264,7 @@ def join_recorded_after(spark: SparkSession, sf: str) -> DataFrame:
     last_error = rows.where(F.col("outcome") == "error").groupBy("check_id").agg(
         F.max(F.struct("started_at", "run_id")).alias("at")
     )
-    return history.recorded_after(rows, last_error.select("check_id", "at.*"))
+    return history.recorded_after(rows, last_error.select("check_id", "at.*")).select("check_id")
 
 
 # --- 2.7 state and series ---------------------------------------------------

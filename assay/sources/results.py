@@ -30,20 +30,25 @@ def cut_lineage(df: DataFrame, folder: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-def by_day(df: DataFrame) -> DataFrame:
+def with_day(df: DataFrame) -> DataFrame:
     return df.withColumn("day", F.to_date("started_at"))
 
 
 def write_results(
-    root: str, runs: DataFrame, results: DataFrame, clauses: DataFrame
+    root: str, runs: DataFrame, results: DataFrame, clauses: DataFrame, by: str = "day"
 ) -> None:
     """Append a batch of runs to the three tables, by project and day.
 
     The runs go last: a result counts only once its run is there and finished
     (`read_history` joins them), so a write that stops halfway shows nothing.
+    Rows are brought together by partition first, so that a batch writes few
+    files per project and day, and a day too large for one task is split; `by`
+    names another column of the rows to use.
     """
     for name, df in (("clauses", clauses), ("results", results), ("runs", runs)):
-        by_day(df).write.mode("append").partitionBy("project", "day").parquet(f"{root}/{name}")
+        rows = with_day(df) if by == "day" else df
+        rows = rows.hint("rebalance", "project", by)
+        rows.write.mode("append").partitionBy("project", by).parquet(f"{root}/{name}")
 
 
 def read_results(spark: SparkSession, root: str, name: str) -> DataFrame:
