@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.outcomes import known_state
 from assay.functions.text import collapse_whitespace
-from assay.operators.ordered import running
+from assay.operators.ordered import numbered, running
 
 
 class NothingToSync(ValueError):
@@ -117,19 +117,12 @@ def definition_versions(recorded: DataFrame, **hot: int) -> DataFrame:
     old definition is a new version.
     """
     order = ("started_at", "run_id")
+    fingerprint = F.col("fingerprint")
     seen = running(
-        recorded, ["check_id"], order, newest={"latest": F.col("fingerprint")}, **hot
+        recorded, ["check_id"], order, newest={"latest": fingerprint}, keep_span=True, **hot
     )
-    starts = F.when(F.col("latest").eqNullSafe(F.col("fingerprint")), 0).otherwise(1)
-    counted = running(
-        seen.withColumn("_starts", starts),
-        ["check_id"],
-        order,
-        totals={"version": F.col("_starts")},
-        inclusive=True,
-        **hot,
-    )
-    return counted.where(F.col("_starts") == 1).select(
+    starts = seen.where(~F.col("latest").eqNullSafe(fingerprint)).drop("latest")
+    return numbered(starts, ["check_id"], order, "version").select(
         "check_id", "version", "fingerprint", F.col("started_at").alias("recorded_at"), "run_id"
     )
 

@@ -111,21 +111,15 @@ def fused_scan(
 ) -> DataFrame:
     """All measures as one aggregate row over one scan, turned into long form."""
     columns: list[Column] = []
-    cells: list[Column] = []
+    cells: list[str] = []
     for i, (clause_id, (value, detail)) in enumerate(measures.items()):
         columns.append(value.cast("double").alias(f"v{i}"))
-        none = F.lit(None).cast("string")
         if detail is not None:
             columns.append(detail.cast("string").alias(f"d{i}"))
-        cells.append(
-            F.struct(
-                F.lit(clause_id).alias("clause_id"),
-                F.col(f"v{i}").alias("value"),
-                (none if detail is None else F.col(f"d{i}")).alias("detail"),
-            )
-        )
-    long = rows.agg(*columns).select(F.inline(F.array(*cells)))
-    return long.withColumn("error", F.lit(None).cast("string"))
+        told = f"d{i}" if detail is not None else "cast(null as string)"
+        cells.append(f"'{clause_id}', v{i}, {told}, cast(null as string)")
+    names = "clause_id, value, detail, error"
+    return rows.agg(*columns).selectExpr(f"stack({len(cells)}, {', '.join(cells)}) as ({names})")
 
 
 def key_measures(

@@ -130,8 +130,6 @@ def _check_names(suites: Sequence[tuple[Suite, DataFrame]]) -> DataFrame:
         for check in suite.checks
         if check.enabled
     ]
-    empty = F.array().cast("array<string>")
-    rows = [(*row[:3], row[3] or empty) for row in rows]
     schema = "check_id string, name string, check_expression string, notify array<string>"
     return literal_rows(spark, schema, rows)
 

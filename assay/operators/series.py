@@ -12,39 +12,49 @@ from pyspark.sql import functions as F
 from assay.functions.outcomes import outcome_counts
 from assay.functions.predicates import finite
 from assay.operators.ordered import running
+from assay.sources.results import settled
 
 ORDER = ("started_at", "run_id")
 
 
+def with_older(history: DataFrame, **hot: int) -> DataFrame:
+    """Each result with the rule and definition version of the one before it."""
+    # The version in a struct, so that an unknown one is not passed over.
+    before = F.struct(
+        "expression", "dataset", F.col("definition_version").alias("version")
+    )
+    return running(history, ["check_id"], ORDER, newest={"older": before}, **hot)
+
+
+def rule_changed() -> dict[str, Column]:
+    """Whether the expression and the dataset differ from the result before."""
+    first = F.col("older").isNull()
+    return {
+        f"{name}_changed": ~first & ~F.col(name).eqNullSafe(F.col(f"older.{name}"))
+        for name in ("expression", "dataset")
+    }
+
+
+def definition_changed() -> Column:
+    """Whether the definition version differs from the one before, both known."""
+    return F.coalesce(F.col("older.version") != F.col("definition_version"), F.lit(False))
+
+
 def rule_changes(history: DataFrame, **hot: int) -> DataFrame:
     """Results judged by another expression or dataset than the one before."""
-    rule = F.struct("expression", "dataset")
-    found = running(history, ["check_id"], ORDER, newest={"older": rule}, **hot)
-    older = F.col("older")
-    changed = {
-        "expression_changed": ~F.col("expression").eqNullSafe(older["expression"]),
-        "dataset_changed": ~F.col("dataset").eqNullSafe(older["dataset"]),
-    }
     return (
-        found.where(older.isNotNull())
-        .withColumns(changed)
+        with_older(history, **hot)
+        .withColumns(rule_changed())
         .where(F.col("expression_changed") | F.col("dataset_changed"))
-        .withColumn("older_expression", older["expression"])
+        .withColumn("older_expression", F.col("older.expression"))
         .drop("older")
     )
 
 
 def definition_changes(history: DataFrame, **hot: int) -> DataFrame:
     """Results under another definition version than the one before, both known."""
-    # In a struct, so that an unknown version is the value before, not passed over.
-    version = F.struct(F.col("definition_version").alias("version"))
-    found = running(history, ["check_id"], ORDER, newest={"older": version}, **hot)
-    older = F.col("older.version")
-    return (
-        found.where(older != F.col("definition_version"))
-        .withColumn("older_version", older)
-        .drop("older")
-    )
+    found = with_older(history, **hot).where(definition_changed())
+    return found.withColumn("older_version", F.col("older.version")).drop("older")
 
 
 def plotted(axis_metric: Column) -> Column:
@@ -88,7 +98,7 @@ def current_rule_run(history: DataFrame, current: DataFrame) -> DataFrame:
     other = ~F.col("expression").eqNullSafe(F.col("current_expression"))
     edges = rows.groupBy("check_id").agg(F.max(F.when(other, at)).alias("edge"))
     return (
-        rows.join(edges, "check_id")
+        rows.join(settled(edges), "check_id")
         .where(F.col("edge").isNull() | (at > F.col("edge")))
         .select(*history.columns)
     )
@@ -98,21 +108,16 @@ def history_summary(history: DataFrame, axis_metric: Column, **hot: int) -> Data
     """Per check: outcome counts, span, newest plotted value, and rule changes."""
     on, at = plotted(axis_metric), F.struct(*ORDER)
     off_axis = finite(F.col("value")).isNotNull() & (F.col("outcome") != "error") & ~on
-    base = history.groupBy("check_id").agg(
+    changed = rule_changed()
+    return with_older(history, **hot).groupBy("check_id").agg(
         *outcome_counts(F.col("outcome")),
         F.min("started_at").alias("first_at"),
         F.max("started_at").alias("last_at"),
         F.max_by("value", F.when(on, at)).alias("latest_value"),
         F.max_by("outcome", F.when(on, at)).alias("latest_outcome"),
         F.count_if(off_axis).alias("off_axis"),
+        F.count_if(changed["expression_changed"] | changed["dataset_changed"]).alias(
+            "rule_changes"
+        ),
+        F.count_if(definition_changed()).alias("definition_changes"),
     )
-    counts = [
-        changes.groupBy("check_id").agg(F.count(F.lit(1)).alias(name))
-        for name, changes in (
-            ("rule_changes", rule_changes(history, **hot)),
-            ("definition_changes", definition_changes(history, **hot)),
-        )
-    ]
-    for counted in counts:
-        base = base.join(counted, "check_id", "left")
-    return base.fillna(0, ["rule_changes", "definition_changes"])

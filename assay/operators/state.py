@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.outcomes import ALERTING, EVALUATED, SEVERITY, is_evaluated, known_outcome
 from assay.operators.ordered import running
+from assay.sources.results import settled
 
 ORDER = ("started_at", "run_id")
 HEAD = (
@@ -52,10 +53,10 @@ def _named(seen: dict[str, Column], at: Column, outcomes: tuple[str, ...]) -> Co
 def current_heads(results: DataFrame) -> DataFrame:
     """Each check's newest result, its streak, and what alerts compare with.
 
-    Two aggregations and no sort by check: the first finds when each outcome
-    was last seen, which bounds the streaks; the second takes the oldest
-    result after that bound. Both combine rows before they shuffle, so the
-    work does not depend on how many results one check has.
+    Two aggregations and no sort by check: the first, run at once, finds when
+    each outcome was last seen, which bounds the streaks; the second takes the
+    oldest result after that bound. Both combine rows before they shuffle, so
+    the work does not depend on how many results one check has.
     """
     entries = _entries(results)
     outcome, at = F.col("outcome"), F.col("at")
@@ -80,6 +81,7 @@ def current_heads(results: DataFrame) -> DataFrame:
             "last_at": _newest_of(seen, EVALUATED),
         }
     )
+    marks = settled(marks.drop(*[f"seen_{w}" for w in SEVERITY]))
     edges = marks.select("check_id", "last", "raw_edge", "eval_edge")
     in_raw = F.col("raw_edge").isNull() | (at > F.col("raw_edge"))
     in_streak = (outcome == F.col("last")) & (
@@ -177,9 +179,12 @@ def advance_heads(heads: DataFrame, batch: DataFrame, history: DataFrame) -> Dat
     moves = (F.col("n") == 1) & (F.col("new.at") > at)
     kept = both.where(F.col("n").isNull()).select(*HEAD)
     moved = _moved(both.where(moves))
-    redo = new.join(both.where(moves).select("check_id"), "check_id", "left_anti")
-    redone = current_heads(history.join(redo.select("check_id"), "check_id", "left_semi"))
-    return kept.unionByName(moved).unionByName(redone.select(*HEAD))
+    redo = settled(new.join(both.where(moves).select("check_id"), "check_id", "left_anti"))
+    heads_now = kept.unionByName(moved)
+    if redo.isEmpty():  # the usual case: the history is not read at all
+        return heads_now
+    late = history.join(redo.select("check_id"), "check_id", "left_semi")
+    return heads_now.unionByName(current_heads(late).select(*HEAD))
 
 
 def _moved(both: DataFrame) -> DataFrame:

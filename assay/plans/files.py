@@ -109,7 +109,8 @@ def union_by_name(spark: SparkSession, sf: str) -> DataFrame:
 def write_results(spark: SparkSession, sf: str) -> DataFrame:
     """The history appended to result tables in two batches and read back."""
     folder = results.shared_folder(spark)
-    history = derived(spark, sf, "history").withColumn("month", F.month("started_at"))
+    history = results.cut_lineage(derived(spark, sf, "history"), f"{folder}/input")
+    history = history.withColumn("month", F.month("started_at"))
     runs = derived(spark, sf, "runs").join(history.select("run_id").distinct(), "run_id", "left_semi")
     keep = ["result_id", "run_id", "check_id", "outcome", "value", "project", "started_at"]
     runs = runs.withColumn("month", F.month("started_at"))

@@ -6,8 +6,11 @@ is that check's result in that run: the history grows with the tables.
 
 from __future__ import annotations
 
+from functools import cache
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
@@ -174,8 +177,15 @@ def with_tables(*names: str, more: str = "") -> str:
     return "with " + ", ".join([*parts, *([more] if more else [])]) + " "
 
 
+@cache
+def schema_of(path: str) -> StructType:
+    """A given table's schema, inferred once: each inference is a job."""
+    return SparkSession.active().read.parquet(path).schema
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    path = f"{sf_dir}/{name}.parquet"
+    return spark.read.schema(schema_of(path)).parquet(path)
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -24,12 +24,29 @@ def shared_folder(spark: SparkSession) -> str:
     return f"{base.rstrip('/')}/assay-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame, folder: str) -> DataFrame:
+def cut_lineage(df: DataFrame, folder: str | None = None) -> DataFrame:
     """The same rows, written and read back, so a lost executor repeats nothing before."""
+    folder = folder or shared_folder(df.sparkSession)
     df.write.parquet(folder)
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
+# A side of a join with at most so many rows is broadcast.
+BROADCAST_ROWS = 1_000_000
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """An intermediate result of a row per key, written out so its size is known.
+
+    Up to a million rows it is broadcast, so that the large side of its join is
+    not shuffled. Beyond that the join is left to Spark, which shuffles both
+    sides and splits hot keys at run time.
+    """
+    stored = cut_lineage(df)
+    few = stored.count() <= BROADCAST_ROWS  # read from the files' footers
+    return F.broadcast(stored) if few else stored
+
+
 def with_day(df: DataFrame) -> DataFrame:
     return df.withColumn("day", F.to_date("started_at"))
 
