@@ -8,7 +8,7 @@ from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions.outcomes import severity
@@ -69,47 +69,20 @@ def run_suites(
 ) -> RunFrames:
     """One run over several datasets, each measured in its own scan."""
     run_id = run_id or uuid.uuid4().hex
-    judged = []
-    for place, (suite, df) in enumerate(suites):
-        clauses = clause_results(df, suite, now, baselines, isolate)
-        judged.append(
-            clauses.withColumns(
-                {
-                    "dataset": F.lit(suite.dataset),
-                    "datasource": F.lit(suite.datasource),
-                    "owner": F.lit(suite.owner).cast("string"),
-                    "tags": F.array(*[F.lit(t) for t in suite.tags]).cast("array<string>"),
-                    "suite": F.lit(place),
-                }
-            )
-        )
     stamp = {
         "run_id": F.lit(run_id),
         "project": F.lit(project),
         "started_at": F.lit(now).cast("timestamp"),
     }
-    every = reduce(DataFrame.unionByName, judged).withColumns(stamp)
-    every = every.withColumns({c: finite(F.col(c)) for c in ("value", "measured")})
-    names = _check_names(suites)
-    by = ("run_id", "project", "started_at", "suite", "check_id")
-    carried = every.groupBy(*by).agg(
-        F.first("dataset").alias("dataset"),
-        F.first("datasource").alias("datasource"),
-        F.first("owner").alias("owner"),
-        F.first("tags").alias("tags"),
-        F.min("position").alias("position"),
-    )
-    results = fold_checks(every, *by).join(carried, list(by)).join(names, "check_id")
-    totals = run_rollup(
-        results.withColumn("place", F.struct("suite", "position")),
-        "run_id",
-        "place",
-        fail_on,
+    judged = [clause_results(df, suite, now, baselines, isolate) for suite, df in suites]
+    clauses = reduce(DataFrame.unionByName, judged).withColumns(
+        {**stamp, "value": finite(F.col("value")), "measured": finite(F.col("measured"))}
     )
+    checks = checks_of(suites[0][1].sparkSession, [suite for suite, _ in suites])
+    results = fold_checks(clauses).join(checks, "check_id").withColumns(stamp)
+    totals = run_rollup(results, "run_id", "position", fail_on)
     runs = totals.select(
-        "run_id",
-        stamp["project"].alias("project"),
-        stamp["started_at"].alias("started_at"),
+        *[column.alias(name) for name, column in stamp.items()],
         "outcome",
         "exit_code",
         "total",
@@ -119,20 +92,36 @@ def run_suites(
         F.col("error").alias("errored"),
         F.lit(run_key).cast("string").alias("run_key"),
     )
-    return RunFrames(runs, results, every)
+    return RunFrames(runs, results, clauses)
+
 
+CHECKS = (
+    "check_id string, position int, name string, expression string, notify array<string>, "
+    "dataset string, datasource string, owner string, tags array<string>, source string"
+)
 
-def _check_names(suites: Sequence[tuple[Suite, DataFrame]]) -> DataFrame:
-    spark = suites[0][1].sparkSession
+
+def checks_of(spark: SparkSession, suites: Sequence[Suite]) -> DataFrame:
+    """One row per enabled check of the suites, in written order."""
+    listed = [(s, check) for s in suites for check in s.checks if check.enabled]
     rows = [
-        (suite.check_id(check), check.name, check.expression, list(check.notify))
-        for suite, _ in suites
-        for check in suite.checks
-        if check.enabled
+        (
+            suite.check_id(check),
+            position,
+            check.name,
+            check.expression,
+            check.notify,
+            suite.dataset,
+            suite.datasource,
+            suite.owner,
+            suite.tags,
+            suite.path,
+        )
+        for position, (suite, check) in enumerate(listed)
     ]
-    schema = "check_id string, name string, check_expression string, notify array<string>"
-    return literal_rows(spark, schema, rows)
+    return literal_rows(spark, CHECKS, rows)
 
 
-def worst_first(results: DataFrame) -> DataFrame:
-    return results.orderBy(severity(F.col("outcome")).desc(), "suite", "position")
+def problems_first(results: DataFrame) -> DataFrame:
+    """A run's results, worst first, then in written order."""
+    return results.orderBy(severity(F.col("outcome")).desc(), "position")

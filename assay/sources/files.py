@@ -5,6 +5,7 @@ from __future__ import annotations
 import fnmatch
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
+from urllib.parse import unquote
 
 from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
@@ -58,7 +59,7 @@ def expand(spark: SparkSession, root: str, pattern: str) -> list[str]:
         return [f"{root.rstrip('/')}/{pattern}"]
     listing = spark.read.format("binaryFile").option("recursiveFileLookup", True)
     try:
-        listed = listing.option("pathGlobFilter", "*").load(base).inputFiles()
+        listed = [unquote(path) for path in listing.load(base).inputFiles()]
     except AnalysisException:
         listed = []
     found = []
