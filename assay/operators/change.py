@@ -82,6 +82,7 @@ def previous_backfill(history: DataFrame, **hot: int) -> DataFrame:
         ["clause_id"],
         ORDER,
         newest={"_before": F.when(F.col("measured").isNotNull(), sample)},
+        keep_span=True,
         **hot,
     )
     before = _first_of_time(F.col("_before"))
@@ -95,8 +96,9 @@ def previous_backfill(history: DataFrame, **hot: int) -> DataFrame:
 
 def _first_of_time(value: Column) -> Column:
     """What the first result of a clause at one time sees: a baseline starts
-    strictly earlier, so results at the same time share it."""
-    same = Window.partitionBy("clause_id", "started_at").orderBy("run_id")
+    strictly earlier, so results at the same time share it. They lie in one
+    span, so the rows stay where they are."""
+    same = Window.partitionBy("clause_id", SPAN, "started_at").orderBy("run_id")
     return F.first(value).over(same)
 
 

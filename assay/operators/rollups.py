@@ -111,16 +111,15 @@ def stale_datasets(checks: DataFrame, runs: DataFrame, hours: int = 24) -> DataF
     return scanned.where(late | never)
 
 
-def common_folder(checks: DataFrame) -> DataFrame:
-    """The longest folder every check's file lies in, as `folder`.
+def common_folder(checks: DataFrame, *by: str) -> DataFrame:
+    """The longest folder every check's file lies in, as `folder`, per group.
 
     The smallest and the largest path share what all paths share.
     """
     folders = text.folder_parts(F.col("path"))
-    ends = checks.agg(F.min(folders).alias("a"), F.max(folders).alias("b"))
-    return ends.select(
-        F.array_join(text.shared_prefix(F.col("a"), F.col("b")), "/").alias("folder")
-    )
+    ends = checks.groupBy(*by).agg(F.min(folders).alias("a"), F.max(folders).alias("b"))
+    shared = text.shared_prefix(F.col("a"), F.col("b"))
+    return ends.select(*by, F.array_join(shared, "/").alias("folder"))
 
 
 def folder_rollup(checks: DataFrame) -> DataFrame:

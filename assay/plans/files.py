@@ -118,7 +118,7 @@ def write_results(spark: SparkSession, sf: str) -> DataFrame:
         rows = history.where(batch).select(*keep).withColumn("year", F.year("started_at"))
         of_batch = runs.where(batch).drop("month").withColumn("year", F.year("started_at"))
         results.write_results(folder, of_batch, rows, rows, by="year")
-    stored = results.read_results(spark, folder, "results").drop("project", "started_at", "year")
+    stored = results.read_results(spark, folder, "results").drop("year")
     runs_back = results.read_results(spark, folder, "runs")
     projects = [row.project for row in runs_back.select("project").distinct().collect()]
     parts = [read_history(stored, runs_back, project) for project in sorted(projects)]

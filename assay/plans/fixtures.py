@@ -6,8 +6,6 @@ is that check's result in that run: the history grows with the tables.
 
 from __future__ import annotations
 
-from functools import cache
-
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
@@ -177,15 +175,15 @@ def with_tables(*names: str, more: str = "") -> str:
     return "with " + ", ".join([*parts, *([more] if more else [])]) + " "
 
 
-@cache
-def schema_of(path: str) -> StructType:
-    """A given table's schema, inferred once: each inference is a job."""
-    return SparkSession.active().read.parquet(path).schema
+_SCHEMAS: dict[str, StructType] = {}
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; its schema is inferred once, since each inference is a job."""
     path = f"{sf_dir}/{name}.parquet"
-    return spark.read.schema(schema_of(path)).parquet(path)
+    if path not in _SCHEMAS:
+        _SCHEMAS[path] = spark.read.parquet(path).schema
+    return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
 def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:

@@ -505,7 +505,8 @@ def sql_metric(spark: SparkSession, sf: str) -> DataFrame:
        found as (select lower(column_name) as name, lower(column_type) as type from (describe select * from orders))
        select 'schema' as clause, cast(count(*) as double) as value from wanted w left join found f on w.name = f.name
        where case kind when 'required' then f.name is null when 'forbidden' then f.name is not null
-                  else f.name is null or not contains(f.type, w.type) end""",
+                  else f.name is null or not contains(f.type, w.type) end
+       union all select 'row_count', count(*) from orders""",
 )
 def schema(spark: SparkSession, sf: str) -> DataFrame:
     wanted = {
@@ -518,7 +519,7 @@ def schema(spark: SparkSession, sf: str) -> DataFrame:
             "lost": "bigint",
         },
     }
-    return values(table(spark, sf, "orders"), clause("schema", **wanted))
+    return values(table(spark, sf, "orders"), clause("schema", **wanted), clause("row_count"))
 
 
 @query(
@@ -820,28 +821,40 @@ def run_rollup(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "check_message",
-    """select check_id, case when count(*) = 1 then max(message)
-              else coalesce(string_agg(clause_key || ': ' || message, '; ' order by position) filter (where outcome in ('warn', 'fail')), '-') end as message
-       from (select o_custkey as check_id, concat('order ', o_orderkey) as clause_key, o_orderkey as position,
-                    case when o_totalprice > 300000 then 'fail' when o_totalprice > 200000 then 'warn' else 'pass' end as outcome,
-                    case when o_totalprice > 300000 then 'too dear' when o_totalprice > 200000 then 'warn' else '-' end as message
-             from orders) c group by 1""",
+    """with c as (select o_custkey as check_id, case when count(*) > 15 then 'fail' when count(*) > 10 then 'warn' end as a,
+              case when max(o_totalprice) > 400000 then 'fail' end as b,
+              case when sum(case when o_orderpriority = '1-URGENT' then 1 else 0 end) > 3 then 'warn' end as c
+              from orders group by 1)
+       select check_id, coalesce(nullif(concat_ws('; ', case a when 'fail' then 'orders: fail when > 15' when 'warn' then 'orders: warn when > 10' end,
+              case b when 'fail' then 'dearest: expected <= 400000' end, case c when 'warn' then 'urgent: warn when > 3' end), ''), '-') as message,
+              case when 'fail' in (coalesce(a, ''), coalesce(b, '')) then 'fail' when 'warn' in (coalesce(a, ''), coalesce(c, '')) then 'warn' else 'pass' end as outcome
+       from c""",
 )
 def check_message(spark: SparkSession, sf: str) -> DataFrame:
-    price = F.col("o_totalprice")
-    clauses = table(spark, sf, "orders").select(
-        F.col("o_custkey").alias("check_id"),
-        F.concat_ws(" ", F.lit("order"), F.col("o_orderkey").cast("string")).alias("clause_key"),
-        F.col("o_orderkey").alias("position"),
-        F.when(price > 300000, "fail").when(price > 200000, "warn").otherwise("pass").alias("outcome"),
-        F.when(price > 300000, "too dear").alias("message"),
-        price.alias("value"),
-    )
-    folded = J.fold_checks(clauses)
-    # A single clause without a message of its own shows its outcome when it is a problem.
-    alone = F.when(F.col("outcome") == "warn", "warn")
-    message = F.coalesce("message", F.when(F.col("clauses") == 1, alone), F.lit("-"))
-    return folded.select("check_id", message.alias("message"))
+    """Each customer as a check of three clauses, measured in one grouping."""
+    suite = suite_of(
+        Clause("row_count", warn=Rule(">", 10), fail=Rule(">", 15), name="orders"),
+        Clause("max", ("o_totalprice",), Rule("<=", 400000), name="dearest"),
+        Clause("row_count", warn=Rule(">", 3), where="o_orderpriority = '1-URGENT'", name="urgent"),
+    )
+    measured = (
+        table(spark, sf, "orders")
+        .groupBy("o_custkey")
+        .agg(
+            predicates.rows_in(None).alias("orders"),
+            F.max("o_totalprice").alias("dearest"),
+            predicates.rows_in(F.col("o_orderpriority") == "1-URGENT").alias("urgent"),
+        )
+        .unpivot("o_custkey", ["orders", "dearest", "urgent"], "clause_key", "value")
+    )
+    none = F.lit(None).cast("string")
+    rules = J.rules_of(spark, suite)
+    judged = measured.join(rules.drop("check_id"), "clause_key").withColumns(
+        {"check_id": F.col("o_custkey"), "outcome": J.outcome_of(F.col("value"))}
+    )
+    said = J.message_of(F.col("value"), F.col("outcome"), none, none)
+    folded = J.fold_checks(judged.withColumn("message", said))
+    return folded.select("check_id", F.coalesce("message", F.lit("-")).alias("message"), "outcome")
 
 
 @query(

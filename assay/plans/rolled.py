@@ -106,17 +106,8 @@ def folder_rollup(spark: SparkSession, sf: str) -> DataFrame:
 )
 def common_folder(spark: SparkSession, sf: str) -> DataFrame:
     checks = derived(spark, sf, "checks")
-    regions = table(spark, sf, "region").select(F.concat(F.lit("ds"), "r_regionkey").alias("ds"))
     every = rollups.common_folder(checks).select(F.lit("all").alias("datasource"), "folder")
-    parts = [
-        rollups.common_folder(checks.where(F.col("datasource") == row.ds)).select(
-            F.lit(row.ds).alias("datasource"), "folder"
-        )
-        for row in regions.collect()  # the five regions
-    ]
-    for part in parts:
-        every = every.unionByName(part)
-    return every
+    return every.unionByName(rollups.common_folder(checks, "datasource"))
 
 
 @query(
@@ -315,32 +306,39 @@ def report_as_of(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "report_rows",
     with_tables("history")
-    + """select r.result_id, count(*) as clauses, string_agg(c.l_linenumber || ':' || cast(c.l_quantity as bigint), ','
-                order by c.l_linenumber, c.l_quantity, c.l_extendedprice) as told
-         from results r join lineitem c on c.l_orderkey = r.run_no and c.l_suppkey = r.check_id group by 1""",
+    + """, c as (select l_orderkey, l_suppkey, l_linenumber, sum(l_quantity) as q from lineitem group by 1, 2, 3)
+         select r.result_id, count(*) as clauses,
+                string_agg(c.l_linenumber || ':' || cast(c.q as bigint), ',' order by c.l_linenumber) as told
+         from results r join c on c.l_orderkey = r.run_no and c.l_suppkey = r.check_id group by 1""",
 )
 def report_rows(spark: SparkSession, sf: str) -> DataFrame:
-    """Each result with its lines as clauses."""
-    lines = table(spark, sf, "lineitem")
+    """Each result with the quantity of each line number as its clauses."""
+    place = (F.col("l_orderkey") * 1000000 + F.col("l_suppkey")).alias("result_id")
+    lines = table(spark, sf, "lineitem").groupBy(place, F.col("l_linenumber").alias("position"))
     none = F.lit(None).cast("string")
-    clauses = lines.select(
-        (F.col("l_orderkey") * 1000000 + F.col("l_suppkey")).alias("result_id"),
-        F.struct("l_linenumber", "l_quantity", "l_extendedprice").alias("position"),
+    clauses = lines.agg(F.sum("l_quantity").alias("value")).select(
+        "result_id",
+        "position",
         none.alias("clause_id"),
-        F.concat_ws(
-            ":", F.col("l_linenumber").cast("string"), F.col("l_quantity").cast("bigint").cast("string")
-        ).alias("clause_key"),
+        F.concat(F.lit("line"), F.col("position").cast("string")).alias("clause_key"),
         none.alias("expression"),
         F.lit("sum").alias("metric"),
         F.lit("pass").alias("outcome"),
-        F.col("l_quantity").alias("value"),
+        "value",
         none.alias("message"),
-        F.col("l_quantity").alias("measured"),
+        F.col("value").alias("measured"),
         F.lit("number").alias("unit"),
         F.lit(None).cast("double").alias("previous"),
     )
     rows = reports.report_rows(derived(spark, sf, "results"), clauses)
-    told = F.array_join(F.transform("clauses", lambda c: c["clause_key"]), ",")
+    said = F.transform(
+        "clauses",
+        lambda c: F.concat_ws(
+            ":", c["position"].cast("string"), c["value"].cast("bigint").cast("string")
+        ),
+    )
     return rows.select(
-        "result_id", F.size("clauses").cast("bigint").alias("clauses"), told.alias("told")
+        "result_id",
+        F.size("clauses").cast("bigint").alias("clauses"),
+        F.array_join(said, ",").alias("told"),
     )

@@ -47,19 +47,24 @@ def expand(spark: SparkSession, root: str, pattern: str) -> list[str]:
     """The files a pattern matches below a root, sorted; none is an error.
 
     Spark's own file index lists them (no file is opened), as it does for any
-    read. `**` matches any number of folders; names starting with `.` match
-    only a segment that starts with one.
+    read; only a pattern with `**`, which matches any number of folders, lists
+    all below its fixed part. Names starting with `.` match only a segment
+    that starts with one.
     """
+    if not set("*?[]") & set(pattern):
+        return [f"{root.rstrip('/')}/{pattern}"]
     segments = pattern.split("/")
     fixed = []
-    while len(segments) > 1 and not set("*?[]") & set(segments[0]):
+    while not set("*?[]") & set(segments[0]):
         fixed.append(segments.pop(0))
     base = "/".join([root.rstrip("/"), *fixed])
-    if not set("*?[]") & set(pattern):
-        return [f"{root.rstrip('/')}/{pattern}"]
-    listing = spark.read.format("binaryFile").option("recursiveFileLookup", True)
+    reader = spark.read.format("binaryFile")
+    if "**" in segments:
+        reader, path = reader.option("recursiveFileLookup", True), base
+    else:
+        path = "/".join([base, *segments]).replace("[!", "[^")
     try:
-        listed = [unquote(path) for path in listing.load(base).inputFiles()]
+        listed = [unquote(name) for name in reader.load(path).inputFiles()]
     except AnalysisException:
         listed = []
     found = []

@@ -123,8 +123,11 @@ def test_runs_are_recorded_and_compared_with(spark, tmp_path):
     assert (run.outcome, run.exit_code, run.total, run.failed) == ("fail", 1, 2, 1)
     results.write_results(root, second.runs, second.results, second.clauses)
     runs = results.read_results(spark, root, "runs")
-    stored = results.read_results(spark, root, "results").drop("project", "started_at", "day")
-    assert read_history(stored, runs.withColumn("run_key", F.lit(None)), "p").count() == 4
+    stored = results.read_results(spark, root, "results")
+    history = read_history(stored, runs, "p")
+    assert history.count() == 4
+    assert "PartitionFilters: [isnotnull(project" in history._jdf.queryExecution().toString()
+    assert read_history(stored, runs, "q").count() == 0
     unfinished = runs.withColumn("exit_code", F.lit(None).cast("int"))
     assert read_history(stored, unfinished, "p").count() == 0
 
