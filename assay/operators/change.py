@@ -74,7 +74,7 @@ def baseline_last_runs(samples: DataFrame, runs: int) -> DataFrame:
     )
 
 
-def previous_backfill(history: DataFrame, **hot: int) -> DataFrame:
+def previous_backfill(history: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every result with its baseline of the previous run, `previous`."""
     sample = F.struct(F.col("measured").alias("value"), *ORDER)
     found = running(
@@ -82,8 +82,7 @@ def previous_backfill(history: DataFrame, **hot: int) -> DataFrame:
         ["clause_id"],
         ORDER,
         newest={"_before": F.when(F.col("measured").isNotNull(), sample)},
-        keep_span=True,
-        **hot,
+        hot=hot_keys(history, ["clause_id"], "started_at", hot_rows),
     )
     before = _first_of_time(F.col("_before"))
     return found.withColumn("_before", before).select(

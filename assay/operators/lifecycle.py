@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.outcomes import known_state
 from assay.functions.text import collapse_whitespace
-from assay.operators.ordered import numbered, running
+from assay.operators.ordered import HOT_ROWS, hot_keys, numbered, running
 
 
 class NothingToSync(ValueError):
@@ -109,7 +109,7 @@ def definition_fingerprint(clauses: Column) -> Column:
     return F.sha2(F.to_json(F.array_sort(F.transform(clauses, normal))), 256)
 
 
-def definition_versions(recorded: DataFrame, **hot: int) -> DataFrame:
+def definition_versions(recorded: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """The versions a stream of recorded definitions makes.
 
     `recorded` holds `check_id, fingerprint, started_at, run_id`. A version
@@ -118,11 +118,11 @@ def definition_versions(recorded: DataFrame, **hot: int) -> DataFrame:
     """
     order = ("started_at", "run_id")
     fingerprint = F.col("fingerprint")
-    seen = running(
-        recorded, ["check_id"], order, newest={"latest": fingerprint}, keep_span=True, **hot
-    )
+    by = ["check_id"]
+    hot = hot_keys(recorded, by, "started_at", hot_rows)
+    seen = running(recorded, by, order, newest={"latest": fingerprint}, hot=hot)
     starts = seen.where(~F.col("latest").eqNullSafe(fingerprint)).drop("latest")
-    return numbered(starts, ["check_id"], order, "version").select(
+    return numbered(starts, by, order, "version", hot).select(
         "check_id", "version", "fingerprint", F.col("started_at").alias("recorded_at"), "run_id"
     )
 

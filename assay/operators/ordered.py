@@ -65,18 +65,19 @@ def running(
     totals: Mapping[str, Column] | None = None,
     inclusive: bool = False,
     hot_rows: int = HOT_ROWS,
-    keep_span: bool = False,
+    hot: DataFrame | None = None,
 ) -> DataFrame:
     """Add running columns over the rows before each row of its key.
 
     `newest` keeps the newest non-NULL value of an expression, `totals` its
     sum; `inclusive` counts the row itself too. `order` starts with the time
-    hot keys are cut by and must be unique within a key. `keep_span` leaves the
-    span in, for `numbered`.
+    hot keys are cut by and must be unique within a key. Given the `hot` keys,
+    the span stays in the result, for what follows in the same spans.
     """
     newest, totals = dict(newest or {}), dict(totals or {})
     values = {f"_v_{name}": value for name, value in {**newest, **totals}.items()}
-    hot = hot_keys(df, by, order[0], hot_rows)
+    kept = df.columns if hot is None else [*df.columns, SPAN]
+    hot = hot_keys(df, by, order[0], hot_rows) if hot is None else hot
     at = F.struct(*order)
 
     def local(name: str) -> Column:
@@ -107,11 +108,12 @@ def running(
     out = {n: F.coalesce(f"_w_{n}", f"_c_{n}") for n in newest}
     for n in totals:
         out[n] = F.coalesce(f"_w_{n}", F.lit(0)) + F.coalesce(f"_c_{n}", F.lit(0))
-    kept = [*df.columns, SPAN] if keep_span else df.columns
     return joined.select(*kept, *[column.alias(n) for n, column in out.items()])
 
 
-def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str) -> DataFrame:
+def numbered(
+    rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str, hot: DataFrame
+) -> DataFrame:
     """Number each key's rows from 1, over rows that kept their span.
 
     A window numbers them inside a span, without another shuffle; only spans
@@ -119,10 +121,10 @@ def numbered(rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str
     """
     inside = Window.partitionBy(*by, SPAN).orderBy(*order)
     earlier = Window.partitionBy(*by).orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.where(F.col(SPAN) > 0).groupBy(*by, SPAN).agg(F.count(F.lit(1)).alias("_n"))
+    of_hot = rows.join(F.broadcast(hot.select(*by)), list(by), "left_semi")
+    sizes = of_hot.groupBy(*by, SPAN).agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select(*by, SPAN, F.sum("_n").over(earlier).alias("_before"))
-    number = F.row_number().over(inside)
-    joined = rows.withColumn("_i", number).join(before, [*by, SPAN], "left")
+    joined = rows.withColumn("_i", F.row_number().over(inside)).join(before, [*by, SPAN], "left")
     out = (F.col("_i") + F.coalesce("_before", F.lit(0))).cast("long")
     return joined.withColumn(name, out).drop(SPAN, "_i", "_before")
 

@@ -85,6 +85,7 @@ def main() -> None:
     measured = history.selectExpr(
         "check_id as clause_id", "value as measured", "metric", "started_at", "run_id", "run_key"
     )
+    results = history.select("check_id", "result_id", "run_id", "started_at", "outcome")
     recorded = history.selectExpr(
         "check_id", "started_at", "run_id", "md5(expression) as fingerprint"
     )
@@ -101,8 +102,8 @@ def main() -> None:
         "heads_from_1m_results": lambda: run(state.current_heads(million)),
         "advance_heads_by_one_run": lambda: run(state.advance_heads(before, newest, million)),
         "state_changes_1m_results": lambda: run(state.state_changes(million)),
-        "heads_from_history": lambda: run(state.current_heads(history)),
-        "state_changes": lambda: run(state.state_changes(history)),
+        "heads_from_history": lambda: run(state.current_heads(results)),
+        "state_changes": lambda: run(state.state_changes(results)),
         "baseline_previous": lambda: run(change.previous_backfill(measured)),
         "baseline_same_weekday": lambda: run(change.same_weekday_backfill(measured)),
         "baseline_last_7": lambda: run(change.last_runs_backfill(measured, 7)),

@@ -222,11 +222,11 @@ def test_running_values_and_numbers(spark, hot_rows):
         for i in range(draw.randint(1, 60))
     ]
     df = spark.createDataFrame(rows, "k int, at timestamp, run string, v int")
+    hot = ordered.hot_keys(df, ["k"], "at", hot_rows)
     got = ordered.running(
-        df, ["k"], ("at", "run"), newest={"last": F.col("v")}, totals={"sum": F.col("v")},
-        hot_rows=hot_rows, keep_span=True,
+        df, ["k"], ("at", "run"), newest={"last": F.col("v")}, totals={"sum": F.col("v")}, hot=hot
     )
-    got = ordered.numbered(got, ["k"], ("at", "run"), "i").collect()
+    got = ordered.numbered(got, ["k"], ("at", "run"), "i", hot).collect()
     for row in got:
         before = sorted((r[1], r[2], r[3]) for r in rows if r[0] == row.k and r[1:3] < (row.at, row.run))
         values = [b[2] for b in before if b[2] is not None]
