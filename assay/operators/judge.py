@@ -10,6 +10,10 @@ from assay.functions.rows import literal_rows
 from assay.operators.metrics import metric_named
 from assay.spec import Rule, Suite
 
+# The words of messages.
+NO_VALUE = "no value to evaluate"
+EXPECTED, WARNED, FAILED = "expected ", "warn when ", "fail when "
+
 RULE_PARTS = ("op", "low", "high", "text")
 _RULE = "{0}_op string, {0}_low double, {0}_high double, {0}_text string"
 RULES = (
@@ -85,17 +89,17 @@ def outcome_of(value: Column, error: Column | None = None) -> Column:
 def message_of(value: Column, outcome: Column, detail: Column, error: Column) -> Column:
     """Why: the error, the rule that was broken or met, and the detail."""
     rule = (
-        F.when(outcome == "warn", F.concat(F.lit("warn when "), F.col("warn_text")))
+        F.when(outcome == "warn", F.concat(F.lit(WARNED), F.col("warn_text")))
         .when(
             (outcome == "fail") & F.col("expect_op").isNotNull(),
-            F.concat(F.lit("expected "), F.col("expect_text")),
+            F.concat(F.lit(EXPECTED), F.col("expect_text")),
         )
-        .when(outcome == "fail", F.concat(F.lit("fail when "), F.col("fail_text")))
+        .when(outcome == "fail", F.concat(F.lit(FAILED), F.col("fail_text")))
     )
     said = F.concat_ws("; ", rule, detail)
     return (
         F.when(error.isNotNull(), error)
-        .when(value.isNull(), F.coalesce(detail, F.lit("no value to evaluate")))
+        .when(value.isNull(), F.coalesce(detail, F.lit(NO_VALUE)))
         .otherwise(F.when(said != "", said))
     )
 

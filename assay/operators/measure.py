@@ -19,7 +19,7 @@ from pyspark.sql import types as T
 
 from assay.functions import predicates as P
 from assay.functions.rows import literal_rows
-from assay.operators.metrics import Context, kind_of, metric_named
+from assay.operators.metrics import NO_ROWS, Context, Measured, kind_of, metric_named
 from assay.spec import Clause, Suite
 
 MEASURED = "clause_id string, value double, detail string, error string"
@@ -39,7 +39,7 @@ def measure(df: DataFrame, suite: Suite, now: datetime) -> DataFrame:
     spark = df.sparkSession
     rows = df.where(P.sql_condition(suite.filter)) if suite.filter else df
     types = {f.name.lower(): f.dataType for f in df.schema.fields}
-    fused: dict[str, tuple[Column, Column | None]] = {}
+    fused: dict[str, Measured] = {}
     grouped: dict[tuple[tuple[str, ...], str | None], list[tuple[str, str]]] = {}
     parts: list[DataFrame] = []
     errors: dict[str, str] = {}
@@ -61,7 +61,7 @@ def measure(df: DataFrame, suite: Suite, now: datetime) -> DataFrame:
             grouped.setdefault(scope, []).append((clause_id, clause.metric))
         else:
             try:
-                fused[clause_id] = metric.measure(ctx)
+                fused[clause_id] = Measured(*metric.measure(ctx))
             except ValueError as exc:  # an option no column can be built from
                 errors[clause_id] = str(exc)
     fused = _resolved(rows, fused, errors)
@@ -81,10 +81,8 @@ def measure(df: DataFrame, suite: Suite, now: datetime) -> DataFrame:
 
 
 def _resolved(
-    rows: DataFrame,
-    fused: Mapping[str, tuple[Column, Column | None]],
-    errors: dict[str, str],
-) -> dict[str, tuple[Column, Column | None]]:
+    rows: DataFrame, fused: Mapping[str, Measured], errors: dict[str, str]
+) -> dict[str, Measured]:
     """The measures that can be analysed against these rows.
 
     One analysis for all; only when that fails is each tried alone, so a
@@ -93,31 +91,31 @@ def _resolved(
     if not fused:
         return {}
     try:
-        rows.agg(*[value for value, _ in fused.values()]).schema
+        rows.agg(*[measured.value for measured in fused.values()]).schema
         return dict(fused)
     except AnalysisException:
         kept = {}
-        for clause_id, (value, detail) in fused.items():
+        for clause_id, measured in fused.items():
             try:
-                rows.agg(value).schema
-                kept[clause_id] = (value, detail)
+                rows.agg(measured.value).schema
+                kept[clause_id] = measured
             except AnalysisException as exc:
                 errors[clause_id] = masked(exc)
         return kept
 
 
-def fused_scan(
-    rows: DataFrame, measures: Mapping[str, tuple[Column, Column | None]]
-) -> DataFrame:
+def fused_scan(rows: DataFrame, measures: Mapping[str, Measured]) -> DataFrame:
     """All measures as one aggregate row over one scan, turned into long form."""
     columns: list[Column] = []
     cells: list[str] = []
-    for i, (clause_id, (value, detail)) in enumerate(measures.items()):
-        columns.append(value.cast("double").alias(f"v{i}"))
-        if detail is not None:
-            columns.append(detail.cast("string").alias(f"d{i}"))
-        told = f"d{i}" if detail is not None else "cast(null as string)"
-        cells.append(f"'{clause_id}', v{i}, {told}, cast(null as string)")
+    for i, (clause_id, measured) in enumerate(measures.items()):
+        columns.append(measured.value.cast("double").alias(f"v{i}"))
+        told = []
+        for name, column in (("d", measured.detail), ("e", measured.error)):
+            if column is not None:
+                columns.append(column.cast("string").alias(f"{name}{i}"))
+            told.append(f"{name}{i}" if column is not None else "cast(null as string)")
+        cells.append(f"'{clause_id}', v{i}, {', '.join(told)}")
     names = "clause_id, value, detail, error"
     return rows.agg(*columns).selectExpr(f"stack({len(cells)}, {', '.join(cells)}) as ({names})")
 
@@ -146,9 +144,8 @@ def key_measures(
         "duplicate_percent": P.percent(surplus, in_scope),
     }
     measures = {
-        clause_id: (
-            values[metric],
-            F.when(in_scope == 0, "no rows in scope") if metric.endswith("percent") else None,
+        clause_id: Measured(
+            values[metric], F.when(in_scope == 0, NO_ROWS) if metric.endswith("percent") else None
         )
         for clause_id, metric in wanted
     }

@@ -137,6 +137,8 @@ def test_freshness_in_other_zones_and_types(spark):
         "ahead": 3570,
     }
     assert measured(df, clauses[-1])["ahead"].value == -30
+    words = measured(df, clauses[5])["words"].error
+    assert words.endswith("got other text") and "soon" not in words
 
 
 def test_freshness_does_not_depend_on_the_session_zone(spark, t):
