@@ -64,19 +64,21 @@ def shared_prefix(first: Column, last: Column) -> Column:
 
 def format_duration(seconds: Column) -> Column:
     """At most two units, largest first: `2h 12m`, `-7h`, `0s`."""
-    total = F.round(F.abs(seconds)).cast("long")
-    amounts = [
-        (F.floor(total / 86400), "d"),
-        (F.floor(total % 86400 / 3600), "h"),
-        (F.floor(total % 3600 / 60), "m"),
-        (total % 60, "s"),
-    ]
-    shown = F.array_compact(
-        F.array(*[F.when(n > 0, F.concat(n.cast("string"), F.lit(u))) for n, u in amounts])
-    )
-    words = F.array_join(F.slice(shown, 1, 2), " ")
-    words = F.when(words == "", "0s").otherwise(words)
-    return F.when(seconds < 0, F.concat(F.lit("-"), words)).otherwise(words)
+    total = F.bround(F.abs(seconds), 0).cast("long")
+    amounts = {
+        "d": F.floor(total / 86400),
+        "h": F.floor(total % 86400 / 3600),
+        "m": F.floor(total % 3600 / 60),
+        "s": total % 60,
+    }
+    shown, larger = [], F.lit(0)
+    for unit, amount in amounts.items():
+        text = F.concat(amount.cast("string"), F.lit(unit))
+        shown.append(F.when((amount > 0) & (larger < 2), text))
+        larger = larger + F.when(amount > 0, 1).otherwise(0)
+    sign = F.when((seconds < 0) & (total > 0), "-").otherwise("")
+    words = F.concat(sign, F.concat_ws(" ", *shown))
+    return F.when(total == 0, F.when(seconds < 0, "-0s").otherwise("0s")).otherwise(words)
 
 
 def format_value(unit: Column, value: Column, noun: Column | None = None) -> Column:

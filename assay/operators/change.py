@@ -8,9 +8,14 @@ for a read, `run_key`.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from assay.functions.rows import literal_rows
 from assay.functions.times import day_number
 from assay.operators.judge import message_of, outcome_of
 from assay.operators.ordered import (
@@ -22,6 +27,7 @@ from assay.operators.ordered import (
     running,
     with_spans,
 )
+from assay.spec import Change, Suite
 
 ORDER = ("started_at", "run_id")
 # How many of the newest rows a same-weekday baseline looks
@@ -74,6 +80,33 @@ def baseline_last_runs(samples: DataFrame, runs: int) -> DataFrame:
     )
 
 
+def baselines_for(
+    history: DataFrame, suites: Sequence[Suite], now: Column, run_key: str | None = None
+) -> DataFrame:
+    """(clause_id, previous) for every `change` clause of the suites, read once
+    before a run at `now`. Only values of the clause's own metric count."""
+    samples = earlier_samples(history, now, run_key)
+    wanted: dict[Change, list[Column]] = {}
+    for suite in suites:
+        for clause_id, _, clause in suite.clause_ids():
+            if clause.change is not None:
+                of_clause = (F.col("clause_id") == clause_id) & (F.col("metric") == clause.metric)
+                wanted.setdefault(clause.change, []).append(of_clause)
+    parts = []
+    for kind, conditions in wanted.items():
+        rows = samples.where(reduce(or_, conditions))
+        if kind.baseline == "previous run":
+            found = baseline_previous(rows)
+        elif kind.baseline == "same weekday":
+            found = baseline_same_weekday(rows, now)
+        else:
+            found = baseline_last_runs(rows, kind.runs).where(F.col("previous").isNotNull())
+        parts.append(found.select("clause_id", "previous"))
+    if not parts:
+        return literal_rows(history.sparkSession, "clause_id string, previous double", [])
+    return reduce(DataFrame.unionByName, parts)
+
+
 def previous_backfill(history: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every result with its baseline of the previous run, `previous`."""
     sample = F.struct(F.col("measured").alias("value"), *ORDER)

@@ -32,13 +32,13 @@ def cut_lineage(df: DataFrame, folder: str | None = None) -> DataFrame:
 
 
 # A side of a join with at most so many rows is broadcast.
-BROADCAST_ROWS = 1_000_000
+BROADCAST_ROWS = 500_000
 
 
 def settled(df: DataFrame) -> DataFrame:
     """An intermediate result of a row per key, written out so its size is known.
 
-    Up to a million rows it is broadcast, so that the large side of its join is
+    Up to half a million rows it is broadcast, so that the large side of its join is
     not shuffled. Beyond that the join is left to Spark, which shuffles both
     sides and splits hot keys at run time.
     """

@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay import Change, Check, Clause, Rule, Suite
+from assay.operators.change import baselines_for
 from assay.operators.history import read_history
 from assay.operators.run import run_suites
 from assay.sources import files, results
@@ -103,7 +104,7 @@ def suite():
 
 
 def test_runs_are_recorded_and_compared_with(spark, tmp_path):
-    root = str(tmp_path)
+    root, later = str(tmp_path), datetime(2026, 1, 2)
     df = spark.range(1, 5).withColumnRenamed("id", "n")
     first = run_suites([(suite(), df)], NOW, project="p", run_id="r1")
     results.write_results(root, first.runs, first.results, first.clauses)
@@ -113,9 +114,12 @@ def test_runs_are_recorded_and_compared_with(spark, tmp_path):
     assert stored["steady"].outcome == "skipped"
     assert stored["steady"].message == "no earlier result to compare with"
     clauses = results.read_results(spark, root, "clauses")
-    before = clauses.where("measured is not null").select("clause_id", F.col("measured").alias("previous"))
+    history = clauses.withColumn("run_key", F.lit(None).cast("string"))
+    before = baselines_for(history, [suite()], F.lit(later).cast("timestamp"))
+    assert [r.previous for r in before.collect()] == [10]
+    too_early = baselines_for(history, [suite()], F.lit(NOW).cast("timestamp"))
+    assert too_early.isEmpty()
     more = spark.range(1, 7).withColumnRenamed("id", "n")
-    later = datetime(2026, 1, 2)
     second = run_suites([(suite(), more)], later, project="p", run_id="r2", baselines=before)
     found = {r.name: r for r in second.results.collect()}
     assert (found["steady"].outcome, round(found["steady"].value, 6)) == ("fail", 110)
