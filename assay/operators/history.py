@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from assay.operators.ordered import newest_row
+from assay.sources.results import settled
 
 RUN_ORDER = ("started_at", "run_id")
 # The events an alert can be about.
@@ -50,12 +51,13 @@ def join_heads(
 ) -> DataFrame:
     """Each check's head with the check, its newest result and that run.
 
-    `results` bring the columns heads do not have; `runs` theirs.
+    `results` bring the columns heads do not have; `runs` theirs. Heads are a
+    row per check, so they are settled and the results stay where they are.
     """
     of_result = results.drop("check_id", "run_id", "outcome")
     of_run = runs.drop("started_at", "outcome")
     return (
-        heads.join(checks, "check_id").join(of_result, "result_id").join(of_run, "run_id")
+        of_result.join(settled(heads), "result_id").join(checks, "check_id").join(of_run, "run_id")
     )
 
 
@@ -87,11 +89,12 @@ def recorded_after(history: DataFrame, places: DataFrame) -> DataFrame:
     """The `places` whose check has a result in a newer run.
 
     `places` holds `check_id, started_at, run_id`. A history is first folded
-    to each check's newest place, so no pair of rows is formed.
+    to each check's newest place, so no pair of rows is formed; those are a
+    row per check, so they are settled and the places stay where they are.
     """
     at = F.struct(*RUN_ORDER)
     newest = history.groupBy("check_id").agg(F.max(at).alias("newest"))
-    both = places.join(newest, "check_id")
+    both = places.join(settled(newest), "check_id")
     return both.where(F.col("newest") > at).select(*places.columns).distinct()
 
 

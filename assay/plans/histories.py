@@ -520,41 +520,20 @@ def prefix_match(spark: SparkSession, sf: str) -> DataFrame:
     return history.prefix_match(derived(spark, sf, "checks"), "check_hash", "a")
 
 
-URGENCY = """case coalesce({0}, 'none') when 'fail' then 0 when 'error' then 1 when 'warn' then 2
-             when 'none' then 3 when 'skipped' then 4 else 5 end"""
-
-
 @query(
     "problems_first",
     with_tables("history", "checks", more=STATE)
-    + f"""select c.check_id, coalesce(h.outcome, 'none') as status, row_number() over
-            (order by {URGENCY.format('h.outcome')}, c.check_id) as place
-          from checks c left join heads h on h.check_id = c.check_id""",
+    + """select c.check_id, coalesce(h.outcome, 'none') as status,
+                cast(case coalesce(h.outcome, 'none') when 'fail' then 0 when 'error' then 1 when 'warn' then 2
+                     when 'none' then 3 when 'skipped' then 4 else 5 end as bigint) as urgency
+         from checks c left join heads h on h.check_id = c.check_id order by urgency, c.check_id""",
 )
 def problems_first(spark: SparkSession, sf: str) -> DataFrame:
-    """Checks in order of urgency, each with its place in the list.
-
-    The place is how many checks of a more urgent status there are, plus the
-    check's own place within its status: counts, then one window per status.
-    """
     heads = state.current_heads(derived(spark, sf, "history"))
-    listed = rollups.problems_first(
-        rollups.with_latest(derived(spark, sf, "checks"), heads), "check_id"
-    )
-    urgency = position_in(rollups.status(), PROBLEM_ORDER).alias("urgency")
-    rows = listed.select("check_id", rollups.status().alias("status"), urgency)
-    return with_places(rows).select("check_id", "status", F.col("place").cast("bigint").alias("place"))
-
-
-def with_places(rows: DataFrame) -> DataFrame:
-    from pyspark.sql import Window
-
-    by_status = Window.partitionBy("urgency").orderBy("check_id")
-    ahead = Window.orderBy("urgency").rowsBetween(Window.unboundedPreceding, -1)
-    sizes = rows.groupBy("urgency").agg(F.count(F.lit(1)).alias("n"))  # six rows at most
-    sizes = sizes.select("urgency", F.coalesce(F.sum("n").over(ahead), F.lit(0)).alias("before"))
-    inside = rows.withColumn("inside", F.row_number().over(by_status))
-    return inside.join(sizes, "urgency").withColumn("place", F.col("inside") + F.col("before"))
+    checks = rollups.with_latest(derived(spark, sf, "checks"), heads)
+    urgency = position_in(rollups.status(), PROBLEM_ORDER).cast("bigint").alias("urgency")
+    listed = rollups.problems_first(checks, "check_id")
+    return listed.select("check_id", rollups.status().alias("status"), urgency)
 
 
 # --- 2.9 sets ---------------------------------------------------------------

@@ -766,9 +766,10 @@ def clause_error(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "check_outcome",
-    """with """ + "c as (select l_orderkey, case when l_quantity > 49 then 3 when l_quantity > 40 then 2 when l_quantity > 30 then 1 when l_quantity > 10 then 0 end as rank from lineitem) "
-    """select l_orderkey as check_id, case max(rank) when 3 then 'error' when 2 then 'fail' when 1 then 'warn' when 0 then 'pass' else 'skipped' end as outcome
-       from c group by 1""",
+    """select l_orderkey as check_id, case max(rank) when 3 then 'error' when 2 then 'fail' when 1 then 'warn'
+              when 0 then 'pass' else 'skipped' end as outcome
+       from (select l_orderkey, case when l_quantity > 49 then 3 when l_quantity > 40 then 2
+                    when l_quantity > 30 then 1 when l_quantity > 10 then 0 end as rank from lineitem) c group by 1""",
 )
 def check_outcome(spark: SparkSession, sf: str) -> DataFrame:
     quantity = F.col("l_quantity")

@@ -200,3 +200,23 @@ def test_durations_and_values(spark):
         text.format_value(F.lit("number"), F.lit(None).cast("double")),
     )
     assert list(shown.first()) == ["1,234", "12.35%", "20.5", "—"]
+
+
+def test_problems_come_first(spark):
+    outcomes = ["pass", None, "fail", "skipped", "error", "warn", "fail"]
+    df = spark.createDataFrame(list(enumerate(outcomes)), "check_id int, outcome string")
+    listed = rollups.problems_first(df, "check_id").collect()
+    assert [r.check_id for r in listed] == [2, 6, 4, 5, 1, 3, 0]
+
+
+def test_top_values_and_facets(spark):
+    rows = [(i, ["b"] if i % 3 else ["A", ""], None if i < 2 else "me", "s", "pass") for i in range(6)]
+    df = spark.createDataFrame(
+        rows, "check_id int, tags array<string>, owner string, datasource string, outcome string"
+    )
+    df = df.withColumns({c: F.lit("x") for c in ("name", "expression", "dataset", "path", "check_hash")})
+    counts = search.facet_counts(df, "tag", chosen={"tag": ["b"], "owner": ["me"]})
+    assert [tuple(r) for r in search.top_values(counts).collect()] == [("b", 3), ("A", 1)]
+    owners = search.facet_counts(df, "owner", chosen={"owner": ["me"]})
+    assert [tuple(r) for r in search.top_values(owners).collect()] == [("me", 4), ("", 2)]
+    assert search.facet_filter(df, chosen={"owner": [""]}).count() == 2

@@ -258,3 +258,24 @@ def test_segments_break_at_everything_unplotted(spark):
     )
     found = series.value_segments(df, F.lit("avg")).orderBy("breaks").collect()
     assert [(s.points, s.lowest, s.highest) for s in found] == [(2, 1, 2), (1, 3, 3), (1, 6, 6)]
+
+
+def final_plan(df):
+    df = df.agg(F.count(F.lit(1)))
+    df.collect()
+    plan = df._jdf.queryExecution().executedPlan().toString()
+    return plan.split("== Initial Plan ==")[0]
+
+
+def test_without_hot_keys_a_history_is_read_and_shuffled_once(spark, tmp_path):
+    spark.createDataFrame(random_history(1), SCHEMA).write.parquet(str(tmp_path / "h"))
+    history = spark.read.parquet(str(tmp_path / "h"))
+    plan = final_plan(state.state_changes(history))
+    assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1
+    assert "Join" not in plan
+
+
+def test_heads_shuffle_aggregates_alone(spark, tmp_path):
+    spark.createDataFrame(random_history(1), SCHEMA).write.parquet(str(tmp_path / "h"))
+    plan = final_plan(state.current_heads(spark.read.parquet(str(tmp_path / "h"))))
+    assert "SortMergeJoin" not in plan and "Window" not in plan
