@@ -164,6 +164,19 @@ def state_changes(results: DataFrame, **hot: int) -> DataFrame:
     )
 
 
+def _against_heads(heads: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Heads with each check's `new` result and whether it `moves` the head
+    alone, and the checks of the batch that must be recomputed instead."""
+    new = _entries(batch).groupBy("check_id").agg(
+        F.count(F.lit(1)).alias("n"), F.max(F.struct("at", "outcome", "result_id")).alias("new")
+    )
+    at = F.struct(*[F.col(c) for c in ORDER])
+    moves = F.coalesce((F.col("n") == 1) & (F.col("new.at") > at), F.lit(False))
+    both = heads.join(new, "check_id", "left").withColumn("moves", moves)
+    redo = new.join(both.where("moves").select("check_id"), "check_id", "left_anti")
+    return both, settled(redo.select("check_id"))
+
+
 def advance_heads(heads: DataFrame, batch: DataFrame, history: DataFrame) -> DataFrame:
     """All heads after a batch of new results, equal to a full recompute.
 
@@ -171,22 +184,48 @@ def advance_heads(heads: DataFrame, batch: DataFrame, history: DataFrame) -> Dat
     alone. A check that is new, has several new results or a late one is
     recomputed from its history, which holds the batch already.
     """
-    new = _entries(batch).groupBy("check_id").agg(
-        F.count(F.lit(1)).alias("n"), F.max(F.struct("at", "outcome", "result_id")).alias("new")
+    both, redo = _against_heads(heads, batch)
+    heads_now = both.where(F.col("n").isNull()).select(*HEAD).unionByName(
+        _moved(both.where("moves"))
     )
-    both = heads.join(new, "check_id", "left")
-    at = F.struct(*[F.col(c) for c in ORDER])
-    moves = (F.col("n") == 1) & (F.col("new.at") > at)
-    kept = both.where(F.col("n").isNull()).select(*HEAD)
-    moved = _moved(both.where(moves))
-    redo = settled(new.join(both.where(moves).select("check_id"), "check_id", "left_anti"))
-    heads_now = kept.unionByName(moved)
     if redo.isEmpty():  # the usual case: the history is not read at all
         return heads_now
-    late = history.join(redo.select("check_id"), "check_id", "left_semi")
+    late = history.join(redo, "check_id", "left_semi")
     return heads_now.unionByName(current_heads(late).select(*HEAD))
 
 
+CHANGE = ("check_id", "result_id", "run_id", "started_at", "event", "previous_outcome")
+
+
+def advance_changes(
+    changes: DataFrame, heads: DataFrame, batch: DataFrame, history: DataFrame
+) -> DataFrame:
+    """All state changes after a batch of new results, from those and the heads
+    before it; equal to a full recompute.
+
+    A late result can change what later ones meant, so the checks whose heads
+    are recomputed have all their changes replaced.
+    """
+    both, redo = _against_heads(heads, batch)
+    outcome = F.col("new.outcome")
+    alert, unskipped = F.col("basis_alert"), F.col("basis_unskipped")
+    told = both.where("moves").select(
+        "check_id",
+        F.col("new.result_id").alias("result_id"),
+        F.col("new.at.run_id").alias("run_id"),
+        F.col("new.at.started_at").alias("started_at"),
+        event_of(outcome, alert, unskipped).alias("event"),
+        F.when(outcome == "error", unskipped).otherwise(alert).alias("previous_outcome"),
+    )
+    kept = changes.select(*CHANGE)
+    added = told.where(F.col("event").isNotNull())
+    if redo.isEmpty():
+        return kept.unionByName(added)
+    again = state_changes(history.join(redo, "check_id", "left_semi")).select(*CHANGE)
+    kept = kept.join(redo, "check_id", "left_anti")
+    return kept.unionByName(added).unionByName(again)
+
+
 def _moved(both: DataFrame) -> DataFrame:
     """Heads moved on by the one newer result in `new`."""
     was, now = F.col("outcome"), F.col("new.outcome")

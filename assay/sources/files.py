@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import fnmatch
+from collections.abc import Callable, Hashable
 from concurrent.futures import ThreadPoolExecutor
 from functools import reduce
 from urllib.parse import unquote
@@ -21,10 +22,12 @@ FORMATS = {
     ".jsonl": "json",
     ".ndjson": "json",
 }
-# How many files a pattern may match, how deep it may go.
+# How many files a pattern may match unless told otherwise, how
+# deep it may go.
 MOST_FILES = 10_000
 MOST_FOLDERS = 32
-HEADER_READS = 16
+# How many files' first lines are read at a time.
+FIRST_LINE_READS = 16
 
 
 class NoSuchFiles(ValueError):
@@ -43,8 +46,11 @@ def separator_of(path: str) -> str:
     return "\t" if path.lower().removesuffix(".gz").endswith(".tsv") else ","
 
 
-def expand(spark: SparkSession, root: str, pattern: str) -> list[str]:
-    """The files a pattern matches below a root, sorted; none is an error.
+def expand(
+    spark: SparkSession, root: str, pattern: str, most_files: int = MOST_FILES
+) -> list[str]:
+    """The files a pattern matches below a root, sorted; none is an error, and
+    so are too many: nothing is ever left out.
 
     Spark's own file index lists them (no file is opened), as it does for any
     read; only a pattern with `**`, which matches any number of folders, lists
@@ -75,8 +81,8 @@ def expand(spark: SparkSession, root: str, pattern: str) -> list[str]:
             found.append(path)
     if not found:
         raise NoSuchFiles(f"no file matches {pattern!r}")
-    if len(found) > MOST_FILES:
-        raise NoSuchFiles(f"{pattern!r} matches more than {MOST_FILES} files")
+    if len(found) > most_files:
+        raise NoSuchFiles(f"{pattern!r} matches more than {most_files} files")
     return sorted(set(found))
 
 
@@ -95,19 +101,33 @@ def _matches(names: list[str], segments: list[str]) -> bool:
 
 
 def read_files(
-    spark: SparkSession, root: str, pattern: str, schema: T.StructType | None = None
+    spark: SparkSession,
+    root: str,
+    pattern: str,
+    schema: T.StructType | None = None,
+    most_files: int = MOST_FILES,
 ) -> DataFrame:
     """A file or a pattern as one DataFrame, a column a file lacks being NULL.
 
     Give `schema` to save the pass over the data that infers types.
     """
-    files = expand(spark, root, pattern)
+    files = expand(spark, root, pattern, most_files)
     kind = format_of(pattern)
     if kind == "parquet":
         return _parquet(spark, files)
     return _csv(spark, files, schema) if kind == "csv" else _json(spark, files, schema)
 
 
+def grouped(files: list[str], kind: Callable[[str], Hashable]) -> dict[Hashable, list[str]]:
+    """Files by what their first line says; many first lines are read at once."""
+    with ThreadPoolExecutor(FIRST_LINE_READS) as pool:
+        kinds = list(pool.map(kind, files))
+    groups: dict[Hashable, list[str]] = {}
+    for found, path in zip(kinds, files, strict=True):
+        groups.setdefault(found, []).append(path)
+    return groups
+
+
 def _parquet(spark: SparkSession, files: list[str]) -> DataFrame:
     return spark.read.option("mergeSchema", len(files) > 1).parquet(*files)
 
@@ -125,11 +145,7 @@ def _csv(spark: SparkSession, files: list[str], schema: T.StructType | None) ->
     def header(path: str) -> tuple[str, ...]:
         return (separator_of(path), *reader(path).csv(path).columns)
 
-    with ThreadPoolExecutor(HEADER_READS) as pool:
-        headers = list(pool.map(header, files))
-    groups: dict[tuple[str, ...], list[str]] = {}
-    for found, path in zip(headers, files, strict=True):
-        groups.setdefault(found, []).append(path)
+    groups = grouped(files, header)
     if schema is None:
         inferred = [
             reader(paths[0]).option("inferSchema", True).csv(paths) for paths in groups.values()
@@ -174,11 +190,8 @@ def union_by_name(parts: list[DataFrame]) -> DataFrame:
 
 def _json(spark: SparkSession, files: list[str], schema: T.StructType | None) -> DataFrame:
     """Objects one per line, or a `.json` file holding one array of them."""
-    groups: dict[bool, list[str]] = {}
-    for path in files:
-        groups.setdefault(_is_array(spark, path), []).append(path)
     parts = []
-    for is_array, paths in groups.items():
+    for is_array, paths in grouped(files, lambda path: _is_array(spark, path)).items():
         reader = spark.read.option("multiLine", is_array)
         parts.append((reader.schema(schema) if schema else reader).json(paths))
     return union_by_name(parts)

@@ -73,6 +73,8 @@ def test_patterns(spark, tmp_path):
     assert found("2024/0?/**/*.csv") == ["2024/01/a.csv", "2024/02/b.csv"]
     assert found("20*/c.csv") == ["2025/c.csv"]
     assert found(".x/*.csv") == [".x/e.csv"]
+    with pytest.raises(files.NoSuchFiles):
+        files.read_files(spark, str(tmp_path), "**/*.csv", most_files=3)
     for pattern in ("*.tsv", "nowhere/*.csv"):
         with pytest.raises(files.NoSuchFiles):
             found(pattern)

@@ -91,6 +91,11 @@ def test_advancing_equals_recomputing(spark, seed):
     marked = history.withColumn("new", F.col("result_id").isin(*batch))
     heads = state.current_heads(marked.where(~F.col("new")))
     assert as_heads(state.advance_heads(heads, marked.where("new"), history)) == wanted
+    before = state.state_changes(marked.where(~F.col("new")))
+    after = state.advance_changes(before, heads, marked.where("new"), history).collect()
+    events = sequential(rows)[1]
+    assert len(after) == len(events)
+    assert {r.result_id: (r.event, r.previous_outcome) for r in after} == events
 
 
 def test_a_batch_of_one_newer_run_does_not_read_the_history(spark):
