@@ -7,7 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.llm import chat, line_dedup, mixing, url_filter
+from assay.llm import (
+    chat,
+    decontaminate,
+    fingerprints,
+    language,
+    line_dedup,
+    mixing,
+    ngram_join,
+    token_counts,
+    url_filter,
+    warc,
+)
 from assay.llm.common import read
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -24,6 +35,15 @@ def query(name: str, oracle: str | None = None):
     return register
 
 
+@query("op1_language_id")
+def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents")
+    held_out = language.is_held_out(F.col("doc_id"))
+    model = language.train(documents.where(~held_out))
+    found = language.identified(documents, model)
+    return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
+
+
 @query(
     "op2_mixing",
     r"""
@@ -71,6 +91,16 @@ def op2_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return plan.select("doc_id", "size", "source_size", "target", taken)
 
 
+@query("op3_ngram_join")
+def op3_ngram_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ngram_join.linked(read(spark, sf_dir, "documents")).drop("text_hash")
+
+
+@query("op4_token_counts")
+def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.histogram(token_counts.token_lengths(read(spark, sf_dir, "documents")))
+
+
 @query(
     "op5_url_filters",
     r"""
@@ -143,6 +173,50 @@ def op6_chat_formatting(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chat.read_back(chat.examples(given.unionByName(planted)))
 
 
+@query("op7_decontamination")
+def op7_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents = read(spark, sf_dir, "documents").select("doc_id", "text")
+    benchmark = read(spark, sf_dir, "benchmark")
+    return decontaminate.digested(decontaminate.matched(documents, benchmark))
+
+
+@query("op8_fingerprints")
+def op8_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.compared(read(spark, sf_dir, "documents"))
+
+
+@query(
+    "op9_warc",
+    """
+with known as (
+    select page_id, coalesce(html, '') as html from pages
+), firsts as (
+    select sha256(html) as digest, min(page_id) as first_id from known
+    where strlen(html) >= 100 group by 1
+), judged as (
+    select k.page_id, strlen(k.html) as payload_bytes, sha256(k.html) as payload_digest,
+        case when f.first_id is not null and f.first_id is distinct from k.page_id
+            then f.first_id end as refers_to
+    from known k left join firsts f on sha256(k.html) = f.digest and strlen(k.html) >= 100
+)
+select *, case when refers_to is null then 'response' else 'revisit' end as record_type
+from judged
+""",
+)
+def op9_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    def page(name: str):
+        return F.expr(f"try_cast(substring({name}, {len('urn:page:') + 1}) as bigint)")
+
+    records = warc.round_trip(read(spark, sf_dir, "pages")).where("gap_reason is null")
+    return records.select(
+        page("record_id").alias("page_id"),
+        "payload_bytes",
+        "payload_digest",
+        "record_type",
+        page("refers_to").alias("refers_to"),
+    )
+
+
 @query(
     "op10_line_dedup",
     r"""
