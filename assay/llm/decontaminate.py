@@ -26,11 +26,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from assay.llm.common import fresh
 from assay.llm.words import ALPHANUMERIC, Words, chunks, encoded, mixed
 
 WINDOW = 10
 SHARD_WORDS = 50_000
 COVERAGE = 0.5
+#: What columns found are called, where documents have none of these.
+ADDED = ("_n_words", "_spans", "_items")
 
 
 class SuffixAutomaton:
@@ -188,7 +191,8 @@ def found_in(known: np.ndarray, wanted: np.ndarray) -> np.ndarray:
 
 def shards(items: DataFrame, item: str, text: str, words: int) -> Iterator[list[tuple[str, bytes]]]:
     """Items in lists of about so many words, one list in memory at a time."""
-    rows = items.select(F.col(item).cast("string"), text).where(F.col(text).isNotNull())
+    name = F.coalesce(F.col(item).cast("string"), F.lit(""))
+    rows = items.select(name, text).where(F.col(text).isNotNull())
     held, size = [], 0
     for name, said in rows.toLocalIterator():
         held.append((name, said.encode()))
@@ -208,12 +212,13 @@ def matched(
     item: str = "item_id",
     text: str = "text",
 ) -> DataFrame:
-    """The documents with n_words, spans (words hit, first and last excluded) and items.
+    """The documents with three more columns: n_words, spans and items, see ADDED.
 
-    Spans are places of words, in order and apart from each other; items are the
-    identifiers found, as strings, each once and sorted.
+    Spans are places of words hit, the last excluded, in order and apart from each
+    other; items are the identifiers found, as strings, each once and sorted, a null
+    one empty.
     """
-    n_words, spans, found = "_n_words", "_spans", "_items"
+    n_words, spans, found = fresh(documents, *ADDED)
     out = documents.withColumns(
         {
             n_words: F.lit(0).cast("long"),
@@ -222,9 +227,11 @@ def matched(
         }
     )
     context = documents.sparkSession.sparkContext
-    for shard in [[]] if items.isEmpty() else shards(items, item, text, shard_words):
+    counted = False
+    for shard in shards(items, item, text, shard_words):
         out = _matched(out, context.broadcast(shard), window)
-    return out
+        counted = True
+    return out if counted else _matched(out, context.broadcast([]), window)
 
 
 def _matched(documents: DataFrame, shared, window: int) -> DataFrame:

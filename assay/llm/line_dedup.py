@@ -150,14 +150,15 @@ def dedup_lines(
 
     A text that loses nothing is left as it is, null included.
     """
+    digest, its_doc, its_text, drops = fresh(documents, "_digest", "_doc", "_text", "_drops")
     lost = dropped_lines(documents, least_chars, least_docs, batches).select(
-        F.col("doc_id").alias("_a"), F.col("text_hash").alias("_b"), F.col("drops").alias("_c")
+        F.col("doc_id").alias(its_doc),
+        F.col("text_hash").alias(its_text),
+        F.col("drops").alias(drops),
     )
-    digest, drops = fresh(documents, "_text_hash", "_drops")
     rows = documents.withColumn(digest, F.xxhash64("text"))
-    joined = rows.join(
-        lost, F.col("doc_id").eqNullSafe(F.col("_a")) & (F.col(digest) == F.col("_b")), "left"
-    ).withColumnRenamed("_c", drops)
+    same = F.col("doc_id").eqNullSafe(F.col(its_doc)) & (F.col(digest) == F.col(its_text))
+    joined = rows.join(lost, same, "left")
     cut = F.array_join(without(text_lines(F.col("text")), F.col(drops)), "\n")
     text = F.when(F.col(drops).isNull(), F.col("text")).otherwise(cut)
     others = [

@@ -118,25 +118,25 @@ def mix(
     """The mixed documents: each as often as it is taken, numbered from 1 in `copy`."""
     plan = allotted(documents, weights, share, most, seed)
     same = Window.partitionBy("doc_id", "source", "text_hash").orderBy("copies")
+    digest, nth, *own = fresh(documents, "_digest", "_nth", "_doc", "_source", "_text", "_n", "_times")
+    its_doc, its_source, its_text, its_nth, times = own
     plan = plan.withColumn("nth", F.row_number().over(same)).select(
-        F.col("doc_id").alias("_a"),
-        F.col("source").alias("_b"),
-        F.col("text_hash").alias("_c"),
-        F.col("nth").alias("_d"),
-        F.col("copies").alias("_e"),
+        F.col("doc_id").alias(its_doc),
+        F.col("source").alias(its_source),
+        F.col("text_hash").alias(its_text),
+        F.col("nth").alias(its_nth),
+        F.col("copies").alias(times),
     )
-    digest, nth = fresh(documents, "_text_hash", "_nth")
     alike = Window.partitionBy("doc_id", "source", digest).orderBy(F.lit(0))
-    rows = documents.withColumn(digest, F.xxhash64("text")).withColumn(
-        nth, F.row_number().over(alike)
-    )
+    rows = documents.withColumn(digest, F.xxhash64("text"))
+    rows = rows.withColumn(nth, F.row_number().over(alike))
     joined = rows.join(
-        plan.where("_e > 0"),
-        F.col("doc_id").eqNullSafe(F.col("_a"))
-        & F.col("source").eqNullSafe(F.col("_b"))
-        & (F.col(digest) == F.col("_c"))
-        & (F.col(nth) == F.col("_d")),
+        plan.where(F.col(times) > 0),
+        F.col("doc_id").eqNullSafe(F.col(its_doc))
+        & F.col("source").eqNullSafe(F.col(its_source))
+        & (F.col(digest) == F.col(its_text))
+        & (F.col(nth) == F.col(its_nth)),
     )
-    numbers = F.explode(F.sequence(F.lit(1).cast("long"), F.col("_e"))).alias(copy)
-    kept = [F.col(f"`{c}`") for c in documents.columns if c != copy]
+    numbers = F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(copy)
+    kept = [F.col(f"`{c}`") for c in documents.columns if c.lower() != copy.lower()]
     return joined.select(*kept, numbers)
