@@ -168,6 +168,8 @@ def one_record(data: bytes, at: int) -> tuple[int, dict[str, str], bytes] | str:
     if ends < 0:
         return "header without an end"
     head = data[version.end() : ends + 2]
+    if b"\n" + VERSION[:7] in head:
+        return "header cut off by another record"
     length = LENGTH.search(head)
     if not length:
         return "header without a length"
