@@ -30,9 +30,7 @@ from assay.operators.ordered import (
 from assay.spec import Change, Suite
 
 ORDER = ("started_at", "run_id")
-# How many of the newest rows a same-weekday baseline looks
-# through, and the days that lie between a day and the same weekday before it.
-WEEKDAY_ROWS = 100
+# Fixed value: the days that lie between a day and the same weekday before it.
 WEEKDAY_GAP_DAYS = 6
 
 
@@ -56,17 +54,12 @@ def baseline_previous(samples: DataFrame) -> DataFrame:
 
 
 def baseline_same_weekday(samples: DataFrame, now: Column) -> DataFrame:
-    """Each clause's newest sample of the same UTC weekday at least 6 days back.
-
-    Only the newest 100 samples up to the end of that day a week ago count.
-    """
+    """Each clause's newest sample of the same UTC weekday at least 6 days back."""
     dtype = samples.schema["started_at"].dataType
     day, today = day_number(F.col("started_at"), dtype), day_number(now, dtype)
     limit = F.date_trunc("day", now) - F.make_dt_interval(days=F.lit(WEEKDAY_GAP_DAYS))
     old = samples.where(F.col("started_at") <= limit.cast(dtype))
-    ranked = newest_per_key(old, ["clause_id"], ORDER, WEEKDAY_ROWS)
-    same = ranked.where(F.pmod(today - day, F.lit(7)) == 0).drop("rank")
-    return baseline_previous(same)
+    return baseline_previous(old.where(F.pmod(today - day, F.lit(7)) == 0))
 
 
 def baseline_last_runs(samples: DataFrame, runs: int) -> DataFrame:
@@ -173,36 +166,15 @@ def same_weekday_backfill(history: DataFrame) -> DataFrame:
     day = F.col("_day")
     rows = history.withColumn("_day", day_number(F.col("started_at"), dtype))
     measured = F.col("measured").isNotNull()
-    midnight = F.col("started_at") == F.date_trunc("day", F.col("started_at")).cast(dtype)
     sample = F.struct(F.col("measured").alias("value"), *ORDER)
     days = rows.groupBy("clause_id", "_day").agg(
-        F.count_if(measured).alias("n"),
-        F.count_if(measured & midnight).alias("at_midnight"),
-        F.max_by(sample, F.when(measured, F.struct(*ORDER))).alias("sample"),
-    )
-    by_day = Window.partitionBy("clause_id").orderBy("_day")
-    upto = by_day.rangeBetween(Window.unboundedPreceding, 0)
-    week_ago = by_day.rangeBetween(Window.unboundedPreceding, -WEEKDAY_GAP_DAYS - 1)
-    edge = by_day.rangeBetween(-WEEKDAY_GAP_DAYS, -WEEKDAY_GAP_DAYS)
-    days = days.withColumns(
-        {
-            "sample": F.when(
-                F.col("n") > 0, F.struct("sample", F.sum("n").over(upto).alias("through"))
-            ),
-            "readable": F.coalesce(F.sum("n").over(week_ago), F.lit(0))
-            + F.coalesce(F.sum("at_midnight").over(edge), F.lit(0)),
-        }
+        F.max_by(sample, F.when(measured, F.struct(*ORDER))).alias("sample")
     )
     weekday = Window.partitionBy("clause_id", F.pmod(day, F.lit(7))).orderBy("_day")
     before = F.last("sample", ignorenulls=True).over(
         weekday.rowsBetween(Window.unboundedPreceding, -1)
     )
-    newer = F.col("readable") - F.col("_before.through")
-    found = days.withColumn("_before", before).select(
-        "clause_id",
-        "_day",
-        F.when(newer < WEEKDAY_ROWS, F.col("_before.sample")).alias("_before"),
-    )
+    found = days.select("clause_id", "_day", before.alias("_before"))
     return rows.join(found, ["clause_id", "_day"], "left").select(
         *history.columns,
         F.col("_before.value").alias("previous"),

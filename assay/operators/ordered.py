@@ -2,10 +2,10 @@
 
 A plain window over a key sorts and reads all of the key's rows in a single
 task, so one check holding a third of a history is one straggler. Here the keys
-are counted first. The rows of a key with very many are cut into spans of time:
-a window runs inside every span, and what a span starts with is carried from
-the spans before it, of which there is one summary row each. Every other key is
-one span, and nothing is carried.
+are counted first. The rows of a key with very many are cut into spans of about
+as many rows each, by their times: a window runs inside every span, and what a
+span starts with is carried from the spans before it, of which there is one
+summary row each. Every other key is one span, and nothing is carried.
 """
 
 from __future__ import annotations
@@ -15,45 +15,42 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from assay.functions.times import seconds
+from assay.functions.times import micros
+from assay.sources.results import cut_lineage
 
 SPAN = "_span"
-# A key with more rows than this is cut into spans, several per this many rows
-# so that uneven times still give small spans.
+# A key with more rows than this is cut into spans.
 HOT_ROWS = 1_000_000
-SPANS_PER_HOT_ROWS = 8
-# At most so many keys are cut: any other holds less than a ten-thousandth of
-# all rows. It bounds the side that is broadcast.
-HOT_KEYS = 10_000
+# Into so many; only results of one and the same microsecond stay together.
+SPANS = 256
 
 
 def hot_keys(df: DataFrame, by: Sequence[str], time: str, hot_rows: int) -> DataFrame:
-    """The keys to cut, with where their spans start and how long one is.
+    """Every key to cut, with the times that end its spans; no rows if none is hot.
 
-    Counts and exact bounds only, so that a task that is run again cuts alike.
+    Written out, as quantiles may differ when they are computed again.
     """
-    at = seconds(F.col(time), df.schema[time].dataType)
-    counts = df.groupBy(*by).agg(
-        F.count(F.lit(1)).alias("_n"), F.min(at).alias("_from"), F.max(at).alias("_to")
-    )
-    spans = F.ceil(F.col("_n") * SPANS_PER_HOT_ROWS / F.lit(hot_rows))
-    length = F.greatest(F.ceil((F.col("_to") - F.col("_from")) / spans), F.lit(1))
-    return (
-        counts.where(F.col("_n") > hot_rows)
-        .orderBy(F.desc("_n"), *by)
-        .limit(HOT_KEYS)
-        .select(*by, "_from", length.alias("_length"))
-    )
+    at = micros(F.col(time), df.schema[time].dataType)
+    hot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
+    hot = cut_lineage(hot.select(*by))
+    shares = [i / SPANS for i in range(1, SPANS)]
+    rows = df.join(hot, list(by), "left_semi") if not hot.isEmpty() else df.limit(0)
+    cuts = rows.groupBy(*by).agg(F.percentile_approx(at, shares, 10_000).alias("_cuts"))
+    return cut_lineage(cuts)
 
 
 def with_spans(
     df: DataFrame, by: Sequence[str], time: str, hot: DataFrame, how: str
 ) -> DataFrame:
     """Rows with the number of their span: 1 and up for hot keys, else 0."""
-    at = seconds(F.col(time), df.schema[time].dataType)
-    span = F.floor((at - F.col("_from")) / F.col("_length")).cast("long") + 1
-    joined = df.join(F.broadcast(hot), list(by), how)
-    return joined.withColumn(SPAN, F.coalesce(span, F.lit(0))).drop("_from", "_length")
+    if hot.isEmpty():
+        rows = df.withColumn(SPAN, F.lit(0))
+        return rows if how == "left" else rows.limit(0)
+    at = micros(F.col(time), df.schema[time].dataType)
+    joined = df.withColumn("_at", at).join(hot, list(by), how)
+    span = F.size(F.filter("_cuts", lambda cut: cut < F.col("_at"))) + 1
+    number = F.when(F.col("_cuts").isNull(), 0).otherwise(span)
+    return joined.withColumn(SPAN, number).drop("_cuts", "_at")
 
 
 def running(
@@ -93,10 +90,15 @@ def running(
         return F.last(value, ignorenulls=True) if name in newest else F.sum(value)
 
     names = [*newest, *totals]
+    cut = not hot.isEmpty()
     inside = Window.partitionBy(*by, SPAN).orderBy(*order)
     frame = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     rows = with_spans(df.withColumns(values), by, order[0], hot, "left")
     rows = rows.withColumns({f"_w_{n}": local(n).over(frame) for n in names})
+    if not cut:
+        alone = {n: F.col(f"_w_{n}") for n in newest}
+        alone |= {n: F.coalesce(f"_w_{n}", F.lit(0)) for n in totals}
+        return rows.select(*kept, *[column.alias(n) for n, column in alone.items()])
     ends = (
         with_spans(df.withColumns(values), by, order[0], hot, "inner")
         .groupBy(*by, SPAN)
@@ -121,7 +123,9 @@ def numbered(
     """
     inside = Window.partitionBy(*by, SPAN).orderBy(*order)
     earlier = Window.partitionBy(*by).orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)
-    of_hot = rows.join(F.broadcast(hot.select(*by)), list(by), "left_semi")
+    if hot.isEmpty():
+        return rows.withColumn(name, F.row_number().over(inside).cast("long")).drop(SPAN)
+    of_hot = rows.join(hot.select(*by), list(by), "left_semi")
     sizes = of_hot.groupBy(*by, SPAN).agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select(*by, SPAN, F.sum("_n").over(earlier).alias("_before"))
     joined = rows.withColumn("_i", F.row_number().over(inside)).join(before, [*by, SPAN], "left")

@@ -39,16 +39,13 @@ def baseline_previous(spark: SparkSession, sf: str) -> DataFrame:
     with_tables("clause_history")
     + """, m as (select *, row_number() over (partition by clause_id order by started_at, run_id) as i
                  from clause_history where measured is not null),
-       edges as (select h.clause_id, h.run_id, max(m.i) as upto from clause_history h join m
-                 on m.clause_id = h.clause_id
-                 and m.started_at <= date_trunc('day', h.started_at) - interval 6 day group by 1, 2),
        hits as (select h.clause_id, h.run_id, max(m.i) as hit from clause_history h join m
                 on m.clause_id = h.clause_id
                 and m.started_at <= date_trunc('day', h.started_at) - interval 6 day
                 and dayofweek(m.started_at) = dayofweek(h.started_at) group by 1, 2)
        select h.clause_id, h.run_id, m.measured as previous, m.run_id as previous_run
-       from clause_history h left join edges e on e.clause_id = h.clause_id and e.run_id = h.run_id
-       left join hits t on t.clause_id = h.clause_id and t.run_id = h.run_id and e.upto - t.hit < 100
+       from clause_history h
+       left join hits t on t.clause_id = h.clause_id and t.run_id = h.run_id
        left join m on m.clause_id = h.clause_id and m.i = t.hit""",
 )
 def baseline_same_weekday(spark: SparkSession, sf: str) -> DataFrame:

@@ -163,13 +163,13 @@ def test_baselines_of_every_run(spark, hot_rows):
 def weekday_of(rows, row):
     midnight = row[2].replace(hour=0, minute=0)
     limit = midnight - timedelta(days=6)
-    readable = [r for r in earlier(rows, row) if r[2] <= limit][:100]
+    readable = [r for r in earlier(rows, row) if r[2] <= limit]
     return next((r for r in readable if r[2].weekday() == row[2].weekday()), None)
 
 
 def test_same_weekday_of_every_run(spark):
     rows = measures(5)
-    # A clause so busy that its newest hundred results hide the weekday before.
+    # A clause so busy that hundreds of results lie between a day and its weekday before.
     rows += [(99, "early", START, 1.0), (99, "now", START + timedelta(days=21), 3.0)]
     rows += [(99, f"b{i:03d}", START + timedelta(days=15, minutes=i - 1440), 2.0) for i in range(120)]
     history = spark.createDataFrame(rows, MEASURES)
@@ -240,6 +240,16 @@ def test_running_values_and_numbers(spark, hot_rows):
         assert row.sum == sum(values)
 
 
+def test_a_burst_within_one_second_is_cut_by_counts(spark):
+    rows = [(1, START + timedelta(microseconds=i), i) for i in range(4000)] + [(2, START, 0)]
+    df = spark.createDataFrame(rows, "k int, at timestamp, run int")
+    hot = ordered.hot_keys(df, ["k"], "at", 100)
+    sizes = ordered.with_spans(df, ["k"], "at", hot, "left").groupBy("k", ordered.SPAN).count()
+    got = {(r["k"], r[ordered.SPAN]): r["count"] for r in sizes.collect()}
+    assert got.pop((2, 0)) == 1
+    assert len(got) == ordered.SPANS and max(got.values()) <= 2 * 4000 / ordered.SPANS
+
+
 @pytest.mark.parametrize("hot_rows", [ordered.HOT_ROWS, 4])
 def test_versions_and_reverts(spark, hot_rows):
     texts = "a a b b a c c a".split()
