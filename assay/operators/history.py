@@ -25,8 +25,8 @@ def finished(runs: DataFrame, project: str | None = None) -> DataFrame:
     return done if project is None else done.where(F.col("project") == project)
 
 
-def read_history(results: DataFrame, runs: DataFrame, project: str) -> DataFrame:
-    """Results of a project's finished runs with when and how each run was.
+def read_history(results: DataFrame, runs: DataFrame, project: str | None = None) -> DataFrame:
+    """Results of finished runs, of one project or all, with when and how each run was.
 
     Stored results carry their project and day: those join too, so that only
     the project's partitions, and of those the days of its runs, are read.
@@ -34,7 +34,7 @@ def read_history(results: DataFrame, runs: DataFrame, project: str) -> DataFrame
     of_run = finished(runs, project)
     kept = ["run_id", "project", "started_at", "run_key", "day"]
     of_run = of_run.select(*[c for c in kept if c in runs.columns])
-    if "project" in results.columns:
+    if project is not None and "project" in results.columns:
         results = results.where(F.col("project") == project)
     both = [c for c in ("run_id", "project", "day") if c in results.columns and c in of_run.columns]
     told = [c for c in ("started_at", "run_key") if c in of_run.columns]

@@ -14,8 +14,17 @@ from assay.plans.registry import query
 from assay.operators.run import run_suites
 from assay.sources import files, results, tables
 
-COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice"]
-ROWS = "select o_orderkey, o_custkey, o_orderstatus, o_totalprice from orders"
+COLUMNS = ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"]
+KINDS = ("bigint", "bigint", "string", "double", "timestamp_ntz", "string")
+
+
+def rows_sql(status: str = "o_orderstatus") -> str:
+    return f"""select o_orderkey, o_custkey, {status} as o_orderstatus, o_totalprice,
+               strftime(o_orderdate, '%Y-%m-%d %H:%M:%S') as o_orderdate, o_orderpriority from orders"""
+
+
+ROWS = rows_sql()
+BLANKS = rows_sql("nullif(o_orderstatus, 'P')")
 
 
 def orders(spark: SparkSession, sf: str) -> DataFrame:
@@ -23,19 +32,19 @@ def orders(spark: SparkSession, sf: str) -> DataFrame:
 
 
 def as_orders(df: DataFrame) -> DataFrame:
-    kinds = ("bigint", "bigint", "string", "double")
-    return df.select(*[F.col(c).cast(k).alias(c) for c, k in zip(COLUMNS, kinds, strict=True)])
+    cells = [F.col(c).cast(k).alias(c) for c, k in zip(COLUMNS, KINDS, strict=True)]
+    return shown(df.select(*cells))
 
 
 @query("scan_table", ROWS)
 def scan_table(spark: SparkSession, sf: str) -> DataFrame:
     table(spark, sf, "orders").createOrReplaceTempView("assay_orders")
-    return tables.read_table(spark, "assay_orders").select(*COLUMNS)
+    return as_orders(tables.read_table(spark, "assay_orders"))
 
 
 @query(
     "scan_csv",
-    f"select o_orderkey, o_custkey, nullif(o_orderstatus, 'P') as o_orderstatus, o_totalprice from ({ROWS}) o",
+    BLANKS,
 )
 def scan_csv(spark: SparkSession, sf: str) -> DataFrame:
     """Written as CSV with blanks where the status is P; half of it as TSV."""
@@ -44,20 +53,29 @@ def scan_csv(spark: SparkSession, sf: str) -> DataFrame:
     odd = F.col("o_orderkey") % 2 == 1
     blank.where(odd).write.csv(f"{folder}/comma", header=True)
     tabbed = blank.where(~odd).write.option("sep", "\t").option("header", True)
+    # Spark's writer names files .csv whatever the separator.
     tabbed.option("emptyValue", "").csv(f"{folder}/tab")
-    halves = [files.read_files(spark, folder, "comma/*.csv")]
-    halves.append(spark.read.option("header", True).option("sep", "\t").csv(f"{folder}/tab"))
+    renamed(spark, f"{folder}/tab", ".csv", ".tsv")
+    halves = [files.read_files(spark, folder, p) for p in ("comma/*.csv", "tab/*.tsv")]
     return files.union_by_name([as_orders(half) for half in halves])
 
 
+def renamed(spark: SparkSession, folder: str, old: str, new: str) -> None:
+    """Give files of a folder another extension, through its file system."""
+    path = spark._jvm.org.apache.hadoop.fs.Path
+    system = path(folder).getFileSystem(spark._jsc.hadoopConfiguration())
+    for name in files.expand(spark, folder, f"*{old}"):
+        system.rename(path(name), path(name.removesuffix(old) + new))
+
+
 @query("scan_parquet", ROWS)
 def scan_parquet(spark: SparkSession, sf: str) -> DataFrame:
-    return files.read_files(spark, sf, "orders.parquet").select(*COLUMNS)
+    return as_orders(files.read_files(spark, sf, "orders.parquet"))
 
 
 @query(
     "scan_json",
-    "select o_orderkey, o_custkey, nullif(o_orderstatus, 'P') as o_orderstatus, o_totalprice from orders",
+    BLANKS,
 )
 def scan_json(spark: SparkSession, sf: str) -> DataFrame:
     """One object per line; the status is an absent key where it is P."""
@@ -86,8 +104,7 @@ def scan_glob(spark: SparkSession, sf: str) -> DataFrame:
 
 @query(
     "union_by_name",
-    """select o_orderkey, o_custkey, case when o_orderkey % 3 <> 2 then o_orderstatus end as o_orderstatus, o_totalprice
-       from orders""",
+    rows_sql("case when o_orderkey % 3 <> 2 then o_orderstatus end"),
 )
 def union_by_name(spark: SparkSession, sf: str) -> DataFrame:
     """CSV files with other column orders, and a third of them without a column."""
@@ -120,9 +137,7 @@ def write_results(spark: SparkSession, sf: str) -> DataFrame:
         results.write_results(folder, of_batch, rows, rows, by="year")
     stored = results.read_results(spark, folder, "results").drop("year")
     runs_back = results.read_results(spark, folder, "runs")
-    projects = [row.project for row in runs_back.select("project").distinct().collect()]
-    parts = [read_history(stored, runs_back, project) for project in sorted(projects)]
-    return files.union_by_name(parts).groupBy("project").agg(
+    return read_history(stored, runs_back).groupBy("project").agg(
         F.count(F.lit(1)).alias("results"),
         F.countDistinct("run_id").alias("runs"),
         F.sum("value").alias("total"),

@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
+import csv
 import fnmatch
-from collections.abc import Callable, Hashable
+from collections.abc import Callable, Hashable, Iterator
 from concurrent.futures import ThreadPoolExecutor
+from contextlib import contextmanager
 from functools import reduce
-from urllib.parse import unquote
 
-from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 # The format each extension names; `.gz` may follow any of them.
@@ -22,16 +21,12 @@ FORMATS = {
     ".jsonl": "json",
     ".ndjson": "json",
 }
-# How many files a pattern may match unless told otherwise, how
-# deep it may go.
-MOST_FILES = 10_000
-MOST_FOLDERS = 32
 # How many files' first lines are read at a time.
 FIRST_LINE_READS = 16
 
 
 class NoSuchFiles(ValueError):
-    """A pattern that matches no file, or too many."""
+    """A pattern that matches no file, too many, or one that Spark would pass over."""
 
 
 def format_of(path: str) -> str:
@@ -47,57 +42,95 @@ def separator_of(path: str) -> str:
 
 
 def expand(
-    spark: SparkSession, root: str, pattern: str, most_files: int = MOST_FILES
+    spark: SparkSession, root: str, pattern: str, most_files: int | None = None
 ) -> list[str]:
-    """The files a pattern matches below a root, sorted; none is an error, and
-    so are too many: nothing is ever left out.
+    """The files a pattern matches below a root, sorted; none is an error.
 
-    Spark's own file index lists them (no file is opened), as it does for any
-    read; only a pattern with `**`, which matches any number of folders, lists
-    all below its fixed part. Names starting with `.` match only a segment
-    that starts with one.
+    Nothing is left out: files named `_*`, which Spark takes for its own and
+    does not read, are refused by name, and so are more than `most_files`.
+    Hadoop's file system lists them; a pattern with `**`, which matches any
+    number of folders, lists all below its fixed part. Names starting with `.`
+    match only a segment that starts with one.
     """
-    if not set("*?[]") & set(pattern):
-        return [f"{root.rstrip('/')}/{pattern}"]
     segments = pattern.split("/")
     fixed = []
-    while not set("*?[]") & set(segments[0]):
+    while segments and not set("*?[]") & set(segments[0]):
         fixed.append(segments.pop(0))
     base = "/".join([root.rstrip("/"), *fixed])
-    reader = spark.read.format("binaryFile")
-    if "**" in segments:
-        reader, path = reader.option("recursiveFileLookup", True), base
+    if not segments:
+        found = [base]
     else:
-        path = "/".join([base, *segments]).replace("[!", "[^")
-    try:
-        listed = [unquote(name) for name in reader.load(path).inputFiles()]
-    except AnalysisException:
-        listed = []
-    found = []
-    for path in listed:
-        plain = path.removeprefix("file://")
-        below = plain.split(base.removeprefix("file://").rstrip("/") + "/", 1)[-1]
-        if _matches(below.split("/"), segments):
-            found.append(path)
+        below = len(_plain(base).rstrip("/")) + 1
+        listed = _listed(spark, base, segments)
+        found = [name for name in listed if _matches(_plain(name)[below:].split("/"), segments)]
     if not found:
         raise NoSuchFiles(f"no file matches {pattern!r}")
-    if len(found) > most_files:
+    if most_files is not None and len(found) > most_files:
         raise NoSuchFiles(f"{pattern!r} matches more than {most_files} files")
+    unread = sorted(name for name in found if name.rsplit("/", 1)[-1].startswith("_"))
+    if unread:
+        raise NoSuchFiles(f"Spark does not read files named _*: {', '.join(unread[:5])}")
     return sorted(set(found))
 
 
+def _plain(path: str) -> str:
+    """A path without scheme and authority, to compare listed paths with given ones."""
+    scheme, colon, rest = path.partition(":/")
+    if not colon or "/" in scheme:
+        return path
+    rest = f"/{rest}"
+    return f"/{rest[2:].partition('/')[2]}" if rest.startswith("//") else rest
+
+
+def _listed(spark: SparkSession, base: str, segments: list[str]) -> list[str]:
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    conf = spark._jsc.hadoopConfiguration()
+    top = hadoop.Path(base)
+    system = top.getFileSystem(conf)
+    if "**" not in segments:
+        named = "/".join([base, *segments]).replace("[!", "[^")
+        found = system.globStatus(hadoop.Path(named))
+        return [f.getPath().toString() for f in found or [] if f.isFile()]
+    if not system.exists(top):
+        return []
+    files, names = system.listFiles(top, True), []
+    while files.hasNext():
+        names.append(files.next().getPath().toString())
+    return names
+
+
 def _matches(names: list[str], segments: list[str]) -> bool:
-    if len(names) > MOST_FOLDERS:
-        raise NoSuchFiles(f"a path goes deeper than {MOST_FOLDERS} folders")
-    if not segments:
-        return not names
-    head, rest = segments[0], segments[1:]
-    if head == "**":
-        visible = bool(names) and not names[0].startswith(".")
-        return _matches(names, rest) or (visible and _matches(names[1:], segments))
-    if not names or (names[0].startswith(".") and not head.startswith(".")):
-        return False
-    return fnmatch.fnmatchcase(names[0], head) and _matches(names[1:], rest)
+    """Whether path segments match pattern segments, `**` any number of them."""
+    fits = [True] + [False] * len(names)  # of the first so many names
+    for head in segments:
+        if head == "**":
+            for i, name in enumerate(names):
+                fits[i + 1] = fits[i + 1] or (fits[i] and not name.startswith("."))
+            continue
+        hidden = head.startswith(".")
+        one = [
+            fits[i] and name.startswith(".") <= hidden and fnmatch.fnmatchcase(name, head)
+            for i, name in enumerate(names)
+        ]
+        fits = [False, *one]
+    return fits[-1]
+
+
+def first_line(spark: SparkSession, path: str) -> str:
+    """The first line of a file that is not blank, without a job; "" if there is none."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    at = jvm.org.apache.hadoop.fs.Path(path)
+    stream = at.getFileSystem(conf).open(at)
+    try:
+        codec = jvm.org.apache.hadoop.io.compress.CompressionCodecFactory(conf).getCodec(at)
+        opened = codec.createInputStream(stream) if codec is not None else stream
+        reader = jvm.java.io.BufferedReader(jvm.java.io.InputStreamReader(opened, "UTF-8"))
+        line = reader.readLine()
+        while line is not None and not line.strip("\ufeff \t"):
+            line = reader.readLine()
+        return (line or "").removeprefix("\ufeff")
+    finally:
+        stream.close()
 
 
 def read_files(
@@ -105,7 +138,7 @@ def read_files(
     root: str,
     pattern: str,
     schema: T.StructType | None = None,
-    most_files: int = MOST_FILES,
+    most_files: int | None = None,
 ) -> DataFrame:
     """A file or a pattern as one DataFrame, a column a file lacks being NULL.
 
@@ -135,22 +168,28 @@ def _parquet(spark: SparkSession, files: list[str]) -> DataFrame:
 def _csv(spark: SparkSession, files: list[str], schema: T.StructType | None) -> DataFrame:
     """One read per distinct header: Spark matches CSV columns by position.
 
-    A header is a file's first line, read by its own tiny job; types are
-    inferred over all files together, so that one column has one type.
+    Types are inferred over all files together, so that one column has one type.
+    Times without an offset are wall times, whatever the session's zone.
     """
 
     def reader(path: str):
         return spark.read.option("header", True).option("sep", separator_of(path))
 
     def header(path: str) -> tuple[str, ...]:
-        return (separator_of(path), *reader(path).csv(path).columns)
+        sep = separator_of(path)
+        names = next(csv.reader([first_line(spark, path)], delimiter=sep), [])
+        if not all(names) or len({n.lower() for n in names}) < len(names):
+            names = reader(path).csv(path).columns  # as Spark names such columns
+        return (sep, *names)
 
     groups = grouped(files, header)
     if schema is None:
-        inferred = [
-            reader(paths[0]).option("inferSchema", True).csv(paths) for paths in groups.values()
-        ]
-        types = one_type_per_column([df.schema for df in inferred])
+        with wall_times(spark):
+            inferred = [
+                reader(paths[0]).option("inferSchema", True).csv(paths).schema
+                for paths in groups.values()
+            ]
+        types = one_type_per_column(inferred)
     else:
         types = {f.name: f.dataType for f in schema.fields}
     parts = []
@@ -160,6 +199,18 @@ def _csv(spark: SparkSession, files: list[str], schema: T.StructType | None) ->
     return union_by_name(parts)
 
 
+@contextmanager
+def wall_times(spark: SparkSession) -> Iterator[None]:
+    """While types are inferred: a time without an offset is a TIMESTAMP_NTZ."""
+    name = "spark.sql.timestampType"
+    before = spark.conf.get(name)
+    spark.conf.set(name, "TIMESTAMP_NTZ")
+    try:
+        yield
+    finally:
+        spark.conf.set(name, before)
+
+
 def one_type_per_column(schemas: list[T.StructType]) -> dict[str, T.DataType]:
     """Each column's type over all its files; text where they disagree."""
     types: dict[str, T.DataType] = {}
@@ -177,9 +228,10 @@ def _wider(a: T.DataType, b: T.DataType) -> T.DataType:
         return T.LongType()
     if isinstance(a, T.NumericType) and isinstance(b, T.NumericType):
         return T.DoubleType()
-    dates = (T.DateType, T.TimestampType, T.TimestampNTZType)
-    if isinstance(a, dates) and isinstance(b, dates):
-        return a if isinstance(b, T.DateType) else b
+    for date, time in ((a, b), (b, a)):
+        if isinstance(date, T.DateType) and isinstance(time, T.TimestampNTZType):
+            return time
+    # Instants beside wall times or dates stay as they are written.
     return T.StringType()
 
 
@@ -189,16 +241,25 @@ def union_by_name(parts: list[DataFrame]) -> DataFrame:
 
 
 def _json(spark: SparkSession, files: list[str], schema: T.StructType | None) -> DataFrame:
-    """Objects one per line, or a `.json` file holding one array of them."""
+    """Objects one per line, or a `.json` file holding one array of them.
+
+    One column has one type over all files; text where they disagree.
+    """
+    groups = grouped(files, lambda path: _is_array(spark, path))
+
+    def reader(is_array: bool):
+        return spark.read.option("multiLine", is_array)
+
+    found = {a: schema or reader(a).json(paths).schema for a, paths in groups.items()}
+    types = one_type_per_column(list(found.values()))
     parts = []
-    for is_array, paths in grouped(files, lambda path: _is_array(spark, path)).items():
-        reader = spark.read.option("multiLine", is_array)
-        parts.append((reader.schema(schema) if schema else reader).json(paths))
+    for is_array, paths in groups.items():
+        fields = [T.StructField(f.name, types[f.name]) for f in found[is_array].fields]
+        parts.append(reader(is_array).schema(T.StructType(fields)).json(paths))
     return union_by_name(parts)
 
 
 def _is_array(spark: SparkSession, path: str) -> bool:
     if not path.lower().removesuffix(".gz").endswith(".json"):
         return False
-    first = spark.read.text(path).where(F.trim("value") != "").limit(1).collect()
-    return bool(first) and first[0][0].lstrip("﻿ \t").startswith("[")
+    return first_line(spark, path).lstrip().startswith("[")

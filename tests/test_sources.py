@@ -82,6 +82,58 @@ def test_patterns(spark, tmp_path):
         files.format_of("a.xlsx")
 
 
+def test_files_that_spark_would_pass_over_are_refused_by_name(spark, tmp_path):
+    for name in ("x.csv", "_y.csv"):
+        (tmp_path / name).write_text("f\n1\n")
+    for pattern in ("*.csv", "_y.csv", "**/*.csv"):
+        with pytest.raises(files.NoSuchFiles, match="_y.csv"):
+            files.read_files(spark, str(tmp_path), pattern)
+    assert files.read_files(spark, str(tmp_path), "[!_]*.csv").count() == 1
+
+
+def test_folders_may_go_as_deep_as_they_like(spark, tmp_path):
+    deep = tmp_path.joinpath(*["d"] * 40)
+    deep.mkdir(parents=True)
+    (deep / "a.csv").write_text("f\n1\n")
+    assert files.read_files(spark, str(tmp_path), "**/*.csv").count() == 1
+
+
+@pytest.fixture
+def zone(spark):
+    before = spark.conf.get("spark.sql.session.timeZone")
+    yield lambda name: spark.conf.set("spark.sql.session.timeZone", name)
+    spark.conf.set("spark.sql.session.timeZone", before)
+
+
+def test_times_without_an_offset_are_wall_times_in_any_session(spark, tmp_path, zone):
+    (tmp_path / "a.csv").write_text("id,at,day\n1,2025-12-31 12:00:00,2025-12-30\n")
+    (tmp_path / "b.csv").write_text("at,id,day\n2025-12-31T06:00:00,2,2025-12-30\n")
+    suite = Suite("d", [Check("c", [Clause("freshness", ("at",), Rule("<", "2d"))])])
+    ages = []
+    for name in ("UTC", "America/New_York", "Asia/Tokyo"):
+        zone(name)
+        df = files.read_files(spark, str(tmp_path), "*.csv")
+        assert dict(df.dtypes) == {"id": "int", "at": "timestamp_ntz", "day": "date"}
+        run = run_suites([(suite, df)], NOW, project="p", run_id="r")
+        ages.append(run.results.first().value)
+    assert ages == [43_200] * 3
+
+
+def test_instants_beside_wall_times_stay_as_written(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("id,at\n1,2025-12-31 12:00:00\n")
+    (tmp_path / "b.csv").write_text("at,id\n2025-12-31T12:00:00Z,2\n")
+    df = files.read_files(spark, str(tmp_path), "*.csv")
+    assert rows_of(df, "id", "at") == [(1, "2025-12-31 12:00:00"), (2, "2025-12-31T12:00:00Z")]
+
+
+def test_json_arrays_and_lines_agree_on_types(spark, tmp_path):
+    (tmp_path / "a.json").write_text(json.dumps([{"id": 1, "n": 2}, {"id": 3}], indent=1))
+    (tmp_path / "b.json").write_text('{"id": "x9", "n": 2.5}\n{"id": "y", "m": true}\n')
+    df = files.read_files(spark, str(tmp_path), "*.json")
+    assert rows_of(df.where("n is not null"), "id", "n") == [("1", 2.0), ("x9", 2.5)]
+    assert df.count() == 4 and dict(df.dtypes)["m"] == "boolean"
+
+
 def test_a_given_schema_is_used(spark, tmp_path):
     (tmp_path / "a.csv").write_text("id,amount\n1,2\n")
     schema = T.StructType().add("id", "string").add("amount", "decimal(10,2)")
