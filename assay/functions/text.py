@@ -81,21 +81,55 @@ def format_duration(seconds: Column) -> Column:
     return F.when(total == 0, F.when(seconds < 0, "-0s").otherwise("0s")).otherwise(words)
 
 
-def format_value(unit: Column, value: Column, noun: Column | None = None) -> Column:
+def two_decimals(value: Column) -> Column:
+    """A number with two decimals, rounded as the binary number it is, ties to even.
+
+    The part after the point is taken in steps of 2^-52, as whole numbers that
+    do not round. Numbers too large for that have no decimals to round.
+    """
+    size = F.abs(value)
+    whole = F.floor(size)
+    rest = (size - whole) * F.lit(float(2**52))
+    steps = F.floor(rest)
+    beyond = rest != steps
+    hundred = steps * 100
+    cents = F.shiftright(hundred, 52)
+    left = hundred - F.shiftleft(cents, 52)
+    half = F.lit(2**51)
+    up = (left > half) | ((left == half) & (beyond | (cents % 2 == 1)))
+    total = whole * 100 + cents + F.when(up, 1).otherwise(0)
+    sign = F.when(value < 0, "-").otherwise("")
+    text = F.concat(
+        sign,
+        F.floor(total / 100).cast("string"),
+        F.lit("."),
+        F.lpad((total % 100).cast("string"), 2, "0"),
+    )
+    return F.when(size < 1e13, text).otherwise(F.format_string("%.2f", value))
+
+
+def format_value(
+    unit: Column, value: Column, noun: Column | None = None, signed: bool = False
+) -> Column:
     """A measured value for people, by its unit; a dash when there is none.
 
-    `noun` is a (singular, plural) struct naming what a count counts.
+    `noun` is a (singular, plural) struct naming what a count counts. A `signed`
+    value shows a plus before a rise, unless it is shown as zero.
     """
     whole = F.bround(value, 0)
     count = F.format_number(whole, 0)
     if noun is not None:
         word = F.when(whole == 1, noun["singular"]).otherwise(noun["plural"])
         count = F.when(word.isNotNull(), F.concat_ws(" ", count, word)).otherwise(count)
-    number = F.regexp_replace(F.format_string("%.6g", value), r"(\.\d*?)0+$", "$1")
-    return (
+    number = F.regexp_replace(F.format_string("%.6g", value), r"(\.\d*?)0+(e|$)", "$1$2")
+    shown = (
         F.when(value.isNull(), "—")
         .when(unit == "count", count)
-        .when(unit == "percent", F.format_string("%.2f%%", value))
+        .when(unit == "percent", F.concat(two_decimals(value), F.lit("%")))
         .when(unit == "duration", format_duration(value))
-        .otherwise(F.regexp_replace(number, r"\.$", ""))
+        .otherwise(F.regexp_replace(number, r"\.(e|$)", "$1"))
     )
+    if not signed:
+        return shown
+    rise = (value > 0) & shown.rlike("[1-9]")
+    return F.when(rise, F.concat(F.lit("+"), shown)).otherwise(shown)

@@ -24,12 +24,20 @@ def changes_in_run(changes: DataFrame, run_id: str) -> DataFrame:
 
 
 def alerts_to_write(
-    changes: DataFrame, checks: DataFrame, deliveries: DataFrame, history: DataFrame
+    changes: DataFrame,
+    checks: DataFrame,
+    deliveries: DataFrame,
+    history: DataFrame | None = None,
 ) -> DataFrame:
-    """One row per change and notifier of its check, without those written for
-    the run before and without checks that have a newer result."""
-    superseded = recorded_after(history, changes.select("check_id", "started_at", "run_id"))
-    news = changes.join(superseded, ["check_id", "run_id"], "left_anti")
+    """One row per change and notifier of its check, without those already written.
+
+    A resumed run may come late: give it the `history`, and changes of checks that
+    have a newer result by now are no news.
+    """
+    news = changes
+    if history is not None:
+        superseded = recorded_after(history, changes.select("check_id", "started_at", "run_id"))
+        news = changes.join(superseded, ["check_id", "run_id"], "left_anti")
     told = news.join(checks.select("check_id", "notify"), "check_id").select(
         "run_id", "check_id", "event", "previous_outcome", F.explode("notify").alias("notifier")
     )
@@ -89,11 +97,11 @@ def join_outbox(
 
 
 def alerts_pending(deliveries: DataFrame, runs: DataFrame, now: Column) -> DataFrame:
-    """Unsent alerts of keyed runs, each with whether it is still news.
+    """What is left to send for runs with a key, with two reasons not to.
 
-    `superseded`: a later run under the key alerted for the same check and
-    notifier, or this recovery follows a failure that was never told.
-    `expired`: it was tried too often or is too old.
+    `superseded`: the thread (key, check, notifier) has a later alert, or it is a
+    recovery from a failure nobody was told of. `expired`: attempts or age are
+    past their limit.
     """
     keyed = deliveries.join(
         runs.where(F.col("run_key").isNotNull()).select(

@@ -19,8 +19,10 @@ def registry_sync(registry: DataFrame, loaded: DataFrame, now: Column) -> DataFr
 
     One row per check either side knows. A loaded check is as its file says
     (`wanted`), any other is retired, and `state_since` moves only with the
-    state. `changed` is NULL for a check left as it was.
+    state. `changed` is NULL for a check left as it was. Loading nothing at all is
+    refused, see `refuse_empty`.
     """
+    refuse_empty(registry, loaded)
     have = registry.select("check_id", "name", "dataset", "datasource", "state", "state_since")
     want = loaded.select(
         "check_id",

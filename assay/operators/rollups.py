@@ -98,8 +98,10 @@ def dataset_rollup(checks: DataFrame) -> DataFrame:
 
 
 def stale_datasets(checks: DataFrame, runs: DataFrame, hours: int = 24) -> DataFrame:
-    """Datasets whose enabled checks were last scanned long before the newest
-    run, or never (`last_scanned` NULL); without any run, none."""
+    """Datasets whose enabled checks were last scanned long before the newest run.
+
+    Those never scanned (`last_scanned` NULL) come first, then the longest ago;
+    without any run there are none."""
     newest = runs.agg(F.max("started_at").alias("newest")).scalar()
     scanned = (
         checks.where(enabled())
@@ -108,7 +110,8 @@ def stale_datasets(checks: DataFrame, runs: DataFrame, hours: int = 24) -> DataF
     )
     late = F.col("last_scanned") < newest - F.make_dt_interval(hours=F.lit(hours))
     never = F.col("last_scanned").isNull() & newest.isNotNull()
-    return scanned.where(late | never)
+    order = [F.col("last_scanned").asc_nulls_first(), "datasource", "dataset"]
+    return scanned.where(late | never).orderBy(*order)
 
 
 def common_folder(checks: DataFrame, *by: str) -> DataFrame:
@@ -161,6 +164,15 @@ def keyed_run_tally(results: DataFrame) -> DataFrame:
     )
 
 
+def run_tally(results: DataFrame) -> DataFrame:
+    """Per run: how many checks had each outcome, over all datasets and attempts."""
+    known = results.withColumn("outcome", known_outcome(F.col("outcome")))
+    return known.groupBy("run_id").agg(
+        *outcome_counts(F.col("outcome")),
+        run_outcome(F.col("outcome"), F.col("position")).alias("outcome"),
+    )
+
+
 def trend(runs: DataFrame, limit: int = 30) -> DataFrame:
     """Problems per run over the newest runs, oldest first; none for a single run."""
     newest = runs.orderBy(F.desc("started_at"), F.desc("run_id")).limit(limit)

@@ -10,10 +10,11 @@ from operator import and_, or_
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.functions.rows import literal_rows
 from assay.functions.text import tags_or_none
 from assay.operators.rollups import status
 
-FACETS = ("tag", "owner", "datasource")
+FACETS = ("tag", "owner", "datasource", "dataset")
 GLOB_MARKS = re.compile(r"[*?\[\]]")
 TOP_VALUES = 10
 
@@ -42,6 +43,9 @@ def under(path: str) -> Column:
 
 
 def excluded(pattern: str) -> Column:
+    """What an exclusion takes away: nothing if it is empty, all if it is `.`."""
+    if not pattern.strip("/"):
+        return F.lit(False)
     if GLOB_MARKS.search(pattern):
         return F.col("path").rlike(glob_to_regex(pattern))
     return under(pattern)
@@ -57,10 +61,10 @@ def select_checks(
     named: Sequence[str] = (),
     include_disabled: bool = False,
 ) -> DataFrame:
-    """The checks a selection chooses: any of each kind given, all kinds together.
+    """Checks that meet every kind of condition given, by any one item of it.
 
-    An item of `named` is a check's name, or else a prefix of its id: when any
-    check has that name it is not read as a prefix too.
+    Names win over ids: an item of `named` is tried as the start of an id only
+    where no check is called that.
     """
     chosen = [] if include_disabled else [F.col("state") == "active"]
     if paths:
@@ -104,7 +108,7 @@ SEARCHED = ("name", "expression", "dataset", "path", "check_hash", "datasource",
 
 
 def matches_text(needle: str) -> Column:
-    """Case-insensitive substring of any field or tag of a check."""
+    """Whether a check's tags or text fields hold the needle, in any case of letters."""
     needle = needle.strip().lower()
     if not needle:
         return F.lit(True)
@@ -147,19 +151,32 @@ def facet_filter(checks: DataFrame, **query: object) -> DataFrame:
 
 
 def facet_counts(checks: DataFrame, facet: str, **query: object) -> DataFrame:
-    """Every value of a facet with how many checks have it among those matching
-    all other filters; a value no check matches any more counts 0."""
+    """How many checks have each value of a facet, the facet's own filter aside.
+
+    Values that only filtered-out checks have, or no check at all but the filter
+    names, count 0.
+    """
     matching = facet_condition(**query, without=facet)
-    return (
-        checks.select(matching.alias("matching"), F.explode(F.array_distinct(values_of(facet))).alias("value"))
-        .groupBy("value")
-        .agg(F.count_if("matching").alias("checks"))
-    )
+    values = F.explode(F.array_distinct(values_of(facet))).alias("value")
+    found = checks.select(matching.alias("matching"), values)
+    ticked = sorted(set((query.get("chosen") or {}).get(facet, ())))
+    if ticked:
+        named = literal_rows(checks.sparkSession, "value string", [(v,) for v in ticked])
+        found = found.unionByName(named.select(F.lit(False).alias("matching"), "value"))
+    return found.groupBy("value").agg(F.count_if("matching").alias("checks"))
 
 
-def top_values(counts: DataFrame, limit: int = TOP_VALUES) -> DataFrame:
-    """The values with the highest counts, ties by name, `none` last."""
+def top_values(
+    counts: DataFrame, limit: int = TOP_VALUES, ticked: Sequence[str] = ()
+) -> DataFrame:
+    """The values with the highest counts, ties by name, `none` last.
+
+    Ticked values stay in the list wherever they rank.
+    """
     blank = F.col("value") == ""
-    return counts.orderBy(
-        F.col("checks").desc(), blank, F.lower("value"), F.col("value")
-    ).limit(limit)
+    order = [F.col("checks").desc(), blank, F.lower("value"), F.col("value")]
+    top = counts.orderBy(*order).limit(limit)
+    if not ticked:
+        return top
+    extra = counts.where(F.col("value").isin(*ticked))
+    return top.unionByName(extra).distinct().orderBy(*order)

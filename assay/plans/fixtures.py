@@ -30,7 +30,7 @@ CTES = {
                     else concat('tag', cast(s_suppkey % 17 as string)) end as tag_text,
                concat('checks/ds', cast(n_regionkey as string), '/', lower(replace(n_name, ' ', '_')),
                       '/f', cast(s_suppkey % 3 as string), '.yml') as path,
-               concat('sum(q) > ', cast(s_suppkey % 5 as string)) as expression,
+               concat('sum(q) > ', cast((s_suppkey + 1998) % 5 as string)) as expression,
                timestamp '1995-01-01 00:00:00' + interval '1' day * (s_suppkey % 300)
                    as registered_at,
                timestamp '1995-01-01 00:00:00' + interval '1' day * (s_suppkey % 300 + s_suppkey % 3)

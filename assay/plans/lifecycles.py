@@ -36,7 +36,6 @@ CHANGED = """case when was is null then 'added' when was = wanted then null when
 )
 def registry_sync(spark: SparkSession, sf: str) -> DataFrame:
     registry, loaded = both_sides(spark, sf)
-    lifecycle.refuse_empty(registry, loaded)
     synced = lifecycle.registry_sync(registry, loaded, F.expr(f"timestamp_ntz '{SYNCED_AT}'"))
     return shown(synced, "check_id", "dataset", "state", "state_since", "changed")
 
@@ -68,13 +67,13 @@ def retire_set(spark: SparkSession, sf: str) -> DataFrame:
     + f"""select c.check_id, case when r.check_id is not null then 'active' else c.state end as state,
               cast(case when r.check_id is not null and not (coalesce({KNOWN.replace('check_id', 'c.check_id')}, false) and c.state = 'active')
                    then timestamp '{SYNCED_AT}' else c.state_since end as varchar) as state_since
-          from checks c left join (select distinct check_id from history where outcome = 'fail' and check_id % 3 <> 0) r
+          from checks c left join (select distinct check_id from history) r
               on r.check_id = c.check_id
           where {KNOWN.replace('check_id', 'c.check_id')} or r.check_id is not null""",
 )
 def register_on_result(spark: SparkSession, sf: str) -> DataFrame:
     registry, _ = both_sides(spark, sf)
-    results = derived(spark, sf, "history").where("outcome = 'fail' and check_id % 3 <> 0")
+    results = derived(spark, sf, "history")
     now = F.expr(f"timestamp_ntz '{SYNCED_AT}'")
     after = lifecycle.register_on_result(
         registry.select("check_id", "name", "dataset", "datasource", "state", "state_since"), results, now
@@ -92,14 +91,15 @@ def definition_versions(spark: SparkSession, sf: str) -> DataFrame:
     return shown(versions_of(spark, sf))
 
 
-def definitions(spark: SparkSession, sf: str, shift: int) -> DataFrame:
+def definitions(spark: SparkSession, sf: str, shift: int, every: bool = False) -> DataFrame:
     """Each order as a check whose lines are its clauses.
 
-    `shift` changes, adds and drops some clauses, and turns their order round.
-    An order has at most seven lines.
+    `shift` changes, adds and drops some clauses (none are dropped if `every` is
+    set), and turns their order round. An order has at most seven lines.
     """
     line, key = F.col("l_linenumber"), F.col("l_orderkey")
-    kept = table(spark, sf, "lineitem").where((F.col("l_partkey") + shift) % 6 != 0)
+    kept = table(spark, sf, "lineitem")
+    kept = kept if every else kept.where((F.col("l_partkey") + shift) % 6 != 0)
     lines = kept.groupBy(key, line).agg(
         F.max("l_quantity").alias("most"), F.max("l_returnflag").alias("flag")
     )
@@ -126,11 +126,12 @@ def definitions(spark: SparkSession, sf: str, shift: int) -> DataFrame:
     )
 
 
-def lines_sql(shift: int) -> str:
+def lines_sql(shift: int, every: bool = False) -> str:
+    kept = "true" if every else f"(l_partkey + {shift}) % 6 <> 0"
     return f"""(select l_orderkey as check_id, concat('line', l_linenumber) as key,
         concat('q < ', cast(case when (l_orderkey + l_linenumber * {shift}) % 4 = 1 then max(l_quantity) + {shift}
                else max(l_quantity) end as bigint)) as expression, max(l_returnflag) as flag
-        from lineitem where (l_partkey + {shift}) % 6 <> 0 group by l_orderkey, l_linenumber)"""
+        from lineitem where {kept} group by l_orderkey, l_linenumber)"""
 
 
 @query(
@@ -148,8 +149,8 @@ def definition_diff(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "definition_fingerprint",
     f"""select a.check_id, a.all_lines = b.all_lines as same from
-            (select check_id, string_agg(key || expression || flag, ',' order by key) as all_lines from {lines_sql(0)} x group by 1) a
-            join (select check_id, string_agg(key || expression || flag, ',' order by key) as all_lines from {lines_sql(1)} x group by 1) b
+            (select check_id, string_agg(key || expression || flag, ',' order by key) as all_lines from {lines_sql(0, True)} x group by 1) a
+            join (select check_id, string_agg(key || expression || flag, ',' order by key) as all_lines from {lines_sql(1, True)} x group by 1) b
             on a.check_id = b.check_id""",
 )
 def definition_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
@@ -157,7 +158,7 @@ def definition_fingerprint(spark: SparkSession, sf: str) -> DataFrame:
     are put in another order and their SQL is spaced anew."""
 
     def prints(shift: int, name: str) -> DataFrame:
-        rows = definitions(spark, sf, shift)
+        rows = definitions(spark, sf, shift, True)
         if shift:
             respaced = lambda c: c.withField("where", F.regexp_replace(c["where"], " +", "   "))
             rows = rows.withColumn("clauses", F.transform("clauses", respaced))
@@ -264,23 +265,19 @@ def checks_with_notifiers(spark: SparkSession, sf: str) -> DataFrame:
     return derived(spark, sf, "checks").withColumn("notify", notify)
 
 
-CUT = "started_at < timestamp{} '1999-01-01'"
-
-
 @query(
     "alerts_to_write",
     with_tables("history", "checks", "deliveries")
-    + f", cut as (select * from history where {CUT.format('')} or check_id % 2 = 0), "
-    + STATE.replace("from history)", "from cut)")
+    + f", {STATE}"
     + f""", {NOTIFY}
        select s.run_id, s.check_id, n.notifier, s.event, s.previous_outcome from state s join notified n on n.check_id = s.check_id
        where s.event is not null
-         and not exists (select 1 from history h where h.check_id = s.check_id and (h.started_at, h.run_id) > (s.started_at, s.run_id) and (h.{CUT.format('')} or h.check_id % 2 = 0))
+         and not exists (select 1 from history h where h.check_id = s.check_id and (h.started_at, h.run_id) > (s.started_at, s.run_id))
          and not exists (select 1 from deliveries d where d.run_id = s.run_id and d.check_id = s.check_id
                          and d.notifier = n.notifier and d.event = s.event)""",
 )
 def alerts_to_write(spark: SparkSession, sf: str) -> DataFrame:
-    rows = derived(spark, sf, "history").where(f"{CUT.format('_ntz')} or check_id % 2 = 0")
+    rows = derived(spark, sf, "history")
     written = alerts.alerts_to_write(
         state.state_changes(rows), checks_with_notifiers(spark, sf), derived(spark, sf, "deliveries"), rows
     )

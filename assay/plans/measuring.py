@@ -629,14 +629,15 @@ def register_metric(spark: SparkSession, sf: str) -> DataFrame:
 # --- 2.4 judging ------------------------------------------------------------
 
 # Each measured value, under a rule chosen by its row.
-RULED = """select l_orderkey, l_linenumber, l_partkey, l_quantity as v, l_partkey % 9 as r from lineitem"""
+def ruled(rules: int) -> str:
+    return f"select l_orderkey, l_linenumber, l_quantity as v, l_partkey % {rules} as r from lineitem"
 
 
 @query(
     "judge_compare",
     f"""select r, case r when 0 then v = 25 when 1 then v <> 25 when 2 then v < 25 when 3 then v <= 25
                          when 4 then v > 25 else v >= 25 end as held, count(*) as n
-        from ({RULED}) where r < 6 group by 1, 2""",
+        from ({ruled(6)}) group by 1, 2""",
 )
 def judge_compare(spark: SparkSession, sf: str) -> DataFrame:
     rules = literal_rows(
@@ -644,11 +645,11 @@ def judge_compare(spark: SparkSession, sf: str) -> DataFrame:
         "r bigint, op string, low double, high double",
         [(i, op, 25, None) for i, op in enumerate(("=", "!=", "<", "<=", ">", ">="))],
     )
-    return judged_lines(spark, sf, rules)
+    return judged_lines(spark, sf, rules, 6)
 
 
-def judged_lines(spark: SparkSession, sf: str, rules: DataFrame) -> DataFrame:
-    lines = table(spark, sf, "lineitem").withColumn("r", F.col("l_partkey") % 9)
+def judged_lines(spark: SparkSession, sf: str, rules: DataFrame, many: int) -> DataFrame:
+    lines = table(spark, sf, "lineitem").withColumn("r", F.col("l_partkey") % many)
     held = J.holds(F.col("l_quantity"), F.col("op"), F.col("low"), F.col("high"))
     grouped = lines.join(rules, "r").groupBy("r", held.alias("held"))
     return grouped.agg(F.count(F.lit(1)).alias("n"))
@@ -656,16 +657,16 @@ def judged_lines(spark: SparkSession, sf: str, rules: DataFrame) -> DataFrame:
 
 @query(
     "judge_between",
-    f"""select r, case r when 6 then v between 10 and 20 else v not between 10 and 20 end as held,
-               count(*) as n from ({RULED}) where r in (6, 7) group by 1, 2""",
+    f"""select r, case r when 0 then v between 10 and 20 else v not between 10 and 20 end as held,
+               count(*) as n from ({ruled(2)}) group by 1, 2""",
 )
 def judge_between(spark: SparkSession, sf: str) -> DataFrame:
     rules = literal_rows(
         spark,
         "r bigint, op string, low double, high double",
-        [(6, "between", 10, 20), (7, "not between", 10, 20)],
+        [(0, "between", 10, 20), (1, "not between", 10, 20)],
     )
-    return judged_lines(spark, sf, rules)
+    return judged_lines(spark, sf, rules, 2)
 
 
 def outcomes_of(spark: SparkSession, sf: str, **rules: Rule) -> DataFrame:

@@ -11,21 +11,24 @@ from assay.plans.registry import query
 
 
 def checks_now(spark: SparkSession, sf: str) -> DataFrame:
-    """Every check with its newest result; every 13th check has never run."""
-    rows = derived(spark, sf, "history").where("check_id % 13 <> 5")
-    heads = state.current_heads(rows)
-    return rollups.with_latest(derived(spark, sf, "checks"), heads)
+    """Every check with its newest result, and some more that have never run."""
+    heads = state.current_heads(derived(spark, sf, "history"))
+    checks = derived(spark, sf, "checks")
+    new = checks.where("check_id % 13 = 5").withColumn("check_id", -F.col("check_id"))
+    return rollups.with_latest(checks.unionByName(new), heads)
 
 
 # The same in the oracle's SQL.
 NOW = (
-    STATE.replace("from history)", "from history where check_id % 13 <> 5)")
+    STATE
     + """, latest as (select c.*, h.outcome, h.started_at, h.since, h.run_id, h.last_outcome,
         coalesce(h.outcome, 'none') as status, list_filter(string_split(tag_text, ','), lambda x: x <> '') as kept,
         case when tag_text = '' then [] else string_split(tag_text, ',') end as tags,
         case coalesce(h.outcome, 'none') when 'fail' then 0 when 'error' then 1 when 'warn' then 2
              when 'none' then 3 when 'skipped' then 4 else 5 end as urgency
-        from checks c left join heads h on h.check_id = c.check_id)"""
+        from (select * from checks union all by name
+              select * replace (-check_id as check_id) from checks where check_id % 13 = 5) c
+        left join heads h on h.check_id = c.check_id)"""
 )
 WITH_NOW = with_tables("history", "checks", more=NOW)
 STATUSES = ", ".join(
@@ -224,7 +227,7 @@ def search_checks(spark: SparkSession, sf: str) -> DataFrame:
 FACET_QUERY = {
     "needle": "supplier",
     "statuses": ["fail", "error", "pass", "none"],
-    "chosen": {"tag": ["", "daily"], "owner": ["", "Owner1", "Owner2"]},
+    "chosen": {"tag": ["", "daily"], "owner": ["", "Owner1", "Owner2", "Nobody"]},
 }
 BY_TAG = "(len(kept) = 0 or list_has_any(kept, ['daily']))"
 BY_OWNER = "coalesce(owner, '') in ('', 'Owner1', 'Owner2')"
@@ -242,7 +245,9 @@ def facet_filter(spark: SparkSession, sf: str) -> DataFrame:
 FACET_ROWS = f"""select 'tag' as facet, value, count(*) filter (where {BY_STATUS} and {BY_OWNER}) as checks from
         (select *, unnest(case when len(kept) = 0 then [''] else list_distinct(kept) end) as value from latest) t group by 1, 2
     union all select 'owner', coalesce(owner, ''), count(*) filter (where {BY_STATUS} and {BY_TAG}) from latest group by 1, 2
-    union all select 'datasource', datasource, count(*) filter (where {BY_STATUS} and {BY_TAG} and {BY_OWNER}) from latest group by 1, 2"""
+    union all select 'owner', 'Nobody', 0
+    union all select 'datasource', datasource, count(*) filter (where {BY_STATUS} and {BY_TAG} and {BY_OWNER}) from latest group by 1, 2
+    union all select 'dataset', dataset, count(*) filter (where {BY_STATUS} and {BY_TAG} and {BY_OWNER}) from latest group by 1, 2"""
 
 
 def all_facets(spark: SparkSession, sf: str) -> DataFrame:
@@ -263,11 +268,13 @@ def facet_counts(spark: SparkSession, sf: str) -> DataFrame:
 @query(
     "top_values",
     WITH_NOW
-    + f"""select value, checks from ({FACET_ROWS}) f where facet = 'tag'
-          order by checks desc, value = '', lower(value), value limit 10""",
+    + f"""select value, checks from (select *, row_number() over (order by checks desc, value = '', lower(value), value) as i
+              from ({FACET_ROWS}) f where facet = 'tag') t where i <= 10 or value in ('', 'daily', 'tag4')""",
 )
 def top_values(spark: SparkSession, sf: str) -> DataFrame:
-    return search.top_values(search.facet_counts(checks_now(spark, sf), "tag", **FACET_QUERY))
+    """The ten best tags, and three that are ticked."""
+    counts = search.facet_counts(checks_now(spark, sf), "tag", **FACET_QUERY)
+    return search.top_values(counts, ticked=["", "daily", "tag4"])
 
 
 # --- reports ----------------------------------------------------------------

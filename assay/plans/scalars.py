@@ -162,19 +162,37 @@ def format_duration(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+NUMBERS = "(o_custkey % 60) * 0.125 - 2.5"
+
+
 @query(
     "format_value",
-    """select o_orderkey, case when k = 0 then '—' when k = 1 then format('{:,}', cast(o_custkey * 1000 as bigint)) || case when o_custkey * 1000 = 1 then ' row' else ' rows' end
-              when k = 2 then format('{:.2f}%', o_custkey * 0.25) when k = 3 then o_custkey || 's'
-              else cast(o_custkey as varchar) end as shown
-       from (select o_orderkey, o_custkey % 60 as o_custkey, o_orderkey % 5 as k from orders) o where not (k = 3 and o_custkey = 0)
-       union all select o_orderkey, '0s' from orders where o_orderkey % 5 = 3 and o_custkey % 60 = 0""",
+    f"""select o_orderkey, case when k = 0 then '—'
+              when k = 1 then format('{{:,}}', cast(c * 1000 as bigint)) || case when c * 1000 = 1 then ' row' else ' rows' end
+              when k = 2 then format('{{:.2f}}%', v) when k = 3 then c || 's'
+              when k = 4 then format('{{:.6g}}', v * 1000003) when k = 5 then format('{{:.6g}}', v / 100000)
+              when k = 6 then case when v > 0 and format('{{:.2f}}', v) <> '0.00' then '+' else '' end || format('{{:.2f}}%', v)
+              else format('{{:.2f}}%', o_totalprice / 1000) end as shown
+       from (select o_orderkey, o_custkey % 60 as c, cast({NUMBERS} as double) as v, o_totalprice,
+                    case when o_orderkey % 8 = 3 and o_custkey % 60 = 0 then 1 else o_orderkey % 8 end as k
+             from orders) o""",
 )
 def format_value(spark: SparkSession, sf: str) -> DataFrame:
-    kind, number = F.col("o_orderkey") % 5, F.col("o_custkey") % 60
-    value = F.when(kind == 1, number * 1000.0).when(kind == 2, number * 0.25)
-    value = F.when(kind > 0, F.coalesce(value, number.cast("double")))
-    unit = F.when(kind == 1, "count").when(kind == 2, "percent").when(kind == 3, "duration")
+    count, number = F.col("o_custkey") % 60, F.expr(NUMBERS).cast("double")
+    kind = F.col("o_orderkey") % 8
+    kind = F.when((kind == 3) & (count == 0), 1).otherwise(kind)
+    value = (
+        F.when(kind == 0, F.lit(None).cast("double"))
+        .when(kind == 1, count * 1000.0)
+        .when(kind == 3, count.cast("double"))
+        .when(kind == 4, number * 1000003)
+        .when(kind == 5, number / 100000)
+        .when(kind == 7, F.col("o_totalprice") / 1000)
+        .otherwise(number)
+    )
+    unit = F.when(kind == 1, "count").when(kind.isin(2, 6, 7), "percent").when(kind == 3, "duration")
+    unit = F.coalesce(unit, F.lit("number"))
     noun = F.struct(F.lit("row").alias("singular"), F.lit("rows").alias("plural"))
-    told = text.format_value(F.coalesce(unit, F.lit("number")), value, noun)
+    signed = text.format_value(unit, value, noun, signed=True)
+    told = F.when(kind == 6, signed).otherwise(text.format_value(unit, value, noun))
     return table(spark, sf, "orders").select("o_orderkey", told.alias("shown"))

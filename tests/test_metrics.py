@@ -275,3 +275,18 @@ def test_checks_fold_their_clauses(t):
     assert two.message == (
         "rows: warn when > 4; avg(email): avg needs a numeric column; got text"
     )
+
+
+def test_values_are_rounded_as_binary_numbers_and_signed(spark):
+    from assay.functions.text import format_value
+
+    percents = [0.125, 0.375, 1.115, 2.675, 1.005, 0.145, -0.125, 99.995, 1e15, 0.0, 5e-324, 0.004999, 123456.785]
+    numbers = [1e6, 1e-5, 123456.7, 1234567.0, 0.1, -2.5, 100.0, 1e100, 3.0]
+    rows = [("percent", v, f"{v:.2f}%") for v in percents] + [("number", v, f"{v:.6g}") for v in numbers]
+    df = spark.createDataFrame(rows, "unit string, value double, want string")
+    got = df.select("want", format_value(F.col("unit"), F.col("value")).alias("shown")).collect()
+    assert [r.shown for r in got] == [r.want for r in got]
+    signed = format_value(F.col("unit"), F.col("value"), signed=True)
+    rises = {r[0]: r[1] for r in df.select("value", signed).collect()}
+    assert rises[0.375] == "+0.38%" and rises[-0.125] == "-0.12%"
+    assert rises[0.004999] == "0.00%" and rises[1e6] == "+1e+06"

@@ -6,11 +6,11 @@ import re
 
 import pytest
 
+from assay.plans.catalog import ORACLES, QUERIES
 from tests.oracle import compare, connect
 
 SF_DIR = "/root/testdata/sf0.001"
 entry = importlib.import_module("__spark_entry__")
-QUERIES, ORACLES = entry.queries(), entry.oracle_sql()
 
 
 @pytest.fixture(scope="module")
@@ -23,6 +23,10 @@ def test_query_agrees_with_its_oracle(spark, con, name):
     assert compare(spark, con, name, QUERIES, ORACLES, SF_DIR) is None
 
 
+def test_the_entry_has_every_query_of_the_catalog():
+    assert set(QUERIES) <= set(entry.queries()) and set(ORACLES) <= set(entry.oracle_sql())
+
+
 def test_the_flagship_gives_one_row_per_check(spark):
     assert entry.entry(spark).count() == 5
 
