@@ -2,13 +2,16 @@
 
 `measure` stays lazy and gives one row per clause. All `fused` clauses are one
 `agg` over one scan. Each key set of the distinct and duplicate metrics is one
-grouping, shared by every clause that needs it; it is kept apart because a
-distinct aggregate beside others copies each row once per distinct group.
+grouping, shared by every clause on those keys whatever its scope; it is kept
+apart because a distinct aggregate beside others copies each row once per
+distinct group.
 """
 
 from __future__ import annotations
 
-from collections.abc import Mapping
+from collections.abc import Mapping, Sequence
+from concurrent.futures import ThreadPoolExecutor
+from dataclasses import replace
 from datetime import datetime
 from functools import reduce
 
@@ -40,7 +43,7 @@ def measure(df: DataFrame, suite: Suite, now: datetime) -> DataFrame:
     rows = df.where(P.sql_condition(suite.filter)) if suite.filter else df
     types = {f.name.lower(): f.dataType for f in df.schema.fields}
     fused: dict[str, Measured] = {}
-    grouped: dict[tuple[tuple[str, ...], str | None], list[tuple[str, str]]] = {}
+    grouped: dict[tuple[str, ...], list[tuple[str, Clause]]] = {}
     parts: list[DataFrame] = []
     errors: dict[str, str] = {}
     for clause_id, _, clause in suite.clause_ids():
@@ -57,8 +60,11 @@ def measure(df: DataFrame, suite: Suite, now: datetime) -> DataFrame:
             except AnalysisException as exc:
                 errors[clause_id] = masked(exc)
         elif metric.how == "keys":
-            scope = (tuple(clause.args), clause.where)
-            grouped.setdefault(scope, []).append((clause_id, clause.metric))
+            try:
+                rows.groupBy(*_names(clause.args)).agg(ctx.rows()).schema
+                grouped.setdefault(tuple(clause.args), []).append((clause_id, clause))
+            except AnalysisException as exc:
+                errors[clause_id] = masked(exc)
         else:
             try:
                 fused[clause_id] = Measured(*metric.measure(ctx))
@@ -67,11 +73,7 @@ def measure(df: DataFrame, suite: Suite, now: datetime) -> DataFrame:
     fused = _resolved(rows, fused, errors)
     if fused:
         parts.append(fused_scan(rows, fused))
-    for (keys, where), wanted in grouped.items():
-        try:
-            parts.append(key_measures(rows, keys, where, wanted))
-        except AnalysisException as exc:
-            errors.update({clause_id: masked(exc) for clause_id, _ in wanted})
+    parts += [key_measures(rows, keys, wanted) for keys, wanted in grouped.items()]
     if errors:
         failed = [(i, None, None, text) for i, text in errors.items()]
         parts.append(literal_rows(spark, MEASURED, failed))
@@ -120,35 +122,39 @@ def fused_scan(rows: DataFrame, measures: Mapping[str, Measured]) -> DataFrame:
     return rows.agg(*columns).selectExpr(f"stack({len(cells)}, {', '.join(cells)}) as ({names})")
 
 
+def _names(keys: Sequence[str]) -> list[Column]:
+    return [F.col(f"`{key}`") for key in keys]
+
+
 def key_measures(
-    rows: DataFrame,
-    keys: tuple[str, ...],
-    where: str | None,
-    wanted: list[tuple[str, str]],
+    rows: DataFrame, keys: tuple[str, ...], wanted: Sequence[tuple[str, Clause]]
 ) -> DataFrame:
-    """Distinct keys, surplus rows and their share, from one grouping of the keys.
+    """Distinct keys, surplus rows and their share, from one grouping for all scopes.
 
     Rows with a NULL in any key count only as rows in scope. The grouping
     combines equal keys before the shuffle, so a hot key costs one row per task.
     """
-    names = [F.col(f"`{key}`") for key in keys]
-    scoped = rows.where(P.sql_condition(where)) if where else rows
+    names = _names(keys)
     whole = reduce(lambda a, b: a & b, [name.isNotNull() for name in names])
-    groups = scoped.groupBy(*names).agg(F.count(F.lit(1)).alias("rows_of_key"))
-    n = F.col("rows_of_key")
-    surplus = F.coalesce(F.sum(F.when(whole, n - 1)), F.lit(0)).cast("double")
-    in_scope = F.coalesce(F.sum(n), F.lit(0)).cast("double")
-    values = {
-        "distinct_count": F.count_if(whole).cast("double"),
-        "duplicate_count": surplus,
-        "duplicate_percent": P.percent(surplus, in_scope),
-    }
-    measures = {
-        clause_id: Measured(
-            values[metric], F.when(in_scope == 0, NO_ROWS) if metric.endswith("percent") else None
-        )
-        for clause_id, metric in wanted
-    }
+    scopes = {where: f"_rows_{i}" for i, where in enumerate({c.where: 0 for _, c in wanted})}
+    counts = [
+        P.rows_in(P.sql_condition(where) if where else None).alias(name)
+        for where, name in scopes.items()
+    ]
+    groups = rows.groupBy(*names).agg(*counts)
+    measures = {}
+    for clause_id, clause in wanted:
+        n = F.col(scopes[clause.where])
+        there = whole & (n > 0)
+        surplus = F.coalesce(F.sum(F.when(there, n - 1)), F.lit(0)).cast("double")
+        in_scope = F.coalesce(F.sum(n), F.lit(0)).cast("double")
+        values = {
+            "distinct_count": F.count_if(there).cast("double"),
+            "duplicate_count": surplus,
+            "duplicate_percent": P.percent(surplus, in_scope),
+        }
+        nothing = F.when(in_scope == 0, NO_ROWS) if clause.metric.endswith("percent") else None
+        measures[clause_id] = Measured(values[clause.metric], nothing)
     return fused_scan(groups, measures)
 
 
@@ -245,28 +251,42 @@ def masked(exc: PySparkException) -> str:
     return f"the measure could not be taken ({condition})"
 
 
-def measure_isolated(df: DataFrame, suite: Suite, now: datetime) -> DataFrame:
-    """`measure`, run now: when it fails, each clause is measured alone.
+# How many parts of a dataset are measured at a time.
+PARTS_AT_A_TIME = 4
 
-    Only the clauses that fail by themselves are in error. What reaches the
-    driver is one row per clause.
-    """
-    spark = df.sparkSession
-    try:
-        rows = [tuple(r) for r in measure(df, suite, now).collect()]
-    except PySparkException:
-        rows = []
-        for clause_id, check, clause in suite.clause_ids():
-            try:
-                alone = measure(df, _only(suite, check.name, clause), now)
-                rows += [tuple(r) for r in alone.collect()]
-            except PySparkException as exc:
-                rows.append((clause_id, None, None, masked(exc)))
-    return literal_rows(spark, MEASURED, rows)
 
+def measure_isolated(df: DataFrame, suite: Suite, now: datetime) -> DataFrame:
+    """`measure`, run now, so that a clause that fails does so alone.
 
-def _only(suite: Suite, check_name: str, clause: Clause) -> Suite:
-    from dataclasses import replace
+    The shared scan, each key set and each query are jobs of their own, side by
+    side. One that fails is measured again in halves; the others stand. What
+    reaches the driver is one row per clause.
+    """
+    parts: dict[tuple[str, ...], list[str]] = {}
+    for clause_id, _, clause in suite.clause_ids():
+        how = metric_named(clause.metric).how
+        kind = {"keys": tuple(clause.args), "query": (clause_id,)}.get(how, ())
+        parts.setdefault((how, *kind), []).append(clause_id)
 
-    check = next(c for c in suite.checks if c.name == check_name)
-    return replace(suite, checks=(replace(check, clauses=(clause,)),))
+    def attempt(ids: list[str]) -> list[tuple]:
+        try:
+            return [tuple(r) for r in measure(df, _only(suite, ids), now).collect()]
+        except PySparkException as exc:
+            if len(ids) == 1:
+                return [(ids[0], None, None, masked(exc))]
+            half = len(ids) // 2
+            return attempt(ids[:half]) + attempt(ids[half:])
+
+    with ThreadPoolExecutor(PARTS_AT_A_TIME) as pool:
+        rows = [row for part in pool.map(attempt, parts.values()) for row in part]
+    return literal_rows(df.sparkSession, MEASURED, rows)
+
+
+def _only(suite: Suite, ids: Sequence[str]) -> Suite:
+    """The suite with the clauses of these identities alone."""
+    kept: dict[str, list[Clause]] = {}
+    for clause_id, check, clause in suite.clause_ids():
+        if clause_id in ids:
+            kept.setdefault(check.name, []).append(clause)
+    checks = [replace(c, clauses=tuple(kept[c.name])) for c in suite.checks if c.name in kept]
+    return replace(suite, checks=tuple(checks))

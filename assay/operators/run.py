@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import uuid
 from collections.abc import Sequence
+from concurrent.futures import ThreadPoolExecutor
 from dataclasses import dataclass
 from datetime import datetime
 from functools import reduce
@@ -17,8 +18,12 @@ from assay.functions.rows import literal_rows
 from assay.operators.change import judge_changes
 from assay.operators.judge import fold_checks, judge, rules_of, run_rollup
 from assay.operators.measure import measure, measure_isolated
+from assay.sources.results import cut_lineage
 from assay.spec import Suite
 
+# How many datasets are measured at a time.
+DATASETS_AT_A_TIME = 8
+
 
 @dataclass(frozen=True)
 class RunFrames:
@@ -67,19 +72,33 @@ def run_suites(
     fail_on: str = "fail",
     isolate: bool = True,
 ) -> RunFrames:
-    """One run over several datasets, each measured in its own scan."""
+    """One run over several datasets, each measured in its own scan.
+
+    Datasets are measured side by side, each once, whatever is then read of the run.
+    """
     run_id = run_id or uuid.uuid4().hex
     stamp = {
         "run_id": F.lit(run_id),
         "project": F.lit(project),
         "started_at": F.lit(now).cast("timestamp"),
     }
-    judged = [clause_results(df, suite, now, baselines, isolate) for suite, df in suites]
+    with ThreadPoolExecutor(DATASETS_AT_A_TIME) as pool:
+        judged = list(
+            pool.map(lambda s: clause_results(s[1], s[0], now, baselines, isolate), suites)
+        )
     clauses = reduce(DataFrame.unionByName, judged).withColumns(
         {**stamp, "value": finite(F.col("value")), "measured": finite(F.col("measured"))}
     )
+    if not isolate:  # else measures are rows already
+        clauses = cut_lineage(clauses)
     checks = checks_of(suites[0][1].sparkSession, [suite for suite, _ in suites])
-    results = fold_checks(clauses).join(checks, "check_id").withColumns(stamp)
+    # A result's identity comes from its run and check, so a task that runs again
+    # gives the same; histories need it, and the metric, to be read.
+    result_id = F.xxhash64("run_id", "check_id")
+    clauses = clauses.withColumn("result_id", result_id)
+    first = clauses.groupBy("check_id").agg(F.min_by("metric", "position").alias("metric"))
+    results = fold_checks(clauses).join(checks, "check_id").join(first, "check_id")
+    results = results.withColumns(stamp).withColumn("result_id", result_id)
     totals = run_rollup(results, "run_id", "position", fail_on)
     runs = totals.select(
         *[column.alias(name) for name, column in stamp.items()],

@@ -2,9 +2,12 @@
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from assay.operators import state
 from assay.operators.measure import measure
 from assay.operators.history import read_history
 from assay.operators.judge import rules_of
@@ -181,3 +184,24 @@ def run_recorded(spark: SparkSession, sf: str) -> DataFrame:
     results.write_results(folder, run.runs, run.results, run.clauses)
     back = results.read_results(spark, folder, "runs")
     return shown(back, "project", "total", "outcome").withColumn("total", F.col("total").cast("int"))
+
+
+@query(
+    "state_recorded",
+    """select 'keys are unique' as name, 'r1' as run_id, 'failing' as event from orders having count(*) > 0
+       union all select 'keys are unique', 'r2', 'recovered' from orders having count(*) > 0
+       union all select 'prices are plausible', 'r1', 'failing' from orders having max(o_totalprice) >= 400000""",
+)
+def state_recorded(spark: SparkSession, sf: str) -> DataFrame:
+    """Two recorded runs, every order twice in the first, read back and compared."""
+    folder = results.shared_folder(spark)
+    given = table(spark, sf, "orders")
+    for day, (run_id, rows) in enumerate({"r1": given.unionAll(given), "r2": given}.items()):
+        now = NOW + timedelta(days=day)
+        run = run_suites([(orders_suite(), rows)], now, project="main", run_id=run_id)
+        results.write_results(folder, run.runs, run.results, run.clauses)
+    stored = results.read_results(spark, folder, "results")
+    history = read_history(stored, results.read_results(spark, folder, "runs"), "main")
+    changes = state.state_changes(history.select("check_id", "result_id", "run_id", "started_at", "outcome"))
+    names = stored.select("check_id", "name").distinct()
+    return changes.join(names, "check_id").select("name", "run_id", "event")

@@ -290,3 +290,23 @@ def test_values_are_rounded_as_binary_numbers_and_signed(spark):
     rises = {r[0]: r[1] for r in df.select("value", signed).collect()}
     assert rises[0.375] == "+0.38%" and rises[-0.125] == "-0.12%"
     assert rises[0.004999] == "0.00%" and rises[1e6] == "+1e+06"
+
+
+def test_one_grouping_serves_every_scope_of_its_keys(spark, tmp_path):
+    rows = [(i % 5 if i % 7 else None, i) for i in range(50)]
+    spark.createDataFrame(rows, "k int, v int").write.parquet(str(tmp_path / "t"))
+    scopes = [None, "v < 20", "v > 45"]
+    clauses = [
+        Clause(m, ("k",), Rule(">=", 0), where=w, name=f"{m} {w}")
+        for m in ("distinct_count", "duplicate_count")
+        for w in scopes
+    ]
+    suite = Suite("d", [Check("c", clauses)])
+    df = measure(spark.read.parquet(str(tmp_path / "t")), suite, datetime(2026, 1, 1))
+    assert df._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+    keys = {c: i for i, _, c in ((i, k, c.key) for i, k, c in suite.clause_ids())}
+    got = {r.clause_id: r.value for r in df.collect()}
+    for scope, test in zip(scopes, (lambda v: True, lambda v: v < 20, lambda v: v > 45), strict=True):
+        held = [k for k, v in rows if k is not None and test(v)]
+        assert got[keys[f"distinct_count {scope}"]] == len(set(held))
+        assert got[keys[f"duplicate_count {scope}"]] == len(held) - len(set(held))

@@ -9,8 +9,9 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from assay import Change, Check, Clause, Rule, Suite
+from assay.operators import state
 from assay.operators.change import baselines_for
-from assay.operators.history import read_history
+from assay.operators.history import history_page, read_history
 from assay.operators.run import run_suites
 from assay.sources import files, results
 
@@ -190,6 +191,26 @@ def test_runs_are_recorded_and_compared_with(spark, tmp_path):
     assert read_history(stored, unfinished, "p").count() == 0
 
 
+def test_recorded_runs_can_be_analysed(spark, tmp_path):
+    root = str(tmp_path)
+    for day, rows in enumerate((2, 5, 5, 1)):
+        df = spark.range(rows).withColumnRenamed("id", "n")
+        now = datetime(2026, 1, 1 + day)
+        run = run_suites([(suite(), df)], now, project="p", run_id=f"r{day}", isolate=day % 2 == 0)
+        results.write_results(root, run.runs, run.results, run.clauses)
+    stored, runs = (results.read_results(spark, root, t) for t in ("results", "runs"))
+    history = read_history(stored, runs, "p")
+    assert history.select("result_id").distinct().count() == history.count() == 8
+    assert {r.metric for r in stored.select("metric").distinct().collect()} == {"row_count", "sum"}
+    rows_check = stored.where("name = 'rows'").first().check_id
+    events = state.state_changes(history).where(F.col("check_id") == rows_check).orderBy("started_at")
+    assert [(r.run_id, r.event) for r in events.collect()] == [("r0", "failing"), ("r1", "recovered"), ("r3", "failing")]
+    heads = {r.check_id: r for r in state.current_heads(history).collect()}
+    assert heads[rows_check].outcome == "fail" and len(heads) == 2
+    page = history_page(history, rows_check, 2).collect()
+    assert [r.run_id for r in page] == ["r3", "r2"]
+
+
 def test_a_retried_dataset_replaces_its_rows_alone(spark, tmp_path):
     rows = [("r1", "ds", "a", 1, "error"), ("r1", "ds", "b", 2, "pass"), ("r2", "ds", "a", 1, "pass")]
     schema = "run_id string, datasource string, dataset string, check_id int, outcome string"
