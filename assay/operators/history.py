@@ -52,13 +52,12 @@ def join_heads(
     """Each check's head with the check, its newest result and that run.
 
     `results` bring the columns heads do not have; `runs` theirs. Heads are a
-    row per check, so they are settled and the results stay where they are.
+    row per check: read from a table they are small, and the results stay where
+    they are.
     """
-    of_result = results.drop("check_id", "run_id", "outcome")
+    of_result = results.drop("check_id", "run_id", "started_at", "outcome")
     of_run = runs.drop("started_at", "outcome")
-    return (
-        of_result.join(settled(heads), "result_id").join(checks, "check_id").join(of_run, "run_id")
-    )
+    return of_result.join(heads, "result_id").join(checks, "check_id").join(of_run, "run_id")
 
 
 def latest_results(history: DataFrame) -> DataFrame:

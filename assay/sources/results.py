@@ -31,20 +31,13 @@ def cut_lineage(df: DataFrame, folder: str | None = None) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(folder)
 
 
-# A side of a join with at most so many rows is broadcast.
-BROADCAST_ROWS = 500_000
-
-
 def settled(df: DataFrame) -> DataFrame:
-    """An intermediate result of a row per key, written out so its size is known.
+    """An intermediate result, written out so that its size is known.
 
-    Up to half a million rows it is broadcast, so that the large side of its join is
-    not shuffled. Beyond that the join is left to Spark, which shuffles both
-    sides and splits hot keys at run time.
+    Spark picks its join by that size: a small table is broadcast and the large
+    side is not shuffled; otherwise both are, and hot keys split at run time.
     """
-    stored = cut_lineage(df)
-    few = stored.count() <= BROADCAST_ROWS  # read from the files' footers
-    return F.broadcast(stored) if few else stored
+    return cut_lineage(df)
 
 
 def with_day(df: DataFrame) -> DataFrame:
