@@ -68,11 +68,16 @@ def read_results(spark: SparkSession, root: str, name: str) -> DataFrame:
 
 
 def replace_dataset(root: str, attempt: DataFrame) -> None:
-    """Write a retried dataset's results in place of its earlier ones.
+    """Put a retried dataset's results in place of its earlier ones of the same run.
 
-    The table is partitioned by run and dataset; only the partitions in
-    `attempt` are replaced.
+    The days of the attempt are rewritten as a whole, without the old results of
+    its runs and datasets; no other day is read.
     """
-    attempt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy(
-        "run_id", "datasource", "dataset"
-    ).parquet(f"{root}/attempts")
+    attempt = with_day(attempt)
+    where, what = ["project", "day"], ["run_id", "datasource", "dataset"]
+    stored = read_results(attempt.sparkSession, root, "results")
+    days = attempt.select(*where).distinct()
+    kept = stored.join(days, where, "left_semi").join(attempt.select(*what), what, "left_anti")
+    rows = cut_lineage(kept.unionByName(attempt, allowMissingColumns=True))
+    whole = rows.hint("rebalance", *where).write.mode("overwrite")
+    whole.option("partitionOverwriteMode", "dynamic").partitionBy(*where).parquet(f"{root}/results")

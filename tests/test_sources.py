@@ -212,15 +212,23 @@ def test_recorded_runs_can_be_analysed(spark, tmp_path):
 
 
 def test_a_retried_dataset_replaces_its_rows_alone(spark, tmp_path):
-    rows = [("r1", "ds", "a", 1, "error"), ("r1", "ds", "b", 2, "pass"), ("r2", "ds", "a", 1, "pass")]
-    schema = "run_id string, datasource string, dataset string, check_id int, outcome string"
-    results.replace_dataset(str(tmp_path), spark.createDataFrame(rows, schema))
-    retry = spark.createDataFrame([("r1", "ds", "a", 3, "fail")], schema)
-    results.replace_dataset(str(tmp_path), retry)
-    back = spark.read.parquet(f"{tmp_path}/attempts")
+    schema = "run_id string, datasource string, dataset string, check_id int, outcome string, project string, started_at timestamp"
+    one, two = NOW, datetime(2026, 1, 2)
+    rows = [
+        ("r1", "ds", "a", 1, "error", "p", one),
+        ("r1", "ds", "b", 2, "pass", "p", one),
+        ("r2", "ds", "a", 1, "pass", "p", one),
+        ("r3", "ds", "a", 1, "error", "p", two),
+    ]
+    stored = results.with_day(spark.createDataFrame(rows, schema))
+    stored.write.partitionBy("project", "day").parquet(f"{tmp_path}/results")
+    untouched = set((tmp_path / "results" / "project=p" / "day=2026-01-02").iterdir())
+    results.replace_dataset(str(tmp_path), spark.createDataFrame([("r1", "ds", "a", 3, "fail", "p", one)], schema))
+    back = results.read_results(spark, str(tmp_path), "results")
     assert rows_of(back, "run_id", "dataset", "check_id", "outcome") == [
-        ("r1", "a", 3, "fail"), ("r1", "b", 2, "pass"), ("r2", "a", 1, "pass"),
+        ("r1", "a", 3, "fail"), ("r1", "b", 2, "pass"), ("r2", "a", 1, "pass"), ("r3", "a", 1, "error"),
     ]
+    assert set((tmp_path / "results" / "project=p" / "day=2026-01-02").iterdir()) == untouched
 
 
 def test_the_shared_folder_is_the_clusters(spark):
