@@ -164,52 +164,48 @@ def state_changes(results: DataFrame, **hot: int) -> DataFrame:
     )
 
 
-def _against_heads(heads: DataFrame, batch: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Heads with each check's `new` result and whether it `moves` the head
-    alone, and the checks of the batch that must be recomputed instead."""
+def _against_heads(heads: DataFrame, batch: DataFrame) -> DataFrame:
+    """Every head beside the `new` result of its check, in one join, kept.
+
+    `moves`: the check has one new result and that is newer than its head, so the
+    head alone tells what follows. `redo`: it is new, or has several new results
+    or a late one, and must be recomputed.
+    """
     new = _entries(batch).groupBy("check_id").agg(
         F.count(F.lit(1)).alias("n"), F.max(F.struct("at", "outcome", "result_id")).alias("new")
     )
     at = F.struct(*[F.col(c) for c in ORDER])
     moves = F.coalesce((F.col("n") == 1) & (F.col("new.at") > at), F.lit(False))
-    both = heads.join(new, "check_id", "left").withColumn("moves", moves)
-    redo = new.join(both.where("moves").select("check_id"), "check_id", "left_anti")
-    return both, settled(redo.select("check_id"))
-
-
-def advance_heads(heads: DataFrame, batch: DataFrame, history: DataFrame) -> DataFrame:
-    """All heads after a batch of new results, equal to a full recompute.
-
-    A check with one new result, newer than its head, moves on from the head
-    alone. A check that is new, has several new results or a late one is
-    recomputed from its history, which holds the batch already.
-    """
-    both, redo = _against_heads(heads, batch)
-    heads_now = both.where(F.col("n").isNull()).select(*HEAD).unionByName(
-        _moved(both.where("moves"))
-    )
-    if redo.isEmpty():  # the usual case: the history is not read at all
-        return heads_now
-    late = history.join(redo, "check_id", "left_semi")
-    return heads_now.unionByName(current_heads(late).select(*HEAD))
+    both = heads.select(*HEAD).join(new, "check_id", "full_outer").withColumn("moves", moves)
+    return settled(both.withColumn("redo", F.col("n").isNotNull() & ~F.col("moves")))
 
 
 CHANGE = ("check_id", "result_id", "run_id", "started_at", "event", "previous_outcome")
 
 
-def advance_changes(
-    changes: DataFrame, heads: DataFrame, batch: DataFrame, history: DataFrame
-) -> DataFrame:
-    """All state changes after a batch of new results, from those and the heads
-    before it; equal to a full recompute.
+def advance(
+    heads: DataFrame, batch: DataFrame, history: DataFrame, changes: DataFrame | None = None
+) -> tuple[DataFrame, DataFrame | None]:
+    """Heads, and state changes if given, after a batch of new results.
 
-    A late result can change what later ones meant, so the checks whose heads
-    are recomputed have all their changes replaced.
+    Both equal a full recompute. The `history`, which holds the batch already,
+    is read only for checks that must be recomputed, and not at all without any,
+    which is the usual case. A late result can change what later ones meant, so
+    those checks have all their changes replaced.
     """
-    both, redo = _against_heads(heads, batch)
+    both = _against_heads(heads, batch)
+    redo = both.where("redo").select("check_id")
+    late = None if redo.isEmpty() else history.join(redo, "check_id", "left_semi")
+    moved = both.where("moves")
+    heads_now = both.where("n is null").select(*HEAD).unionByName(_moved(moved))
+    if late is not None:
+        heads_now = heads_now.unionByName(current_heads(late).select(*HEAD))
+    if changes is None:
+        return heads_now, None
+
     outcome = F.col("new.outcome")
     alert, unskipped = F.col("basis_alert"), F.col("basis_unskipped")
-    told = both.where("moves").select(
+    told = moved.select(
         "check_id",
         F.col("new.result_id").alias("result_id"),
         F.col("new.at.run_id").alias("run_id"),
@@ -217,13 +213,24 @@ def advance_changes(
         event_of(outcome, alert, unskipped).alias("event"),
         F.when(outcome == "error", unskipped).otherwise(alert).alias("previous_outcome"),
     )
-    kept = changes.select(*CHANGE)
-    added = told.where(F.col("event").isNotNull())
-    if redo.isEmpty():
-        return kept.unionByName(added)
-    again = state_changes(history.join(redo, "check_id", "left_semi")).select(*CHANGE)
+    kept, added = changes.select(*CHANGE), told.where(F.col("event").isNotNull())
+    if late is None:
+        return heads_now, kept.unionByName(added)
+    again = state_changes(late).select(*CHANGE)
     kept = kept.join(redo, "check_id", "left_anti")
-    return kept.unionByName(added).unionByName(again)
+    return heads_now, kept.unionByName(added).unionByName(again)
+
+
+def advance_heads(heads: DataFrame, batch: DataFrame, history: DataFrame) -> DataFrame:
+    """All heads after a batch of new results, see `advance`."""
+    return advance(heads, batch, history)[0]
+
+
+def advance_changes(
+    changes: DataFrame, heads: DataFrame, batch: DataFrame, history: DataFrame
+) -> DataFrame:
+    """All state changes after a batch of new results, see `advance`."""
+    return advance(heads, batch, history, changes)[1]
 
 
 def _moved(both: DataFrame) -> DataFrame:
