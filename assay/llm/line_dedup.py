@@ -124,7 +124,9 @@ def dropped_lines(
     lines = spark.read.schema(kept).parquet(folder)
     for number in range(batches):
         runs.add(lines.where(F.col("batch") == number).select("hash", "doc_id").distinct())
-    doubled = lines.drop("batch").join(runs.repeated(least_docs), "hash")
+    # Written out: both sides of the join are then shuffled as they are, and Spark can
+    # split the line that many documents hold.
+    doubled = lines.drop("batch").join(cut_lineage(runs.repeated(least_docs)), "hash")
     lost = doubled.where(~F.col("doc_id").eqNullSafe(F.col("keeper")))
     places = F.array_sort(F.collect_set("at")).alias("drops")
     return lost.groupBy("doc_id", "text_hash").agg(places)
