@@ -14,18 +14,23 @@ shingles.
   exact segments in one order for all sets, the first of the equal ones is
   among the first H - 2d + 1 of either set. So a set emits the deletion
   neighbourhood of its d segments and its first H - 2d + 1 exact segments.
-* Cost-based allocation. Large segments come first in that order: a set's
-  smallest, above all empty, segments are shared by many and cost most. m and d
-  are chosen for every window by the signatures they make and the false
-  matches expected from the number of sets there, see `allocated`.
-* Sets with a signature in common are candidates, and verified on their shingles.
+* Cost-based allocation. A segment costs what its rarest shingle is common; that
+  order puts the segments of passages that many documents share, and empty ones,
+  last, and sets leave out the costliest. How common shingles are is counted over
+  all sets, in counters of a fixed number. m and d are chosen for every window by
+  the signatures they make and the false matches expected from the number of
+  sets there, see `allocated`.
+* Sets with a signature in common are candidates. Each set has a parity bitmap of two
+  to four bits per shingle; two bitmaps never differ in more bits than the sets differ in
+  shingles, so most false candidates go by these. What is left is verified on the
+  shingles.
 
 Equal sets are one class before anything else. Of a group of near copies not all
-pairs are made: each set is first verified against the set that it shares the
-most signatures with, among the smallest of each signature. Signatures that by then
-hold one component only are done; in the others ever more sets (1, 4, 16, ...)
-are verified against all that follow and are in other components, so every linked
-pair of different components is met in the end.
+pairs are made: each set is first verified against one pivot of its signatures, a
+set that meets the most others. Signatures that by then hold one component only
+are done. In the others all pairs of different components are compared by bitmaps, a block of sets against
+the rest at a time, and only what may link is given out and verified; so every
+linked pair of different components is met in the end.
 
 * Words are split at ASCII white space, A to Z lower-cased. A set has the distinct
   shingles of five words; a text with fewer words has one, the whole sequence. Null,
@@ -43,6 +48,7 @@ from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, Window
@@ -53,9 +59,15 @@ from assay.llm.components import components
 from assay.llm.words import NOT_BLANK, Words, chunks, encoded, mixed, sets
 
 PERCENT = 75
-RATIO = 1.5
-#: Exact segments that a set may leave out, as a share of those it emits.
-SPARE = 0.35
+RATIO = 2.0
+#: Exact segments more than needed, so that sets can leave out the smallest: shares tried.
+SPARE = (0.35, 0.5, 0.75)
+#: Segments with no more shingles than this are taken to be shared by chance.
+COMMON = 1
+#: Shingles are counted in so many counters, whatever their number.
+COUNTERS = 1 << 18
+#: The count of no shingle at all: above any other.
+NEVER = 1 << 38
 #: Signatures that one false match costs as much as.
 MATCH_COST = 50.0
 
@@ -77,40 +89,60 @@ class Band:
     deletions: int
 
 
+def largest_partner(sizes: np.ndarray, high: int, top: int, percent: int) -> np.ndarray:
+    """The largest set that a set of a window has to meet there.
+
+    A set at or above `high` is the larger of its pairs there, any other either.
+    """
+    return np.maximum(np.where(sizes >= high, high - 1, np.minimum(sizes * 100 // percent, top)), 1)
+
+
+def binomial(sizes: np.ndarray, segments: int, shingles: int) -> np.ndarray:
+    """How likely a segment gets so many of the shingles of a set (0 to 2)."""
+    ways = (1.0, sizes, sizes * (sizes - 1) / 2)[shingles]
+    rest = np.maximum(sizes - shingles, 0)
+    return ways * (1 / segments) ** shingles * (1 - 1 / segments) ** rest
+
+
 def allocated(
     number: int, sets_there: int, percent: int = PERCENT, ratio: float = RATIO
 ) -> Band:
     """The segments of a window, by cost.
 
-    For each choice the cost is the signatures of a set of middle size, and the
-    pairs expected to share an emitted segment by chance: empty and one-shingle
-    segments among those emitted, dealt as by throwing shingles into segments.
+    For each choice the cost is the signatures of a set, and the pairs expected to
+    share an emitted segment by chance: exact segments with `COMMON` shingles at
+    most, and one-deletion segments with one at most, when shingles are
+    thrown into segments; both as means over sizes from `low` to `top`.
     """
     low, high = math.ceil(ratio**number), math.ceil(ratio ** (number + 1))
     top = max((high - 1) * 100 // percent, low)
     most = int(differing(np.int64(high - 1), np.int64(top), percent))
-    size = max((low + top) // 2, 1)
-    usual = min(int(differing(np.int64(size), np.int64(size), percent)), most)
+    sizes = np.unique(np.array([low, (low + high) // 2, high - 1, (high + top) // 2, top]))
+    sizes = sizes[(sizes >= low) & (sizes <= top)]
+    usual = differing(sizes, largest_partner(sizes, high, top, percent), percent)
     best = None
-    for deletions in sorted({0, *range(min(most // 2 + 1, 3) + 1)}):
-        if 2 * deletions > most + 1:
-            continue
+    half = (most + 1) // 2
+    for deletions in sorted({0, 1, 2, 3, half // 4, half // 2, half} & {*range(half + 1)}):
         exact = most - 2 * deletions + 1
-        for spare in {0, math.ceil(exact * SPARE / 2), math.ceil(exact * SPARE)}:
-            segments = deletions + exact + (spare if exact else 0)
-            mean = size / segments
-            emitted = max(usual - 2 * deletions + 1, 0)
-            signatures = deletions * (1 + mean) + emitted
-            empty = (segments - deletions) * math.exp(-mean)
+        for spare in sorted({math.ceil(exact * s) for s in SPARE}):
+            segments = deletions + exact + spare
+            emitted = np.maximum(usual - 2 * deletions + 1, 0)
+            signatures = deletions * (1 + sizes / segments) + emitted
+            few = [binomial(sizes, segments, k) for k in range(3)]
             left_out = segments - deletions - emitted
-            chance = max(empty - left_out, 0.0) / max(segments, 1)
-            chance += deletions * math.exp(-mean) * (1 + mean)
-            cost = signatures + MATCH_COST * chance * sets_there / 2
+            chance = (segments - deletions) * sum(few[: COMMON + 1]) - left_out
+            chance = np.maximum(chance, 0.0) / segments
+            chance = chance + deletions * (few[0] + few[1])
+            cost = float(np.mean(signatures + MATCH_COST * chance * sets_there / 2))
             if best is None or cost < best[0]:
                 best = (cost, segments, deletions)
     return Band(number, low, high, top, best[1], best[2])
 
 
+def counter_of(found: np.ndarray) -> np.ndarray:
+    return (mixed(found) >> np.uint64(64 - COUNTERS.bit_length() + 1)).astype(np.int64)
+
+
 def set_keys(found: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Two hashes of every whole set; 0 for empty ones."""
     ends = np.concatenate(([0], np.cumsum(many)))
@@ -124,9 +156,18 @@ def set_keys(found: np.ndarray, many: np.ndarray) -> tuple[np.ndarray, np.ndarra
 
 
 def signatures(
-    found: np.ndarray, many: np.ndarray, windows: dict[int, Band], percent: int = PERCENT
+    found: np.ndarray,
+    many: np.ndarray,
+    windows: dict[int, Band],
+    percent: int = PERCENT,
+    common: np.ndarray | None = None,
 ) -> tuple[np.ndarray, np.ndarray]:
-    """Signatures of some sets, and the set of each."""
+    """The set and the value of each signature of some sets.
+
+    `common` tells how many sets have shingles of each counter, see `common_shingles`.
+    """
+    if common is None:
+        common = np.zeros(COUNTERS, dtype=np.int64)
     rows, sigs = [], []
     ends = np.cumsum(many)
     starts = ends - many
@@ -135,9 +176,7 @@ def signatures(
         if not len(inside):
             continue
         sizes = many[inside]
-        # A set at or above `high` is the larger of its pairs here, any other either.
-        partner = np.where(sizes >= window.high, window.high - 1, sizes * 100 // percent)
-        partner = np.maximum(np.minimum(partner, window.top), 1)
+        partner = largest_partner(sizes, window.high, window.top, percent)
         most = differing(sizes, partner, percent)
         at = np.arange(int(sizes.sum())) - np.repeat(np.cumsum(sizes) - sizes, sizes)
         held = found[np.repeat(starts[inside], sizes) + at]
@@ -150,7 +189,6 @@ def signatures(
         value = mixed(dealt ^ np.uint64(0xA5A5A5A55A5A5A5A))
         sums = np.zeros(len(inside) * m, dtype=np.uint64)
         np.add.at(sums, cell, value)
-        count = np.bincount(cell, minlength=len(inside) * m)
         places = np.tile(np.arange(m, dtype=np.uint64), len(inside))
         whole = mixed(sums + mixed(places + salt))
         if d:
@@ -164,10 +202,12 @@ def signatures(
             rows[-2:] = [inside[r] for r in rows[-2:]]
         emitted = np.minimum(np.maximum(most - 2 * d + 1, 0), m - d)
         if m > d:
-            order = np.where(places.reshape(-1, m) < d, -1, count.reshape(-1, m))
-            # Large segments first; equal ones by their content.
-            tie = (whole >> np.uint64(20)).astype(np.int64).reshape(-1, m)
-            rank = np.argsort(-(order.astype(np.int64) << np.int64(44)) + tie, axis=1)
+            # Segments with the rarest shingle first, empty ones last, equal ones by content.
+            rarest = np.full(len(inside) * m, NEVER, dtype=np.int64)
+            np.minimum.at(rarest, cell, common[counter_of(held)])
+            rarest[places < d] = NEVER + 1
+            tie = (whole >> np.uint64(40)).astype(np.int64)
+            rank = np.argsort(((rarest << np.int64(24)) + tie).reshape(-1, m), axis=1, kind="stable")
             taken = np.arange(m)[None, :] < emitted[:, None]
             cells = (np.arange(len(inside))[:, None] * m + rank)[taken]
             rows.append(inside[cells // m])
@@ -181,31 +221,100 @@ def _long(values: np.ndarray) -> pa.Array:
     return pa.array(values.view(np.int64), pa.int64())
 
 
+def bitmaps(found: np.ndarray, many: np.ndarray) -> pa.Array:
+    """The parity bitmap of every set: which bits an odd number of shingles falls on."""
+    bits = 1 << np.ceil(np.log2(np.maximum(2 * many, 64))).astype(np.int64)
+    ends = np.concatenate(([0], np.cumsum(bits)))
+    own = np.repeat(np.arange(len(many)), many)
+    at = mixed(found) & (bits[own] - 1).astype(np.uint64)
+    count = np.bincount(ends[own] + at.astype(np.int64), minlength=int(ends[-1]))
+    data = np.packbits((count & 1).astype(np.uint8)).tobytes()
+    offsets = pa.py_buffer((ends // 8).astype(np.int32).tobytes())
+    return pa.Array.from_buffers(pa.binary(), len(many), [None, offsets, pa.py_buffer(data)])
+
+
+def bits_apart(a: bytes, b: bytes) -> int:
+    """In how many bits two bitmaps differ; the longer is folded to the shorter's length."""
+    one, two = sorted((np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)), key=len)
+    folded = np.bitwise_xor.reduce(two.reshape(-1, len(one)), axis=0)
+    return int(np.bitwise_count(one ^ folded).sum())
+
+
+BLOCKS = 64
+ROWS = (
+    "doc_id long, text_hash long, n_shingles long, key long, key2 long, bits binary, block int"
+)
+
+
 def set_rows(documents: DataFrame) -> DataFrame:
-    """doc_id, text_hash, n_shingles, key, key2: a row per document, null keys for an empty set."""
+    """See ROWS: a row per document, and the shingle counters of each task.
+
+    Documents have a null block, and null keys and bits if the set is empty. Rows
+    with a block hold a part of a task's counters in `bits`.
+    """
+    names = [field.split()[0] for field in ROWS.split(", ")]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counters = np.zeros(COUNTERS, dtype=np.int64)
         for batch in batches:
             for first, last in chunks(batch.column(2)):
                 part = batch.slice(first, last - first)
                 found, many = sets(Words(encoded(part.column(2)), NOT_BLANK))
+                counters += np.bincount(counter_of(found), minlength=COUNTERS)
                 none = pa.array(many == 0)
                 keys = [
                     pc.if_else(none, pa.scalar(None, pa.int64()), _long(k))
                     for k in set_keys(found, many)
                 ]
                 yield pa.RecordBatch.from_arrays(
-                    [*part.columns[:2], pa.array(many, pa.int64()), *keys],
-                    ["doc_id", "text_hash", "n_shingles", "key", "key2"],
+                    [
+                        *part.columns[:2],
+                        pa.array(many, pa.int64()),
+                        *keys,
+                        bitmaps(found, many),
+                        pa.nulls(len(part), pa.int32()),
+                    ],
+                    names,
                 )
+        if counters.any():
+            parts = [c.tobytes() for c in np.split(counters, BLOCKS)]
+            yield pa.RecordBatch.from_arrays(
+                [
+                    *[pa.nulls(BLOCKS, pa.int64())] * 5,
+                    pa.array(parts, pa.binary()),
+                    pa.array(range(BLOCKS), pa.int32()),
+                ],
+                names,
+            )
 
-    schema = "doc_id long, text_hash long, n_shingles long, key long, key2 long"
     given = documents.select("doc_id", F.xxhash64("text").alias("text_hash"), "text")
-    return given.mapInArrow(run, schema)
+    return given.mapInArrow(run, ROWS)
+
+
+def common_shingles(rows: DataFrame) -> np.ndarray:
+    """The counters of all tasks together: how many sets have shingles of each.
+
+    They decide which segments come first, and nothing else, so shingles may share
+    a counter. What the driver gets has a fixed size.
+    """
+
+    def summed(table: pa.Table) -> pa.Table:
+        total = sum(np.frombuffer(c, np.int64) for c in table.column("bits").to_pylist())
+        return pa.table({"block": table.column("block")[:1], "bits": [total.tobytes()]})
 
+    parts = rows.where("block is not null").select("block", "bits")
+    found = parts.groupBy("block").applyInArrow(summed, "block int, bits binary").toArrow()
+    counters = np.zeros((BLOCKS, COUNTERS // BLOCKS), dtype=np.int64)
+    for block, bits in zip(*(found.column(c).to_pylist() for c in ("block", "bits")), strict=True):
+        counters[block] = np.frombuffer(bits, np.int64)
+    return counters.reshape(-1)
 
-def signature_rows(documents: DataFrame, windows: dict[int, Band], percent: int) -> DataFrame:
+
+def signature_rows(
+    documents: DataFrame, windows: dict[int, Band], percent: int, common: np.ndarray
+) -> DataFrame:
     """sig, key: the signatures of every set, once for each task that meets the set."""
+    shared = documents.sparkSession.sparkContext.broadcast(common)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen = np.zeros(0, dtype=np.uint64)
@@ -221,7 +330,7 @@ def signature_rows(documents: DataFrame, windows: dict[int, Band], percent: int)
                 new &= (many > 0) & ~np.isin(one, seen)
                 seen = np.union1d(seen, one[new])
                 keep = np.repeat(new, many)
-                rows, sigs = signatures(found[keep], many[new], windows, percent)
+                rows, sigs = signatures(found[keep], many[new], windows, percent, shared.value)
                 own = one[new][rows]
                 for at in range(0, len(sigs), 50_000):
                     upto = at + 50_000
@@ -272,13 +381,8 @@ def band_column(size: Column, ratio: float = RATIO) -> Column:
     return band
 
 
-def fits(n_a: Column, n_b: Column, percent: int) -> Column:
-    """Whether sets of these sizes can link at all."""
-    return F.least(n_a, n_b) * 100 >= F.greatest(n_a, n_b) * percent
-
-
 def met_signatures(sigs: DataFrame, classes: DataFrame) -> DataFrame:
-    """sig, node, n: signatures of two classes at least, a row for each class."""
+    """sig, node: signatures of two classes at least, a row for each class."""
     same = Window.partitionBy("sig").orderBy("key")
     before, after = F.lag("key", 1).over(same), F.lead("key", 1).over(same)
     met = sigs.withColumns({"first": F.first("key").over(same), "before": before, "after": after})
@@ -287,97 +391,209 @@ def met_signatures(sigs: DataFrame, classes: DataFrame) -> DataFrame:
     new = F.col("before").isNull() | (F.col("before") != F.col("key"))
     other = (F.col("first") != F.col("key")) | F.col("after").isNotNull()
     met = met.where(new & other).select("sig", "key")
-    named = classes.select("key", F.col("rep").alias("node"), F.col("n_shingles").alias("n"))
-    return met.join(named, "key").select("sig", "node", "n")
+    named = classes.select("key", F.col("rep").alias("node"))
+    return met.join(named, "key").select("sig", "node")
+
 
+def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """The pairs (a, b, more columns) whose bitmaps leave it open whether the sets link."""
+    a = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("_n_a"), F.col("bits").alias("_b_a"))
+    b = classes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("_n_b"), F.col("bits").alias("_b_b"))
+    schema = pairs.schema
+    kept = len(schema)
 
-def links_of(
-    documents: DataFrame, classes: DataFrame, windows: dict[int, Band], percent: int
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            n_a, b_a, n_b, b_b = batch.columns[kept:]
+            most = differing(np.asarray(n_a), np.asarray(n_b), percent)
+            apart = [bits_apart(x, y) for x, y in zip(b_a.to_pylist(), b_b.to_pylist(), strict=True)]
+            rows = pa.RecordBatch.from_arrays(batch.columns[:kept], schema.names)
+            yield rows.filter(pa.array(np.array(apart, dtype=np.int64) <= most))
+
+    joined = pairs.join(a, "a").join(b, "b")
+    return joined.select(*schema.names, "_n_a", "_b_a", "_n_b", "_b_b").mapInArrow(run, schema)
+
+
+def components_of(
+    documents: DataFrame,
+    classes: DataFrame,
+    windows: dict[int, Band],
+    common: np.ndarray,
+    percent: int,
 ) -> DataFrame:
-    """a, b: links between classes, by their smallest documents.
+    """node, component: the components of classes, by their smallest documents.
 
     Links that would not join components any more are not looked for.
     """
-    met = cut_lineage(met_signatures(signature_rows(documents, windows, percent), classes))
-
-    nodes = met.select("node").distinct()
-    chosen = classes.join(nodes, classes["rep"] == nodes["node"], "left_semi")
-    chosen = chosen.select(F.col("rep").alias("node"), "key")
-    texts = chosen.join(documents.select("doc_id", "text"), F.col("node") == F.col("doc_id"))
-    held = cut_lineage(shingle_sets(texts))
-
-    # Each class against the one that it has most signatures in common with, of the
-    # smallest ones of its signatures.
-    pivots = met.groupBy("sig").agg(F.min_by(F.struct("node", "n"), "node").alias("pivot"))
-    beside = met.join(pivots, "sig").select(
-        "node", "n", F.col("pivot.node").alias("pivot"), F.col("pivot.n").alias("pivot_n")
-    )
-    beside = beside.where((F.col("pivot") < F.col("node")) & fits(F.col("n"), F.col("pivot_n"), percent))
-    shared = beside.groupBy("node", "pivot").count()
-    favoured = shared.groupBy("node").agg(
-        F.max_by("pivot", F.col("count") * F.lit(2.0) - F.col("pivot") / (F.col("pivot") + 1)).alias("a")
-    )
-    links = cut_lineage(verified(favoured.select("a", F.col("node").alias("b")), held, percent))
-
-    done, step = 0, 1
-    tried = None
-    ranked = met
-    while True:
-        merged = components(links)
-        ranked = unsettled(ranked, merged, done)
-        if ranked.isEmpty():
-            return links
-        pairs = cut_lineage(crossing(ranked, done, done + step, percent))
-        if tried is not None:
-            pairs = pairs.join(tried, ["a", "b"], "left_anti")
-        found = cut_lineage(verified(pairs, held, percent))
-        links = links.unionByName(found)
-        tried = pairs if tried is None else tried.unionByName(pairs)
-        done, step = done + step, step * 4
-
-
-def unsettled(rows: DataFrame, merged: DataFrame, done: int) -> DataFrame:
-    """sig, node, n, place, component of signatures with several components left.
-
-    `place` numbers the classes of a signature; those up to `done` were paired with
-    all after them, so a signature without others is settled too.
+    sigs = signature_rows(documents, windows, percent, common)
+    rows = cut_lineage(met_signatures(sigs, classes))
+
+    def linking(pairs: DataFrame) -> DataFrame:
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
+        chosen = cut_lineage(classes.select("rep", "key").join(nodes, "rep", "left_semi"))
+        likely = among(documents.select("doc_id", "text"), "doc_id", chosen, "rep")
+        texts = likely.join(chosen, F.col("doc_id") == F.col("rep"))
+        held = cut_lineage(shingle_sets(texts.withColumnRenamed("rep", "node")))
+        return cut_lineage(verified(pairs, held, percent))
+
+    pairs = tried = cut_lineage(to_pivots(rows, classes, percent))
+    if pairs.isEmpty():
+        return components(pairs)
+    links = linking(pairs)
+    merged = cut_lineage(components(links))
+    rows = unsettled(rows, merged)
+    pairs = crossing(rows, classes, percent).distinct().join(tried, ["a", "b"], "left_anti")
+    pairs = cut_lineage(pairs)
+    return merged if pairs.isEmpty() else components(links.unionByName(linking(pairs)))
+
+
+def to_pivots(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b: each class with one pivot of its signatures.
+
+    A signature's pivot is the class that meets the most others over all its
+    signatures: in a group of near copies, the text that they were made from. Of the
+    pivots that may link, a class takes the one of most signatures, then the smallest.
     """
+    sizes = rows.groupBy("sig").agg(F.count(F.lit(1)).alias("size"))
+    sized = cut_lineage(rows.join(sizes, "sig"))
+    scores = sized.groupBy("node").agg(F.sum("size").alias("score"))
+    scored = sized.select("sig", "node").join(scores, "node")
+    best = F.max_by("node", F.struct("score", -F.col("node"))).alias("pivot")
+    pivots = scored.groupBy("sig").agg(best)
+    beside = sized.select("sig", "node").join(pivots, "sig").where("node <> pivot")
+    shared = beside.groupBy("node", "pivot").agg(F.count(F.lit(1)).alias("times"))
+    counted = shared.select(F.col("node").alias("a"), F.col("pivot").alias("b"), "times")
+    open_pairs = plausible(counted, classes, percent)
+    favoured = open_pairs.groupBy("a").agg(F.max_by("b", F.struct("times", -F.col("b"))).alias("b"))
+    return favoured.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
+
+
+#: Words of 64 bits in the filter of `among`: 8 MB, whatever the number of ids.
+FILTER_WORDS = 1 << 20
+
+
+def among(df: DataFrame, column: str, wanted: DataFrame, id_column: str) -> DataFrame:
+    """Rows whose id is likely among the wanted ones; none of those is left out.
+
+    A bit per hash of a wanted id, in a filter of fixed size: it keeps texts that
+    no join would keep out of the shuffle. With very many ids it lets more
+    through, and the join that follows still decides.
+    """
+    hashed = F.xxhash64(id_column)
+    word = F.pmod(hashed, F.lit(FILTER_WORDS)).alias("word")
+    place = F.shiftrightunsigned(hashed, 58).cast("int")
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), place)
+    words = wanted.groupBy(word).agg(F.bit_or(bit).alias("bits")).toArrow()
+    table = np.zeros(FILTER_WORDS, dtype=np.int64)
+    table[words.column("word").to_numpy()] = words.column("bits").to_numpy()
+    shared = df.sparkSession.sparkContext.broadcast(table)
+
+    @F.pandas_udf("boolean")
+    def likely(hashes: pd.Series) -> pd.Series:
+        at = hashes.to_numpy().astype(np.int64)
+        bits = shared.value[at & (FILTER_WORDS - 1)].view(np.uint64)
+        return pd.Series((bits >> (at.view(np.uint64) >> np.uint64(58))) & np.uint64(1) == 1)
+
+    return df.where(likely(F.xxhash64(column)))
+
+
+def unsettled(rows: DataFrame, merged: DataFrame) -> DataFrame:
+    """sig, node, component of the signatures that hold several components."""
     named = merged.withColumnRenamed("component", "its")
     own = F.coalesce("its", "node").alias("component")
-    columns = [c for c in rows.columns if c != "component"]
-    known = rows.join(named, "node", "left").select(*columns, own)
-    if "place" not in columns:
-        known = known.withColumn("place", F.lit(done + 2))
+    known = cut_lineage(rows.join(named, "node", "left").select("sig", "node", own))
     spread = known.groupBy("sig").agg(
-        F.min("component").alias("low"), F.max("component").alias("high"), F.max("place").alias("last")
-    )
-    spread = spread.where((F.col("low") != F.col("high")) & (F.col("last") > done + 1)).select("sig")
-    left = known.join(spread, "sig")
-    if "place" not in columns:
-        place = F.row_number().over(Window.partitionBy("sig").orderBy("node"))
-        left = left.withColumn("place", place)
-    return cut_lineage(left)
-
-
-def crossing(ranked: DataFrame, after: int, upto: int, percent: int) -> DataFrame:
-    """a, b: classes at places up to `upto` with all later ones of other components."""
-    first = ranked.where((F.col("place") > after) & (F.col("place") <= upto)).select(
-        "sig",
-        F.col("node").alias("a"),
-        F.col("n").alias("n_a"),
-        F.col("place").alias("place_a"),
-        F.col("component").alias("component_a"),
+        F.min("component").alias("low"), F.max("component").alias("high")
     )
-    later = ranked.select(
-        "sig",
-        F.col("node").alias("b"),
-        F.col("n").alias("n_b"),
-        F.col("place").alias("place_b"),
-        F.col("component").alias("component_b"),
+    return cut_lineage(known.join(spread.where("low <> high").select("sig"), "sig", "left_semi"))
+
+
+BLOCK = 2048
+
+
+def crossing(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """a, b: classes of one signature and different components whose bitmaps may agree.
+
+    A signature's classes are numbered; those of a block are held and compared with
+    all that follow, which go to every block before theirs. So a task holds one block,
+    and a signature with very many classes is many blocks. Most have one.
+    """
+    bits = classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "bits")
+    place = F.row_number().over(Window.partitionBy("sig").orderBy("node")) - 1
+    placed = rows.select("sig", "node", "component", place.alias("place"))
+    last = F.floor(F.col("place") / BLOCK).cast("int")
+    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), last)))
+    dealt = placed.join(bits, "node").select(
+        "sig", "block", "place", "node", "component", "n", "bits"
     )
-    apart = (F.col("place_b") > F.col("place_a")) & (F.col("component_a") != F.col("component_b"))
-    met = first.join(later, "sig").where(apart & fits(F.col("n_a"), F.col("n_b"), percent))
-    return met.select("a", "b").distinct()
+    dealt = dealt.repartition("sig", "block").sortWithinPartitions("sig", "block", "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, held = None, None
+        for batch in batches:
+            sig, block, place, node, component, n = (
+                batch.column(i).to_numpy() for i in range(6)
+            )
+            maps = batch.column(6).to_pylist()
+            change = np.flatnonzero((sig[1:] != sig[:-1]) | (block[1:] != block[:-1])) + 1
+            bounds = [0, *change.tolist(), len(sig)]
+            for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+                if first == last:
+                    continue
+                if key != (sig[first], block[first]):
+                    key, held = (sig[first], block[first]), Held()
+                cut = slice(first, last)
+                inside = place[cut] < (key[1] + 1) * BLOCK
+                found = held.met(node[cut], component[cut], n[cut], maps[first:last], inside, percent)
+                if len(found[0]):
+                    pair = np.sort(np.stack(found), axis=0)
+                    yield pa.RecordBatch.from_arrays(
+                        [pa.array(pair[0]), pa.array(pair[1])], ["a", "b"]
+                    )
+
+    return dealt.mapInArrow(run, "a long, b long")
+
+
+def folded(maps: list[bytes], words: int) -> np.ndarray:
+    """Bitmaps at a length of so many words, which none is shorter than."""
+    rows = np.zeros((len(maps), words), dtype=np.uint64)
+    for i, bits in enumerate(maps):
+        rows[i] = np.bitwise_xor.reduce(np.frombuffer(bits, np.uint64).reshape(-1, words), axis=0)
+    return rows
+
+
+class Held:
+    """The classes of a block, met by those that follow."""
+
+    def __init__(self):
+        self.node = self.component = self.n = np.zeros(0, np.int64)
+        self.maps: list[bytes] = []
+
+    def met(self, node, component, n, maps, inside, percent) -> tuple[np.ndarray, np.ndarray]:
+        """Pairs of a held and a new class; then those inside the block are held."""
+        before = len(self.node)
+        count = int(inside.sum())  # rows come in order, so these are the first
+        self.node = np.concatenate((self.node, node[:count]))
+        self.component = np.concatenate((self.component, component[:count]))
+        self.n = np.concatenate((self.n, n[:count]))
+        self.maps += maps[:count]
+        words = min(map(len, [*self.maps, *maps])) // 8
+        ours = folded(self.maps, words)
+        a, b = [], []
+        step = max(1, 4_000_000 // (max(len(ours), 1) * words))
+        for at in range(0, len(node), step):
+            new = slice(at, at + step)
+            theirs = folded(maps[at : at + step], words)
+            apart = np.bitwise_count(ours[:, None, :] ^ theirs[None, :, :]).sum(axis=2)
+            near = apart <= differing(self.n[:, None], n[None, new], percent)
+            near &= self.component[:, None] != component[None, new]
+            # Of two classes in the block, the one before is met by the one after.
+            order = np.arange(at, min(at + step, len(node))) + before
+            near &= np.arange(len(ours))[:, None] < order[None, :]
+            i, j = np.nonzero(near)
+            a.append(self.node[i])
+            b.append(node[new][j])
+        return np.concatenate(a), np.concatenate(b)
 
 
 def linked(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
@@ -385,17 +601,19 @@ def linked(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     component_id is the smallest doc_id that links lead to.
     """
-    rows = cut_lineage(set_rows(documents))
+    told = cut_lineage(set_rows(documents))
+    common = common_shingles(told)
+    rows = told.where("block is null")
     classes = cut_lineage(
         rows.where("key is not null")
         .groupBy("key", "key2", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"))
+        .agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"))
         .where("rep is not null")
     )
     bands = classes.groupBy(band_column(F.col("n_shingles")).alias("band")).count().collect()
     there = {r["band"]: r["count"] for r in bands}
     windows = {n: allocated(n, there[n] + there.get(n + 1, 0), percent) for n in there}
-    merged = components(links_of(documents, classes, windows, percent))
+    merged = components_of(documents, classes, windows, common, percent)
     named = classes.join(merged, classes["rep"] == merged["node"], "left").select(
         F.col("key").alias("_key"),
         F.col("key2").alias("_key2"),
@@ -418,20 +636,22 @@ def representatives(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """
     found = linked(documents, percent)
     alone = F.col("n_shingles") == 0
-    own = F.col("component_id").eqNullSafe(F.col("doc_id"))
-    kept = found.where(alone | own).groupBy("doc_id", "component_id", alone.alias("alone"))
+    first = F.col("component_id").eqNullSafe(F.col("doc_id"))
+    kept = found.where(alone | first).groupBy("doc_id", "component_id", alone.alias("alone"))
     # Of one id without words every row stays, whatever its text.
     hashes = F.when(F.col("alone"), F.col("texts")).otherwise(F.slice("texts", 1, 1))
+    digest, place, *own = fresh(documents, "_digest", "_place", "_doc", "_alone", "_text")
+    its_doc, its_alone, its_text = own
     kept = kept.agg(F.array_sort(F.collect_set("text_hash")).alias("texts")).select(
-        F.col("doc_id").alias("_a"), F.col("alone").alias("_b"), F.explode(hashes).alias("_c")
+        F.col("doc_id").alias(its_doc),
+        F.col("alone").alias(its_alone),
+        F.explode(hashes).alias(its_text),
     )
-    digest, place, many = fresh(documents, "_text_hash", "_place", "_alone")
     rows = documents.withColumn(digest, F.xxhash64("text"))
-    same = F.col("doc_id").eqNullSafe(F.col("_a")) & (F.col(digest) == F.col("_c"))
-    joined = rows.join(kept, same).withColumnRenamed("_b", many)
+    same = F.col("doc_id").eqNullSafe(F.col(its_doc)) & (F.col(digest) == F.col(its_text))
     # Fully repeated rows are one document.
-    alike = Window.partitionBy("doc_id", digest).orderBy(many)
-    joined = joined.withColumn(place, F.row_number().over(alike))
-    return joined.where(F.col(many) | (F.col(place) == 1)).select(
+    alike = Window.partitionBy("doc_id", digest).orderBy(its_alone)
+    joined = rows.join(kept, same).withColumn(place, F.row_number().over(alike))
+    return joined.where(F.col(its_alone) | (F.col(place) == 1)).select(
         *[F.col(f"`{c}`") for c in documents.columns]
     )
