@@ -35,8 +35,9 @@ PENALTY = 4.0
 MOST_LANGUAGES = 4
 ROUNDS = 8
 UNKNOWN = "und"
-#: Of the largest language, for a document to be accepted.
-LEAST_SHARE = 0.5
+#: Of the largest language, for a document to be accepted: passages in other languages
+#: are no reason to reject a text.
+LEAST_SHARE = 0.25
 
 _LETTERS: list[np.ndarray] = []
 
