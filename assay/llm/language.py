@@ -7,12 +7,20 @@ estimates the proportions, first over all languages, then over the 1, 2, ... mos
 present ones; of these sets the one with the best likelihood is taken, less
 `penalty` times the logarithm of the number of words for each language more.
 
+One more component, the background, stands for words of no learned language: half
+of it is the trigrams of all texts, labelled or not, half is the same for every
+trigram. It is weighed like a language, and its share counts as `und`. A text in
+a language that nobody labelled, or in none, is mostly background.
+
 * A word is a run of letters of any script, in lower case. A null text, or one
   without letters, is `und` with score 0; so is every text if nothing was learned.
-* A row with null text or null lang teaches nothing. Ties go to the language that
-  comes first by code point. Repeated rows count as often as they are there.
+* A row with null text teaches nothing, one with null lang or lang `und` only the
+  background. Ties go to the language that
+  comes first by code point, before the background. Repeated rows count as often
+  as they are there.
 * Texts of any length are read whole. An empty table gives an empty result.
-* The model has 65,536 counts per language, whatever the size of the corpus.
+* The model has 65,536 counts per language and as many for the background, whatever
+  the size of the corpus.
 """
 
 from __future__ import annotations
@@ -35,9 +43,11 @@ PENALTY = 4.0
 MOST_LANGUAGES = 4
 ROUNDS = 8
 UNKNOWN = "und"
-#: Of the largest language, for a document to be accepted: passages in other languages
-#: are no reason to reject a text.
-LEAST_SHARE = 0.25
+#: Of the background, in the trigrams that are equally likely.
+UNIFORM = 0.5
+#: Of the background, in a document that is still accepted. Of the learned languages a text
+#: may have any number: passages in several are no reason to reject it.
+MOST_UNKNOWN = 0.5
 
 _LETTERS: list[np.ndarray] = []
 
@@ -78,20 +88,27 @@ class LetterWords:
 
 @dataclass(frozen=True)
 class Model:
-    """Log probabilities of trigram buckets by language."""
+    """Log probabilities of trigram buckets: a row per language, the last for the background."""
 
     languages: tuple[str, ...]
     logs: np.ndarray
 
     @classmethod
     def of(cls, counts: dict[str, np.ndarray]) -> Model:
-        names = tuple(sorted(counts))
+        """Of counts by language, where `UNKNOWN` has those of texts without one."""
+        names = tuple(sorted(n for n in counts if n != UNKNOWN))
         rows = [counts[n] + SMOOTHING for n in names]
-        logs = [np.log(r / r.sum()).astype(np.float32) for r in rows]
-        return cls(names, np.stack(logs) if logs else np.zeros((0, BUCKETS), np.float32))
+        every = sum(counts.values(), np.full(BUCKETS, SMOOTHING))
+        background = (1 - UNIFORM) * every / every.sum() + UNIFORM / BUCKETS
+        logs = [np.log(r / r.sum()) for r in rows] + [np.log(background)]
+        return cls(names, np.stack(logs).astype(np.float32))
+
+    @property
+    def names(self) -> tuple[str, ...]:
+        return (*self.languages, UNKNOWN)
 
 
-def train(labelled: DataFrame) -> Model:
+def train(texts: DataFrame) -> Model:
     """The model of all rows (text, lang): counted in tasks, summed, small when it arrives."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -120,7 +137,8 @@ def train(labelled: DataFrame) -> Model:
                 ["lang", "bucket", "n"],
             )
 
-    rows = labelled.select("text", "lang").where("text is not null and lang is not null")
+    label = F.coalesce("lang", F.lit(UNKNOWN)).alias("lang")
+    rows = texts.select("text", label).where("text is not null")
     parts = rows.mapInArrow(count, "lang string, bucket long, n long")
     summed = parts.groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     counts: dict[str, np.ndarray] = {}
@@ -156,8 +174,8 @@ def mixture(
 def inferred(
     model: Model, texts: list[str | None], penalty: float = PENALTY, most: int = MOST_LANGUAGES
 ) -> np.ndarray:
-    """A row of proportions for each text; all 0 if it has no letters."""
-    out = np.zeros((len(texts), len(model.languages)), dtype=np.float64)
+    """A row of proportions for each text, the last of the background; all 0 without letters."""
+    out = np.zeros((len(texts), len(model.names)), dtype=np.float64)
     words = LetterWords(texts)
     if not len(words.firsts) or not model.languages:
         return out
@@ -169,7 +187,7 @@ def inferred(
     shares, _ = mixture(likely, opens, sizes)
     order = np.argsort(-shares, axis=1, kind="stable")
     best = np.full(len(has), -np.inf)
-    for size in range(1, min(most, len(model.languages)) + 1):
+    for size in range(1, min(most, len(model.names)) + 1):
         chosen = order[:, :size]
         own = np.take_along_axis(likely, np.repeat(chosen, sizes, axis=0), axis=1)
         part, logs = mixture(own, opens, sizes, ROUNDS if size > 1 else 0)
@@ -190,7 +208,10 @@ def identified(
     keep: Sequence[str] = ("doc_id",),
     names: Sequence[str] = ("lang_pred", "score", "languages"),
 ) -> DataFrame:
-    """Columns `keep`, then the largest language, its share, and all shares, under `names`."""
+    """Columns `keep`, then the largest language, its share, and all shares, under `names`.
+
+    The background is `und` among them.
+    """
     shared = documents.sparkSession.sparkContext.broadcast((model.languages, model.logs))
     kinds = (StringType(), DoubleType(), MapType(StringType(), DoubleType()))
     schema = StructType([documents.schema[c] for c in keep])
@@ -210,9 +231,9 @@ def identified(
                 if known.languages:
                     at, score = shares.argmax(axis=1), shares.max(axis=1)
                     pairs = zip(at.tolist(), score.tolist(), strict=True)
-                    pred = [known.languages[i] if s > 0 else UNKNOWN for i, s in pairs]
+                    pred = [known.names[i] if s > 0 else UNKNOWN for i, s in pairs]
                 found = [
-                    [(known.languages[i], row[i]) for i in np.flatnonzero(row)] for row in shares
+                    [(known.names[i], row[i]) for i in np.flatnonzero(row)] for row in shares
                 ]
                 arrays = [
                     pa.array(pred, pa.string()),
@@ -225,18 +246,19 @@ def identified(
     return rows.mapInArrow(run, schema)
 
 
-def accepted(documents: DataFrame, least: float = LEAST_SHARE) -> DataFrame:
-    """The documents of which one language has at least the share `least`, columns as they are.
+def accepted(documents: DataFrame, most_unknown: float = MOST_UNKNOWN) -> DataFrame:
+    """The documents with letters of which the background has at most the share `most_unknown`.
 
-    Learns from all labelled rows given.
+    Columns are as they are. Learns from all rows given.
     """
     pred, score, languages = fresh(documents, "_lang_pred", "_score", "_languages")
     columns = documents.columns
     found = identified(
         documents, train(documents), keep=columns, names=(pred, score, languages)
     )
-    sure = (F.col(pred) != UNKNOWN) & (F.col(score) >= least)
-    return found.where(sure).select(*[F.col(f"`{c}`") for c in columns])
+    unknown = F.coalesce(F.try_element_at(languages, F.lit(UNKNOWN)), F.lit(0.0))
+    known = (F.col(score) > 0) & (unknown <= most_unknown)
+    return found.where(known).select(*[F.col(f"`{c}`") for c in columns])
 
 
 def is_held_out(doc_id: Column) -> Column:

@@ -23,7 +23,7 @@ def _counted(docs: DataFrame) -> DataFrame:
 
 
 def identify_language(_spark: SparkSession, docs: DataFrame, _sf_dir: str) -> DataFrame:
-    """Documents without letters, or of which no language makes up a quarter, go."""
+    """Documents without letters, or mostly in no language that labels teach, go."""
     return language.accepted(docs)
 
 

@@ -65,6 +65,22 @@ def test_accepted_keeps_rows_as_they_are(spark):
     assert sorted(map(tuple, kept.collect()), key=str) == sorted([rows[0], rows[1], rows[4]], key=str)
 
 
+def test_accepted_rejects_what_is_in_no_learned_language(spark):
+    """Letters alone do not make a text one of a learned language; a mixed text stays."""
+    unlabelled = "wszyscy ludzie rodzą się wolni oraz równi pod względem swej godności"
+    gibberish = "xqzv wkjq zzpfx qvbnm jxkw vvqz kqxj wzxcv pqgh jjkz"
+    given = [(1, EN, "en"), (2, f"{EN} {DE} {EN} {DE}", "en"), (3, gibberish, "en"), (4, unlabelled, None), (5, f"{EN} {gibberish}", "de")]
+    rows = spark.createDataFrame(given, "doc_id long, text string, lang string")
+    many = spark.range(20_000).selectExpr(
+        "cast(null as long) as doc_id", f"if(id % 2 = 0, '{EN}', '{DE}') as text", "if(id % 2 = 0, 'en', 'de') as lang"
+    )
+    kept = language.accepted(many.unionByName(rows)).where("doc_id is not null")
+    assert sorted(r.doc_id for r in kept.collect()) == [1, 2, 5]
+    model = language.train(many)
+    row = found(spark, model, [gibberish])[0]
+    assert (row.lang_pred, row.languages) == ("und", {"und": row.score}) and row.score == 1.0
+
+
 def test_a_null_id_is_not_held_out(spark):
     df = spark.createDataFrame([(None,), (1,)], "doc_id long")
     assert [r[0] for r in df.select(language.is_held_out(df.doc_id)).collect()][0] is False
