@@ -5,7 +5,8 @@ given to `train`. A document is a mixture: each word comes from one of its
 languages, with the likelihood of the word's trigrams. Expectation-maximisation
 estimates the proportions, first over all languages, then over the 1, 2, ... most
 present ones; of these sets the one with the best likelihood is taken, less
-`penalty` times the logarithm of the number of words for each language more.
+`penalty` times the logarithm of the number of words for each language more. Sets
+grow, for a text, until no larger one can be better: there is no fixed maximum.
 
 One more component, the background, stands for words of no learned language: half
 of it is the trigrams of all texts, labelled or not, half is the same for every
@@ -40,7 +41,6 @@ from assay.llm.words import chunks
 BUCKETS = 1 << 16
 SMOOTHING = 0.5
 PENALTY = 4.0
-MOST_LANGUAGES = 4
 ROUNDS = 8
 UNKNOWN = "und"
 #: Of the background, in the trigrams that are equally likely.
@@ -171,9 +171,21 @@ def mixture(
     return shares, np.add.reduceat(logs.astype(np.float64), opens)
 
 
-def inferred(
-    model: Model, texts: list[str | None], penalty: float = PENALTY, most: int = MOST_LANGUAGES
+def most_likely(
+    likely: np.ndarray, shares: np.ndarray, logs: np.ndarray, opens: np.ndarray, sizes: np.ndarray
 ) -> np.ndarray:
+    """By text, what no proportions over any of the columns exceed, as a log likelihood.
+
+    The likelihood is concave in the proportions, so its slope at `shares`, where it
+    is `logs`, bounds it everywhere.
+    """
+    each = np.exp(likely - likely.max(axis=1, keepdims=True))
+    total = (each * np.repeat(shares, sizes, axis=0)).sum(axis=1, keepdims=True)
+    slopes = np.add.reduceat((each / np.maximum(total, np.float32(1e-30))).astype(np.float64), opens)
+    return logs + np.maximum(slopes.max(axis=1) - sizes, 0)
+
+
+def inferred(model: Model, texts: list[str | None], penalty: float = PENALTY) -> np.ndarray:
     """A row of proportions for each text, the last of the background; all 0 without letters."""
     out = np.zeros((len(texts), len(model.names)), dtype=np.float64)
     words = LetterWords(texts)
@@ -184,14 +196,26 @@ def inferred(
     has = np.flatnonzero(words.counts)
     sizes = words.counts[has]
     opens = np.cumsum(sizes) - sizes
-    shares, _ = mixture(likely, opens, sizes)
+    shares, logs = mixture(likely, opens, sizes)
+    bound = most_likely(likely, shares, logs, opens, sizes)
     order = np.argsort(-shares, axis=1, kind="stable")
     best = np.full(len(has), -np.inf)
-    for size in range(1, min(most, len(model.names)) + 1):
+    for size in range(1, len(model.names) + 1):
+        cost = penalty * (size - 1) * np.log1p(sizes)
+        # Texts with a set that none of this size or more can better are settled.
+        left = bound - cost > best
+        if penalty >= 0 and not left.all():
+            likely = likely[np.repeat(left, sizes)]
+            has, sizes, order, best, bound, cost = (
+                x[left] for x in (has, sizes, order, best, bound, cost)
+            )
+            opens = np.cumsum(sizes) - sizes
+        if not len(has):
+            break
         chosen = order[:, :size]
         own = np.take_along_axis(likely, np.repeat(chosen, sizes, axis=0), axis=1)
         part, logs = mixture(own, opens, sizes, ROUNDS if size > 1 else 0)
-        scored = logs - penalty * (size - 1) * np.log1p(sizes)
+        scored = logs - cost
         better = np.flatnonzero(scored > best)
         best[better] = scored[better]
         rows = np.zeros((len(better), out.shape[1]))
@@ -204,7 +228,6 @@ def identified(
     documents: DataFrame,
     model: Model,
     penalty: float = PENALTY,
-    most: int = MOST_LANGUAGES,
     keep: Sequence[str] = ("doc_id",),
     names: Sequence[str] = ("lang_pred", "score", "languages"),
 ) -> DataFrame:
@@ -225,7 +248,7 @@ def identified(
             texts = batch.column(0)
             for first, last in chunks(texts):
                 part = texts.slice(first, last - first)
-                shares = inferred(known, part.to_pylist(), penalty, most)
+                shares = inferred(known, part.to_pylist(), penalty)
                 kept = [c.slice(first, last - first) for c in batch.columns[1:]]
                 pred, score = [UNKNOWN] * len(part), [0.0] * len(part)
                 if known.languages:

@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 
 from assay.llm import language
@@ -37,6 +38,38 @@ def test_a_high_penalty_leaves_one_language(spark, model):
     assert found(spark, model, [f"{EN} {DE}"], penalty=1e6)[0].score == 1.0
 
 
+def seven():
+    """A model of seven languages with letters of their own, and a text of each."""
+    said = [
+        " ".join("".join(chr(0x4E00 + 64 * lang + (7 * i + 3 * j * j) % 26) for j in range(6)) for i in range(26))
+        for lang in range(7)
+    ]
+    buckets = [language.LetterWords([t]).buckets for t in said]
+    counts = {f"l{i}": 5_000 * np.bincount(b, minlength=language.BUCKETS) for i, b in enumerate(buckets)}
+    return language.Model.of(counts), said
+
+
+def test_a_text_has_as_many_languages_as_it_says():
+    model, said = seven()
+    for many in range(1, len(said) + 1):
+        row = language.inferred(model, [" ".join(said[:many] * 3)])[0]
+        assert np.flatnonzero(row).tolist() == list(range(many))
+        assert row[:many] == pytest.approx(1 / many, abs=0.01)
+
+
+def test_settling_early_changes_nothing():
+    model, said = seven()
+    rng = np.random.default_rng(3)
+    words = " ".join(said).split() + ["xqzv", "jkwq", "zzz"]
+    texts = [" ".join(rng.choice(words, rng.integers(1, 120))) for _ in range(200)]
+    early = language.inferred(model, texts)
+    settled, language.most_likely = language.most_likely, lambda *a: np.full(len(a[2]), np.inf)
+    try:
+        assert np.allclose(early, language.inferred(model, texts))
+    finally:
+        language.most_likely = settled
+
+
 def test_without_letters_a_text_is_undetermined(spark, model):
     rows = found(spark, model, [None, "", "12 !? \n", "é"])
     assert [rows[i].lang_pred for i in range(3)] == ["und"] * 3
