@@ -38,6 +38,8 @@ linked pair of different components is met in the end.
 * Rows of equal doc_id are judged one by one, each by its own text. A row with a null
   id comes back with the component of equal sets that have an id, else with null,
   and brings nothing together. An empty table gives no rows.
+* Classes are told apart by a number of their own, not by an id: sets of one id that
+  do not link stay in two components, which then have the same component_id.
 * Texts of any length are read whole. Other columns are ignored.
 """
 
@@ -391,14 +393,14 @@ def met_signatures(sigs: DataFrame, classes: DataFrame) -> DataFrame:
     new = F.col("before").isNull() | (F.col("before") != F.col("key"))
     other = (F.col("first") != F.col("key")) | F.col("after").isNotNull()
     met = met.where(new & other).select("sig", "key")
-    named = classes.select("key", F.col("rep").alias("node"))
+    named = classes.select("key", "node")
     return met.join(named, "key").select("sig", "node")
 
 
 def plausible(pairs: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     """The pairs (a, b, more columns) whose bitmaps leave it open whether the sets link."""
-    a = classes.select(F.col("rep").alias("a"), F.col("n_shingles").alias("_n_a"), F.col("bits").alias("_b_a"))
-    b = classes.select(F.col("rep").alias("b"), F.col("n_shingles").alias("_n_b"), F.col("bits").alias("_b_b"))
+    a = classes.select(F.col("node").alias("a"), F.col("n_shingles").alias("_n_a"), F.col("bits").alias("_b_a"))
+    b = classes.select(F.col("node").alias("b"), F.col("n_shingles").alias("_n_b"), F.col("bits").alias("_b_b"))
     schema = pairs.schema
     kept = len(schema)
 
@@ -421,7 +423,7 @@ def components_of(
     common: np.ndarray,
     percent: int,
 ) -> DataFrame:
-    """node, component: the components of classes, by their smallest documents.
+    """node, component: the components of classes, by their smallest nodes.
 
     Links that would not join components any more are not looked for.
     """
@@ -429,11 +431,13 @@ def components_of(
     rows = cut_lineage(met_signatures(sigs, classes))
 
     def linking(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("rep")).distinct()
-        chosen = cut_lineage(classes.select("rep", "key").join(nodes, "rep", "left_semi"))
+        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+        wanted = classes.select("node", "key", "rep", "rep_text")
+        chosen = cut_lineage(wanted.join(nodes, "node", "left_semi"))
         likely = among(documents.select("doc_id", "text"), "doc_id", chosen, "rep")
-        texts = likely.join(chosen, F.col("doc_id") == F.col("rep"))
-        held = cut_lineage(shingle_sets(texts.withColumnRenamed("rep", "node")))
+        # An id may have several texts.
+        its = (F.col("doc_id") == F.col("rep")) & (F.xxhash64("text") == F.col("rep_text"))
+        held = cut_lineage(shingle_sets(likely.join(chosen, its)))
         return cut_lineage(verified(pairs, held, percent))
 
     pairs = tried = cut_lineage(to_pivots(rows, classes, percent))
@@ -518,7 +522,7 @@ def crossing(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
     all that follow, which go to every block before theirs. So a task holds one block,
     and a signature with very many classes is many blocks. Most have one.
     """
-    bits = classes.select(F.col("rep").alias("node"), F.col("n_shingles").alias("n"), "bits")
+    bits = classes.select("node", F.col("n_shingles").alias("n"), "bits")
     place = F.row_number().over(Window.partitionBy("sig").orderBy("node")) - 1
     placed = rows.select("sig", "node", "component", place.alias("place"))
     last = F.floor(F.col("place") / BLOCK).cast("int")
@@ -601,30 +605,53 @@ def linked(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
 
     component_id is the smallest doc_id that links lead to.
     """
+    return grouped(documents, percent).drop("root")
+
+
+def grouped(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
+    """Columns of `linked`, and root: a number of the component, null for empty sets.
+
+    Equal sets that no row with an id has are a component of their own.
+    """
     told = cut_lineage(set_rows(documents))
     common = common_shingles(told)
     rows = told.where("block is null")
-    classes = cut_lineage(
+    with_id = F.when(F.col("doc_id").isNotNull(), F.struct("doc_id", "text_hash"))
+    every = (
         rows.where("key is not null")
         .groupBy("key", "key2", "n_shingles")
-        .agg(F.min("doc_id").alias("rep"), F.first("bits").alias("bits"))
-        .where("rep is not null")
+        .agg(F.min(with_id).alias("least"), F.first("bits").alias("bits"))
+        .select(
+            "key",
+            "key2",
+            "n_shingles",
+            "bits",
+            F.col("least.doc_id").alias("rep"),
+            F.col("least.text_hash").alias("rep_text"),
+            F.monotonically_increasing_id().alias("node"),
+        )
     )
+    # Written out, so that the numbers stay as they are.
+    every = cut_lineage(every)
+    classes = every.where("rep is not null")
     bands = classes.groupBy(band_column(F.col("n_shingles")).alias("band")).count().collect()
     there = {r["band"]: r["count"] for r in bands}
     windows = {n: allocated(n, there[n] + there.get(n + 1, 0), percent) for n in there}
     merged = components_of(documents, classes, windows, common, percent)
-    named = classes.join(merged, classes["rep"] == merged["node"], "left").select(
+    known = cut_lineage(merged.join(classes.select("node", "rep"), "node"))
+    smallest = cut_lineage(known.groupBy("component").agg(F.min("rep").alias("smallest")))
+    merged = known.join(smallest, "component").select("node", "component", "smallest")
+    named = every.join(merged, "node", "left").select(
         F.col("key").alias("_key"),
         F.col("key2").alias("_key2"),
-        F.coalesce("component", "rep").alias("component_id"),
+        F.coalesce("smallest", "rep").alias("component_id"),
+        F.coalesce("component", "node").alias("root"),
     )
     same = (rows["key"] == named["_key"]) & (rows["key2"] == named["_key2"])
+    # A null id has no other component than that of equal sets with an id.
+    own = F.coalesce("component_id", "doc_id").alias("component_id")
     return rows.join(named, same, "left").select(
-        "doc_id",
-        "text_hash",
-        "n_shingles",
-        F.coalesce("component_id", "doc_id").alias("component_id"),
+        "doc_id", "text_hash", "n_shingles", own, "root"
     )
 
 
@@ -632,20 +659,26 @@ def representatives(documents: DataFrame, percent: int = PERCENT) -> DataFrame:
     """One document of each component, that of the smallest id; columns as they are.
 
     Documents without words stay, all of them. Of rows with the same id in one
-    component, one stays.
+    component, one stays; rows of one id in several components stay in each. Of rows
+    without an id, every set stays that no row with an id has, once.
     """
-    found = linked(documents, percent)
+    found = grouped(documents, percent)
     alone = F.col("n_shingles") == 0
     first = F.col("component_id").eqNullSafe(F.col("doc_id"))
-    kept = found.where(alone | first).groupBy("doc_id", "component_id", alone.alias("alone"))
-    # Of one id without words every row stays, whatever its text.
-    hashes = F.when(F.col("alone"), F.col("texts")).otherwise(F.slice("texts", 1, 1))
     digest, place, *own = fresh(documents, "_digest", "_place", "_doc", "_alone", "_text")
     its_doc, its_alone, its_text = own
-    kept = kept.agg(F.array_sort(F.collect_set("text_hash")).alias("texts")).select(
+    # Of one id without words every row stays, whatever its text.
+    empty = found.where(alone).select("doc_id", "text_hash", F.lit(True).alias("alone")).distinct()
+    kept = (
+        found.where(~alone & first)
+        .groupBy("root")
+        .agg(F.min(F.struct("doc_id", "text_hash")).alias("least"))
+        .select("least.*", F.lit(False).alias("alone"))
+    )
+    kept = kept.unionByName(empty).select(
         F.col("doc_id").alias(its_doc),
         F.col("alone").alias(its_alone),
-        F.explode(hashes).alias(its_text),
+        F.col("text_hash").alias(its_text),
     )
     rows = documents.withColumn(digest, F.xxhash64("text"))
     same = F.col("doc_id").eqNullSafe(F.col(its_doc)) & (F.col(digest) == F.col(its_text))

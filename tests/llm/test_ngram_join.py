@@ -2,6 +2,7 @@ import random
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from assay.llm import ngram_join
 from tests.llm import brute
@@ -76,6 +77,19 @@ def test_representatives_keep_one_of_each_group_and_all_columns(docs):
     assert got == sorted([(1, near), (3, ""), (3, ""), (4, "other words"), (0, "no id at all")])
 
 
+def test_representatives_keep_different_texts_of_null_and_repeated_ids(docs):
+    one, two, three = (" ".join(f"{x}{i}" for i in range(50)) for x in "abc")
+    rows = [(None, one), (None, two), (None, two.upper()), (5, three), (None, three)]
+    # Id 7 has a text near that of 6, and one that links with nothing.
+    four, five = (" ".join(f"{x}{i}" for i in range(50)) for x in "de")
+    rows += [(6, four), (7, four + " more"), (7, five), (8, five + " more"), (9, one[:40]), (9, two[:40])]
+    kept = ngram_join.representatives(docs(rows)).select("doc_id", F.lower("text"))
+    want = [(None, one), (None, two), (5, three), (6, four), (7, five), (9, one[:40]), (9, two[:40])]
+    assert sorted(map(tuple, kept.collect()), key=str) == sorted(want, key=str)
+    ids = {(d, c) for d, _, c in joined(docs, rows)}
+    assert ids == {(None, None), (None, 5), (5, 5), (6, 6), (7, 6), (7, 7), (8, 7), (9, 9)}
+
+
 def test_every_linked_pair_has_a_signature_in_common():
     rng = np.random.default_rng(7)
     sizes = [*range(1, 40), 77, 150, 640]
