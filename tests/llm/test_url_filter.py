@@ -60,3 +60,43 @@ def test_long_redirect_chains_and_given_edges(spark):
 def test_no_pages_and_no_rules(spark):
     assert judged(spark, []) == {}
     assert judged(spark, pages("http://a.net/"), rules=())[0].verdict == "allow"
+
+
+@pytest.mark.parametrize(
+    ("url", "html", "targets"),
+    [
+        ("http://A.com/x/y?q#f", "<link rel=canonical href=/en/25>", ["a.com/en/25"]),
+        ("http://a.com/x/y", '<link rel="canonical" href="//B.net/z">', ["b.net/z"]),
+        ("http://a.com/x/y?q", '<link rel="canonical" href="../z/./w/..?p=/../#f">', ["a.com/z/?p=/../"]),
+        ("http://a.com/x/y", '<link rel="canonical" href="z">', ["a.com/x/z"]),
+        ("http://a.com", '<link rel="canonical" href="z">', ["a.com/z"]),
+        ("http://a.com/x?q", '<link rel="canonical" href="?p">', ["a.com/x?p"]),
+        ("http://a.com/x", '<link rel="canonical" href="/go?u=http://b.net/">', ["a.com/go?u=http://b.net/"]),
+        ("http://a.com/", '<link rel="canonical" href="http://b.net/?a=1&amp;b=2">', ["b.net/?a=1&b=2"]),
+        ("http://a.com/", '<meta http-equiv="refresh" content="0; url=/?a=1&amp;b=2">', ["a.com/?a=1&b=2"]),
+        (
+            "http://a.com/",
+            '<link rel=canonical href="/1"><meta http-equiv=refresh content="1;url=/2">'
+            '<link rel=canonical href="/3"><meta http-equiv=refresh content="1;url=/4">',
+            ["a.com/1", "a.com/2", "a.com/3", "a.com/4"],
+        ),
+        ("http://a.com/x/", '<base href="//b.net/p/q"><link rel=canonical href="r">', ["b.net/p/r"]),
+        ("http://a.com/", '<link rel=canonical href="mailto:x@b.net"><link rel=canonical href="">', []),
+        ("http:///x", '<link rel=canonical href="/y"><link rel=canonical href="///z">', []),
+        ("no scheme", '<link rel=canonical href="//b.net/">', []),
+    ],
+)
+def test_every_target_of_a_page_is_an_alias(spark, url, html, targets):
+    df = spark.createDataFrame([(url, html), (url, None)], "url string, html string")
+    assert sorted(r.b for r in url_filter.alias_edges(df).collect()) == targets
+
+
+def test_a_block_reaches_aliases_by_relative_targets(spark):
+    rows = [
+        (1, "http://a.com/x", '<link rel=canonical href="/hub">', 0, 0),
+        (2, "http://a.com/hub", '<link rel=canonical href="/"><link rel=canonical href="//b.net/">', 0, 0),
+        (3, "http://a.com/", None, 0, 0),
+        (4, "http://a.com/y", None, 0, 0),
+    ]
+    got = judged(spark, rows)
+    assert {i: got[i].verdict for i in got} == {1: "block", 2: "block", 3: "block", 4: "allow"}
