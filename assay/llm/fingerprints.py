@@ -3,9 +3,15 @@
 The 64-bit hash of each word shingle is used once: its top bits choose one of 512
 bins, the rest is its value, and a bin keeps its smallest. An empty bin takes
 the value of a full one by optimal densification: it tries bins in an order
-of its own, alike for all texts, until one is full. Four low bits of every bin are
-kept, packed as 512 hexadecimal digits. Two bins agree by chance once in 16, which
-`likeness` takes off again; its standard error is 0.024 at most.
+of its own, alike for all texts, until one is full. Of every bin's value, mixed with the
+number of the bin, four low bits are kept, packed as 512 hexadecimal digits: a value
+that fills many bins has bits of its own in each, so that bins of unlike texts agree by
+chance once in 16 each, however few shingles there are. `likenesses` takes that off again.
+
+The standard error of a likeness of texts with many more shingles than bins is 0.024 at most.
+Of short texts the few shingles that fill all bins are weighed by the bins that they happen
+to fill, so it grows to that of a sample: about 0.5 / sqrt(shingles in either text), while
+disjoint sets stay within 0.06 and equal ones are 1.
 
 * Words are split at ASCII white space and A to Z lower-cased; shingles take five
   words, a shorter text is one shingle.
@@ -59,7 +65,8 @@ def sketches(texts: list[bytes]) -> np.ndarray:
     at = row * BINS + (found >> width).astype(np.int64)
     np.minimum.at(table, at, found & ((np.uint64(1) << width) - np.uint64(1)))
     table = densified(table.reshape(len(texts), BINS))
-    bits = (table & np.uint64(2**BITS - 1)).astype(np.uint8)
+    own = mixed(np.arange(BINS, dtype=np.uint64))
+    bits = (mixed(table ^ own) & np.uint64(2**BITS - 1)).astype(np.uint8)
     bits[many == 0] = 255
     return bits
 

@@ -50,6 +50,28 @@ def test_equal_sets_agree_and_estimates_are_unbiased():
     assert abs(np.mean(errors)) < 0.015 and np.max(np.abs(errors)) < 0.12
 
 
+def test_short_texts_that_share_nothing_are_unlike_and_estimates_of_short_ones_unbiased():
+    rng = random.Random(7)
+
+    def near(pairs):
+        found = fingerprints.sketches([t.encode() for pair in pairs for t in pair])
+        return fingerprints.likenesses(found[0::2], found[1::2])
+
+    def words(n):
+        return [f"w{rng.random()}" for _ in range(n)]
+
+    for shingles in (1, 2, 3, 4, 5):
+        size = shingles + 4
+        unlike = [(" ".join(words(size)), " ".join(words(size))) for _ in range(500)]
+        assert near(unlike).max() < 0.06
+        same = [(t, t.upper()) for t, _ in unlike]
+        assert near(same).min() == 1.0
+        # One word more: all shingles but one of the longer text are those of the shorter.
+        longer = [(a, a + " " + words(1)[0]) for a, _ in unlike]
+        truth = shingles / (shingles + 1)
+        assert abs(near(longer).mean() - truth) < 0.03
+
+
 def test_fingerprints_follow_words_only(docs):
     text = " ".join(f"w{i}" for i in range(30))
     rows = [(1, text), (2, text.upper()), (3, text.replace(" ", "\n\t")), (4, text + " more"), (5, "w " * 200_000)]
