@@ -11,12 +11,14 @@ grow, for a text, until no larger one can be better: there is no fixed maximum.
 One more component, the background, stands for words of no learned language: half
 of it is the trigrams of all texts, labelled or not, half is the same for every
 trigram. It is weighed like a language, and its share counts as `und`. A text in
-a language that nobody labelled, or in none, is mostly background.
+a language that nobody labelled, or in none, is mostly background. `Model.learned`
+is the model without it, which gives every text with letters a learned language.
 
 * A word is a run of letters of any script, in lower case. A null text, or one
   without letters, is `und` with score 0; so is every text if nothing was learned.
-* A row with null text teaches nothing, one with null lang or lang `und` only the
-  background. Ties go to the language that
+  Then, as nothing can tell the languages apart, `accepted` keeps all texts with letters.
+* A row with null text teaches nothing, one with null lang or lang `und` (a label that
+  says that the language is not known) only the background. Ties go to the language that
   comes first by code point, before the background. Repeated rows count as often
   as they are there.
 * Texts of any length are read whole. An empty table gives an empty result.
@@ -88,7 +90,8 @@ class LetterWords:
 
 @dataclass(frozen=True)
 class Model:
-    """Log probabilities of trigram buckets: a row per language, the last for the background."""
+    """Log probabilities of trigram buckets: a row per language, then one for the background,
+    if it has one."""
 
     languages: tuple[str, ...]
     logs: np.ndarray
@@ -105,7 +108,11 @@ class Model:
 
     @property
     def names(self) -> tuple[str, ...]:
-        return (*self.languages, UNKNOWN)
+        return (*self.languages, UNKNOWN)[: len(self.logs)]
+
+    def learned(self) -> Model:
+        """The model without its background."""
+        return Model(self.languages, self.logs[: len(self.languages)])
 
 
 def train(texts: DataFrame) -> Model:
@@ -186,10 +193,10 @@ def most_likely(
 
 
 def inferred(model: Model, texts: list[str | None], penalty: float = PENALTY) -> np.ndarray:
-    """A row of proportions for each text, the last of the background; all 0 without letters."""
+    """A row of proportions for each text, by the names of the model; all 0 without letters."""
     out = np.zeros((len(texts), len(model.names)), dtype=np.float64)
     words = LetterWords(texts)
-    if not len(words.firsts) or not model.languages:
+    if not len(words.firsts) or not len(model.logs):
         return out
     columns = [np.add.reduceat(row[words.buckets], words.firsts) for row in model.logs]
     likely = np.stack(columns, axis=1)
@@ -233,7 +240,7 @@ def identified(
 ) -> DataFrame:
     """Columns `keep`, then the largest language, its share, and all shares, under `names`.
 
-    The background is `und` among them.
+    The background, of a model that has one, is `und` among them.
     """
     shared = documents.sparkSession.sparkContext.broadcast((model.languages, model.logs))
     kinds = (StringType(), DoubleType(), MapType(StringType(), DoubleType()))
@@ -272,15 +279,16 @@ def identified(
 def accepted(documents: DataFrame, most_unknown: float = MOST_UNKNOWN) -> DataFrame:
     """The documents with letters of which the background has at most the share `most_unknown`.
 
-    Columns are as they are. Learns from all rows given.
+    Columns are as they are. Learns from all rows given; if none has a label and letters,
+    all documents with letters are accepted.
     """
     pred, score, languages = fresh(documents, "_lang_pred", "_score", "_languages")
     columns = documents.columns
-    found = identified(
-        documents, train(documents), keep=columns, names=(pred, score, languages)
-    )
+    model = train(documents)
+    found = identified(documents, model, keep=columns, names=(pred, score, languages))
     unknown = F.coalesce(F.try_element_at(languages, F.lit(UNKNOWN)), F.lit(0.0))
-    known = (F.col(score) > 0) & (unknown <= most_unknown)
+    most = most_unknown if model.languages else 1.0
+    known = (F.size(languages) > 0) & (unknown <= most)
     return found.where(known).select(*[F.col(f"`{c}`") for c in columns])
 
 

@@ -39,8 +39,8 @@ def query(name: str, oracle: str | None = None):
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
     documents = read(spark, sf_dir, "documents")
     held_out = language.is_held_out(F.col("doc_id"))
-    model = language.train(documents.where(~held_out))
-    found = language.identified(documents, model)
+    labelled = documents.where(~held_out & F.col("lang").isNotNull())
+    found = language.identified(documents, language.train(labelled).learned())
     return found.select("doc_id", held_out.alias("held_out"), "lang_pred", "score")
 
 

@@ -1,3 +1,6 @@
+import itertools
+import math
+
 import numpy as np
 import pytest
 
@@ -114,6 +117,55 @@ def test_accepted_rejects_what_is_in_no_learned_language(spark):
     assert (row.lang_pred, row.languages) == ("und", {"und": row.score}) and row.score == 1.0
 
 
+def test_without_a_background_every_text_with_letters_has_a_learned_language(spark, model):
+    rows = found(spark, model.learned(), ["xqzv wkjq zzpfx", "wszyscy ludzie", "12", None, EN])
+    assert {rows[0].lang_pred, rows[1].lang_pred} <= {"de", "en"}
+    assert [rows[i].lang_pred for i in (2, 3, 4)] == ["und", "und", "en"]
+    assert all(abs(sum(rows[i].languages.values()) - 1) < 1e-4 for i in (0, 1, 4))
+
+
+def test_accepted_keeps_texts_with_letters_where_nothing_is_labelled(spark):
+    rows = [(1, EN), (2, "42 !"), (3, None), (4, DE)]
+    df = spark.createDataFrame(rows, "doc_id long, text string").selectExpr("*", "cast(null as string) lang")
+    assert sorted(r.doc_id for r in language.accepted(df).collect()) == [1, 4]
+
+
+def plain_mixture(likely, rounds=language.ROUNDS):
+    """Proportions and log likelihood of one text, one word at a time."""
+    shares = [1 / len(likely[0])] * len(likely[0])
+    for _ in range(rounds):
+        sums = [0.0] * len(shares)
+        for word in likely:
+            parts = [s * math.exp(x) for s, x in zip(shares, word, strict=True)]
+            for i, part in enumerate(parts):
+                sums[i] += part / sum(parts)
+        shares = [s / len(likely) for s in sums]
+    logs = sum(math.log(sum(s * math.exp(x) for s, x in zip(shares, word, strict=True))) for word in likely)
+    return shares, logs
+
+
+def test_the_set_is_the_best_of_all_subsets_by_a_plain_mixture():
+    model, said = seven()
+    model = language.Model(model.languages[:3], model.logs[:3])
+    rng = np.random.default_rng(5)
+    pools = [t.split() for t in said[:3]]
+    texts = []
+    for _ in range(60):
+        own = rng.choice(3, rng.integers(1, 4), replace=False)
+        texts.append(" ".join(rng.choice(pools[p]) for p in rng.choice(own, rng.integers(1, 40))))
+    for text, row in zip(texts, language.inferred(model, texts), strict=True):
+        words = language.LetterWords([text])
+        likely = np.stack([np.add.reduceat(r[words.buckets], words.firsts) for r in model.logs], axis=1)
+        best = {}
+        for size in (1, 2, 3):
+            for chosen in itertools.combinations(range(3), size):
+                shares, logs = plain_mixture(likely[:, chosen].astype(float).tolist())
+                best[chosen] = (logs - language.PENALTY * (size - 1) * math.log1p(len(likely)), shares)
+        chosen = max(best, key=lambda c: best[c][0])
+        assert tuple(np.flatnonzero(row > 1e-6).tolist()) == chosen
+        assert row[list(chosen)] == pytest.approx(best[chosen][1], abs=1e-3)
+
+
 def test_a_null_id_is_not_held_out(spark):
     df = spark.createDataFrame([(None,), (1,)], "doc_id long")
     assert [r[0] for r in df.select(language.is_held_out(df.doc_id)).collect()][0] is False

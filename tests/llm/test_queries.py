@@ -43,6 +43,11 @@ def test_languages_are_told_apart_on_held_out_documents(spark, documents):
     assert len(rows) == len(documents) and len(held) > 30
     assert sum(r.lang_pred == labels[r.doc_id] for r in held) >= 0.97 * len(held)
     assert all(0 <= r.score <= 1 for r in rows)
+    learned = {lang for lang in labels.values() if lang}
+    texts = {d: t for d, t, _ in documents}
+    for r in rows:
+        letters = any(c.isalpha() for c in texts[r.doc_id] or "")
+        assert (r.lang_pred in learned and r.score > 0) if letters else (r.lang_pred, r.score) == ("und", 0)
 
 
 def test_near_copies_as_by_brute_force(spark, documents):
