@@ -4,13 +4,17 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.llm import (
+    centroids,
     chat,
     decontaminate,
+    divergence,
     fingerprints,
+    id_planes,
     language,
     line_dedup,
     mixing,
@@ -19,7 +23,7 @@ from assay.llm import (
     url_filter,
     warc,
 )
-from assay.llm.common import read
+from assay.llm.common import read, shared_folder
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -245,3 +249,105 @@ def op10_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.dedup_lines(read(spark, sf_dir, "documents"))
     digest = F.sha2(F.coalesce("text", F.lit("")), 256).alias("kept_sha256")
     return kept.select("doc_id", "n_lines", "n_dropped", digest)
+
+
+@query("op11_id_planes")
+def op11_id_planes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    folder = shared_folder(spark)
+    tokenizer = public_tokenizers.path("byte_bpe_50k.json")
+    id_planes.write_ids(read(spark, sf_dir, "documents"), folder, tokenizer)
+    found = id_planes.read_ids(spark, folder)
+    return found.select("doc_id", "start", "n_tokens", F.crc32("ids").alias("ids_crc32"))
+
+
+def _clusters_sql(many: int = 8, rounds: int = 10, size: int = 64) -> str:
+    """Rounds one after the other, each a table of distances and one of centroids."""
+    parts = [
+        f"""kept as materialized (
+    select row_number() over () as r, vec_id,
+        list_transform(embedding, lambda x: floor(1024 * x::double)::bigint) as v
+    from embeddings
+    where len(embedding) = {size}
+        and len(list_filter(embedding, lambda x: x is not null and isfinite(x))) = {size}
+), cells as materialized (
+    select r, unnest(range({size})) as d, unnest(v) as x from kept
+), c0 as materialized (
+    select k, unnest(range({size})) as d, unnest(v) as x from (
+        select row_number() over (order by sha256('3:' || vec_id::varchar) nulls last, v) - 1 as k, v
+        from kept qualify k < {many})
+)"""
+    ]
+    for i in range(rounds + 1):
+        parts.append(
+            f"""a{i} as materialized (
+    select r, arg_min(k, (distance, k)) as k, min(distance) as distance from (
+        select r, k, sum((v.x - c.x) * (v.x - c.x))::bigint as distance
+        from cells v join c{i} c using (d) group by r, k) group by r
+), c{i + 1} as materialized (
+    select c.k, c.d, coalesce(m.x, c.x) as x from c{i} c left join (
+        select k, d, (sum(x) // count(*) - case when sum(x) % count(*) < 0 then 1 else 0 end)::bigint as x
+        from cells join a{i} using (r) group by k, d) m on m.k = c.k and m.d = c.d
+)"""
+        )
+    return "with " + ", ".join(parts) + f"""
+select vec_id, k::int as cluster, distance,
+    (sum(distance) over (partition by k))::bigint as cluster_inertia,
+    (sum(distance) over ())::bigint as inertia,
+    (select sha256(string_agg(x::varchar, ',' order by d)) from c{rounds} c where c.k = a.k) as centroid_sha256
+from kept join a{rounds} a using (r)"""
+
+
+@query("op12_centroids", _clusters_sql())
+def op12_centroids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return centroids.with_inertia(*centroids.clustered(read(spark, sf_dir, "embeddings")))
+
+
+@query(
+    "op13_divergence",
+    r"""
+with docs as (
+    select row_number() over () as r, coalesce(lang, '') as lang, coalesce(source, '') as source,
+        coalesce(text, '') as text
+    from documents
+), words as (
+    select r, lang, source, unnest(regexp_extract_all(
+        translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+        '[^\x00-\x40\x5B-\x60\x7B-\x7F]+')) as term
+    from docs
+), said as materialized (
+    select lang, source, term, count(*) as n from words group by 1, 2, 3
+), kept as materialized (
+    select lang, term, count(*) as lang_n from words group by 1, 2 having count(distinct r) >= 3
+), sizes as (
+    select lang, count(*) as v, sum(lang_n) as lang_total from kept group by 1
+), groups as materialized (
+    select g.lang, g.source, coalesce(z.v, 0) as v, coalesce(z.lang_total, 0) as lang_total,
+        coalesce((select sum(n) from said s join kept k using (lang, term)
+            where s.lang = g.lang and s.source = g.source), 0) as total
+    from (select distinct lang, source from docs) g left join sizes z on z.lang = g.lang
+), prices as materialized (
+    select g.lang, g.source, k.term, coalesce(s.n, 0) as n,
+        1 + (1000000000::hugeint * (coalesce(s.n, 0) + 1)) // (g.total + g.v) as p,
+        1 + (1000000000::hugeint * (k.lang_n + 1)) // (g.lang_total + g.v) as q
+    from groups g join kept k on k.lang = g.lang
+    left join said s on s.lang = g.lang and s.source = g.source and s.term = k.term
+), summed as (
+    select a.lang, a.source, b.source as item, sum((a.p - b.p) * (a.p - b.p) // b.p) as value
+    from prices a join prices b on a.lang = b.lang and a.term = b.term and a.source <> b.source
+    group by 1, 2, 3
+), pairs as (
+    select a.lang, a.source, 'pair' as part, b.source as item, coalesce(s.value, 0)::bigint as value
+    from groups a join groups b on a.lang = b.lang and a.source <> b.source
+    left join summed s on s.lang = a.lang and s.source = a.source and s.item = b.source
+), terms as (
+    select lang, source, 'term' as part, term as item, ((p - q) * (p - q) // q)::bigint as value
+    from prices where n > 0 and p > q
+), ranked as (
+    select *, (row_number() over (partition by lang, source, part order by value desc, item))::int as rank
+    from (select * from pairs union all select * from terms)
+)
+select * from ranked where part = 'pair' or rank <= 200
+""",
+)
+def op13_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audited(read(spark, sf_dir, "documents"))

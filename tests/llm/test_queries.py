@@ -2,8 +2,11 @@
 
 import hashlib
 import importlib
+import zlib
 
 import duckdb
+import numpy as np
+import public_tokenizers
 import pytest
 
 from assay.llm.queries import ORACLES, QUERIES
@@ -32,7 +35,7 @@ def test_query_agrees_with_its_oracle(spark, con, name):
 def test_there_is_a_query_for_each_operator_and_the_pipeline():
     entry = importlib.import_module("__spark_entry__")
     numbers = sorted(int(n[2:].split("_")[0]) for n in QUERIES)
-    assert numbers == list(range(1, 11))
+    assert numbers == list(range(1, 14))
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
@@ -68,6 +71,18 @@ def test_token_totals_as_by_encoding_every_text(spark, documents):
         assert r.tokens_cut == sum(min(s, r.context) for s in sizes)
 
 
+def test_ids_as_by_encoding_every_text_in_order(spark, documents):
+    from tokenizers import Tokenizer
+
+    encode = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json")).encode
+    want, start = [], 0
+    for doc_id, text, _ in documents:
+        ids = [*encode(text or "", add_special_tokens=False).ids, 0]
+        want.append((doc_id, start, len(ids), zlib.crc32(np.array(ids, dtype="<u4").tobytes())))
+        start += len(ids)
+    assert sorted(map(tuple, QUERIES["op11_id_planes"](spark, SF_DIR).collect())) == want
+
+
 def test_contamination_as_by_brute_force(spark, documents):
     items = duckdb.sql(f"select item_id, text from '{SF_DIR}/benchmark.parquet'").fetchall()
     want = {}
