@@ -136,17 +136,20 @@ def last_runs_backfill(history: DataFrame, runs: int, hot_rows: int = HOT_ROWS)
     rows = history.where(F.col("measured").isNotNull())
     by, key = ["clause_id"], ["clause_id", SPAN]
     hot = hot_keys(rows, by, "started_at", hot_rows)
-    sample = F.struct(*ORDER, "measured")
-    cut = with_spans(rows.select("clause_id", *ORDER, "measured"), by, "started_at", hot, "inner")
-    tails = newest_per_key(cut, key, ORDER, runs).groupBy(*key)
-    tails = tails.agg(F.array_sort(F.collect_list(sample)).alias("tail"))  # `runs` at most
-    earlier = Window.partitionBy("clause_id").orderBy(SPAN).rowsBetween(-runs, -1)
-    seen = tails.withColumn("seen", F.flatten(F.collect_list("tail").over(earlier)))
-    first = F.greatest(F.size("seen") - runs + 1, F.lit(1))
-    kept = F.slice("seen", first, F.lit(runs))
-    seeds = seen.select(*key, F.inline(kept)).withColumn("_seed", F.lit(True))
-    placed = with_spans(rows, by, "started_at", hot, "left").withColumn("_seed", F.lit(False))
-    both = placed.unionByName(seeds, allowMissingColumns=True)
+    both = with_spans(rows, by, "started_at", hot, "left").withColumn("_seed", F.lit(False))
+    if hot.cuts is not None:
+        sample = F.struct(*ORDER, "measured")
+        cut = with_spans(
+            rows.select("clause_id", *ORDER, "measured"), by, "started_at", hot, "inner"
+        )
+        tails = newest_per_key(cut, key, ORDER, runs).groupBy(*key)
+        tails = tails.agg(F.array_sort(F.collect_list(sample)).alias("tail"))  # `runs` at most
+        earlier = Window.partitionBy("clause_id").orderBy(SPAN).rowsBetween(-runs, -1)
+        seen = tails.withColumn("seen", F.flatten(F.collect_list("tail").over(earlier)))
+        first = F.greatest(F.size("seen") - runs + 1, F.lit(1))
+        kept = F.slice("seen", first, F.lit(runs))
+        seeds = seen.select(*key, F.inline(kept)).withColumn("_seed", F.lit(True))
+        both = both.unionByName(seeds, allowMissingColumns=True)
     frame = Window.partitionBy(*key).orderBy(*ORDER).rowsBetween(-runs, -1)
     n = F.count(F.lit(1)).over(frame)
     mean = F.when(n == runs, F.sum(F.col("measured") / runs).over(frame))

@@ -11,6 +11,7 @@ summary row each. Every other key is one span, and nothing is carried.
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -25,29 +26,44 @@ HOT_ROWS = 1_000_000
 SPANS = 256
 
 
-def hot_keys(df: DataFrame, by: Sequence[str], time: str, hot_rows: int) -> DataFrame:
-    """Every key to cut, with the times that end its spans; no rows if none is hot.
+@dataclass(frozen=True)
+class HotKeys:
+    """Every key to cut, with the times that end its spans; no table if none is hot."""
 
-    Written out, as quantiles may differ when they are computed again.
+    cuts: DataFrame | None = None
+
+
+#: For callers that know that no key has so many rows.
+NONE_HOT = HotKeys()
+
+
+def hot_keys(df: DataFrame, by: Sequence[str], time: str, hot_rows: int) -> HotKeys:
+    """The keys with more rows than `hot_rows`: one counting job, and no more if there are none.
+
+    Cuts are written out, as quantiles may differ when they are computed again.
     """
+    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
+    most = counts.agg(F.max("_n")).first()[0]
+    if most is None or most <= hot_rows:
+        return NONE_HOT
     at = micros(F.col(time), df.schema[time].dataType)
-    hot = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n")).where(F.col("_n") > hot_rows)
-    hot = cut_lineage(hot.select(*by))
+    hot = cut_lineage(counts.where(F.col("_n") > hot_rows).select(*by))
     shares = [i / SPANS for i in range(1, SPANS)]
-    rows = df.join(hot, list(by), "left_semi") if not hot.isEmpty() else df.limit(0)
+    rows = df.join(hot, list(by), "left_semi")
     cuts = rows.groupBy(*by).agg(F.percentile_approx(at, shares, 10_000).alias("_cuts"))
-    return cut_lineage(cuts)
+    return HotKeys(cut_lineage(cuts))
 
 
-def with_spans(
-    df: DataFrame, by: Sequence[str], time: str, hot: DataFrame, how: str
-) -> DataFrame:
-    """Rows with the number of their span: 1 and up for hot keys, else 0."""
-    if hot.isEmpty():
+def with_spans(df: DataFrame, by: Sequence[str], time: str, hot: HotKeys, how: str) -> DataFrame:
+    """Rows with the number of their span: 1 and up for hot keys, else 0.
+
+    `how` joins the cuts: "left" keeps all rows, "inner" those of hot keys alone.
+    """
+    if hot.cuts is None:
         rows = df.withColumn(SPAN, F.lit(0))
         return rows if how == "left" else rows.limit(0)
     at = micros(F.col(time), df.schema[time].dataType)
-    joined = df.withColumn("_at", at).join(hot, list(by), how)
+    joined = df.withColumn("_at", at).join(hot.cuts, list(by), how)
     span = F.size(F.filter("_cuts", lambda cut: cut < F.col("_at"))) + 1
     number = F.when(F.col("_cuts").isNull(), 0).otherwise(span)
     return joined.withColumn(SPAN, number).drop("_cuts", "_at")
@@ -62,7 +78,7 @@ def running(
     totals: Mapping[str, Column] | None = None,
     inclusive: bool = False,
     hot_rows: int = HOT_ROWS,
-    hot: DataFrame | None = None,
+    hot: HotKeys | None = None,
 ) -> DataFrame:
     """Add running columns over the rows before each row of its key.
 
@@ -90,7 +106,7 @@ def running(
         return F.last(value, ignorenulls=True) if name in newest else F.sum(value)
 
     names = [*newest, *totals]
-    cut = not hot.isEmpty()
+    cut = hot.cuts is not None
     inside = Window.partitionBy(*by, SPAN).orderBy(*order)
     frame = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     rows = with_spans(df.withColumns(values), by, order[0], hot, "left")
@@ -114,7 +130,7 @@ def running(
 
 
 def numbered(
-    rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str, hot: DataFrame
+    rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str, hot: HotKeys
 ) -> DataFrame:
     """Number each key's rows from 1, over rows that kept their span.
 
@@ -123,9 +139,9 @@ def numbered(
     """
     inside = Window.partitionBy(*by, SPAN).orderBy(*order)
     earlier = Window.partitionBy(*by).orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)
-    if hot.isEmpty():
+    if hot.cuts is None:
         return rows.withColumn(name, F.row_number().over(inside).cast("long")).drop(SPAN)
-    of_hot = rows.join(hot.select(*by), list(by), "left_semi")
+    of_hot = rows.join(hot.cuts.select(*by), list(by), "left_semi")
     sizes = of_hot.groupBy(*by, SPAN).agg(F.count(F.lit(1)).alias("_n"))
     before = sizes.select(*by, SPAN, F.sum("_n").over(earlier).alias("_before"))
     joined = rows.withColumn("_i", F.row_number().over(inside)).join(before, [*by, SPAN], "left")
