@@ -5,6 +5,7 @@ from assay.plans import (  # noqa: F401
     histories,
     lifecycles,
     measuring,
+    recorded,
     rolled,
     scalars,
 )
