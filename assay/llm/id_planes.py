@@ -36,6 +36,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.llm.common import cut_lineage, partitions, running
+from assay.llm.encoding import encoder
 from assay.llm.words import chunks
 
 END_ID = 0
@@ -246,10 +247,9 @@ def write_ids(
         for batch in batches:
             ids, texts = batch.column(0), batch.column(1)
             for first, last in chunks(texts):
-                said = [t or "" for t in texts.slice(first, last - first).to_pylist()]
-                coded = encode(said)
+                coded = encode(texts.slice(first, last - first))
                 for doc_id, found in zip(ids.slice(first, last - first).to_pylist(), coded, strict=True):
-                    file.add(doc_id, np.array([*found, end_id], dtype=np.uint32))
+                    file.add(doc_id, np.append(found, np.uint32(end_id)))
                     if file.ids >= file_ids:
                         yield one(file)
                         number += 1
@@ -271,22 +271,6 @@ def write_ids(
     placed.select("part", "number", "docs", "ids", start).write.parquet(f"{folder}/manifest")
 
 
-_TOKENIZERS: dict[str, object] = {}
-
-
-def encoder(path: str):
-    """Lists of ids for texts, special tokens not added; loaded once for each worker."""
-    if path not in _TOKENIZERS:
-        import os
-
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"  # Spark has a task per core already
-        from tokenizers import Tokenizer
-
-        _TOKENIZERS[path] = Tokenizer.from_file(path)
-    encode = _TOKENIZERS[path].encode_batch_fast
-    return lambda texts: [e.ids for e in encode(texts, add_special_tokens=False)]
-
-
 # Reading
 
 
