@@ -16,8 +16,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from assay.functions.rows import literal_rows
+from assay.functions.text import format_value
 from assay.functions.times import day_number
-from assay.operators.judge import message_of, outcome_of
+from assay.operators.judge import message_of, noun, outcome_of
 from assay.operators.ordered import (
     HOT_ROWS,
     SPAN,
@@ -69,6 +70,7 @@ def baseline_last_runs(samples: DataFrame, runs: int) -> DataFrame:
         F.when(F.count(F.lit(1)) == runs, F.sum(F.col("measured") / runs)).alias("previous"),
         F.count(F.lit(1)).alias("samples"),
         F.min("started_at").alias("oldest"),
+        F.max_by("run_id", F.struct(*ORDER)).alias("run_id"),
         F.max("started_at").alias("started_at"),
     )
 
@@ -76,7 +78,7 @@ def baseline_last_runs(samples: DataFrame, runs: int) -> DataFrame:
 def baselines_for(
     history: DataFrame, suites: Sequence[Suite], now: Column, run_key: str | None = None
 ) -> DataFrame:
-    """(clause_id, previous) for every `change` clause of the suites, read once
+    """`clause_id` and `PREVIOUS` for every `change` clause of the suites, read once
     before a run at `now`. Only values of the clause's own metric count."""
     samples = earlier_samples(history, now, run_key)
     wanted: dict[Change, list[Column]] = {}
@@ -94,9 +96,12 @@ def baselines_for(
             found = baseline_same_weekday(rows, now)
         else:
             found = baseline_last_runs(rows, kind.runs).where(F.col("previous").isNotNull())
-        parts.append(found.select("clause_id", "previous"))
+        if "samples" not in found.columns:
+            found = found.withColumns({"samples": F.lit(1).cast("long"), "oldest": F.col("started_at")})
+        at, run_id = F.col("started_at").alias("previous_at"), F.col("run_id").alias("previous_run")
+        parts.append(found.select("clause_id", "previous", at, run_id, "samples", "oldest"))
     if not parts:
-        return literal_rows(history.sparkSession, "clause_id string, previous double", [])
+        return literal_rows(history.sparkSession, NO_BASELINES, [])
     return reduce(DataFrame.unionByName, parts)
 
 
@@ -197,6 +202,41 @@ def change_relative(current: Column, previous: Column) -> Column:
     return F.when(previous == 0, from_zero).otherwise(over)
 
 
+# What is known of a baseline besides its value: of its newest run, how many runs it is
+# of, and how far back they go.
+PREVIOUS = ("previous", "previous_at", "previous_run", "samples", "oldest")
+
+
+NO_BASELINES = (
+    "clause_id string, previous double, previous_at timestamp, previous_run string, "
+    "samples bigint, oldest timestamp"
+)
+
+
+def story(rows: DataFrame) -> Column:
+    """From what to what a value went, and since when; NULL without both."""
+    kind = rows.schema["previous_at"].dataType
+
+    def minute(name: str) -> Column:
+        time = F.col(name)
+        if kind.typeName() == "timestamp":
+            time = F.to_utc_timestamp(time, F.current_timezone())
+        return F.date_format(time, "yyyy-MM-dd HH:mm")
+
+    unit = F.col("metric_unit")
+    then, now = format_value(unit, F.col("previous")), format_value(unit, F.col("value"), noun())
+    runs = F.col("samples")
+    # The words of messages.
+    mean = F.format_string(
+        "average %s of the last %d runs (%s to %s UTC) → %s",
+        then, runs, minute("oldest"), minute("previous_at"), now,
+    )
+    weekday = F.when(F.col("change") == "same weekday", " (same weekday)").otherwise("")
+    one = F.concat(then, F.lit(" → "), now, F.lit(" since the run of "), minute("previous_at"), F.lit(" UTC"), weekday)
+    both = F.col("value").isNotNull() & F.col("previous").isNotNull() & F.col("previous_at").isNotNull()
+    return F.when(both, F.when(runs > 1, mean).otherwise(one))
+
+
 def judge_changes(
     measured: DataFrame, baselines: DataFrame, rules: DataFrame, problem: str | None = None
 ) -> DataFrame:
@@ -206,13 +246,24 @@ def judge_changes(
     is judged as any missing value; without a baseline the clause is skipped,
     keeping what it measured.
     """
-    joined = rules.join(measured, "clause_id", "left").join(
-        baselines.select("clause_id", "previous"), "clause_id", "left"
-    )
+    known = [c for c in PREVIOUS if c in baselines.columns]
+    rows = rules.join(measured, "clause_id", "left")
+    return judged_changes(rows.join(baselines.select("clause_id", *known), "clause_id", "left"), problem)
+
+
+def judged_changes(rows: DataFrame, problem: str | None = None) -> DataFrame:
+    """The same of rows that hold rule, measured `value` and `previous` side by side.
+
+    Where they also hold `previous_at` (and `samples`, `oldest`), the detail tells from what to
+    what the value went, and since when.
+    """
+    joined = rows
     now, previous = F.col("value"), F.col("previous")
     change = F.when(F.col("relative"), change_relative(now, previous)).otherwise(
         change_absolute(now, previous)
     )
+    if "previous_at" in rows.columns:
+        joined = rows.withColumn("detail", F.coalesce(story(rows), F.col("detail")))
     told = joined.withColumns(
         {
             "measured": now,

@@ -7,6 +7,7 @@ splits a hot key of a shuffled join at run time.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from datetime import date, timedelta
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -15,6 +16,8 @@ from assay.operators.ordered import newest_row
 from assay.sources.results import settled
 
 RUN_ORDER = ("started_at", "run_id")
+# After 2**14 days, 45 years, a page reads all that is left.
+MOST_PROBES = 15
 # The events an alert can be about.
 EVENTS = ("failing", "erroring", "recovered")
 
@@ -119,6 +122,32 @@ def newest_page(
     return rows.orderBy(*[F.col(name).desc() for name in order]).limit(limit)
 
 
+def stored_page(
+    rows: DataFrame,
+    order: Sequence[str],
+    limit: int,
+    newest: date,
+    before: Sequence[Column] | None = None,
+    day: str = "day",
+) -> DataFrame:
+    """`newest_page` of a table partitioned by day, reading the newest days until it is full.
+
+    `newest` is the last day that can hold a row of the page: that of the page's keyset, or today.
+    Ranges of 1, 2, 4, ... days back from it are read until they hold `limit` rows; a page of a
+    busy table reads a day or two of files however long the table is, and no page asks more
+    than `MOST_PROBES` times. Days must rise with the order.
+    """
+    if before is not None:
+        rows = rows.where(older_than(list(zip(order, before, strict=True))))
+    rows = rows.where(F.col(day) <= F.lit(newest))
+    for probe in range(MOST_PROBES):
+        first = newest - timedelta(days=(1 << probe) - 1)
+        recent = rows.where(F.col(day) >= F.lit(first))
+        if len(recent.select(day).limit(limit).collect()) == limit:
+            return newest_page(recent, order, limit)
+    return newest_page(rows, order, limit)
+
+
 def runs_page(
     runs: DataFrame, project: str, limit: int, before: Sequence[Column] | None = None
 ) -> DataFrame:

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.outcomes import known_outcome, outcome_counts, severity, worst_outcome
 from assay.functions.rows import literal_rows
+from assay.functions.text import format_value
 from assay.operators.metrics import metric_named
 from assay.spec import Rule, Suite
 
@@ -19,6 +20,7 @@ _RULE = "{0}_op string, {0}_low double, {0}_high double, {0}_text string"
 RULES = (
     "clause_id string, check_id string, position int, clause_key string, metric string, "
     "expression string, unit string, change string, change_runs int, relative boolean, "
+    "metric_unit string, noun_one string, noun_many string, "
     + ", ".join(_RULE.format(name) for name in ("expect", "warn", "fail"))
 )
 
@@ -32,7 +34,7 @@ def rules_of(spark: SparkSession, suite: Suite) -> DataFrame:
         unit = "percent" if clause.relative_change else metric.unit
         change = clause.change
         row += [clause.expression, unit, change and change.baseline, change and change.runs]
-        row.append(clause.relative_change)
+        row += [clause.relative_change, metric.unit, *(metric.noun or (None, None))]
         for rule in (clause.expect, clause.warn, clause.fail):
             row += list(rule.as_row()) if rule else [None] * len(RULE_PARTS)
         rows.append(row)
@@ -104,6 +106,20 @@ def message_of(value: Column, outcome: Column, detail: Column, error: Column) ->
     )
 
 
+def noun() -> Column:
+    """What the count of a rule's metric counts, one and many."""
+    return F.struct(F.col("noun_one").alias("singular"), F.col("noun_many").alias("plural"))
+
+
+def display_value() -> Column:
+    """A clause's value for people, in its unit; changes with their sign."""
+    unit, value = F.col("unit"), F.col("value")
+    plain = format_value(unit, value, noun())
+    return F.when(F.col("change").isNull(), plain).otherwise(
+        format_value(unit, value, noun(), signed=True)
+    )
+
+
 def judge(measured: DataFrame, rules: DataFrame) -> DataFrame:
     """Clause results: each measured clause with its outcome and message."""
     value, detail, error = F.col("value"), F.col("detail"), F.col("error")
@@ -116,11 +132,12 @@ def judge(measured: DataFrame, rules: DataFrame) -> DataFrame:
 def fold_checks(clauses: DataFrame, *by: str) -> DataFrame:
     """Check results: the worst clause outcome, and the messages of its problems.
 
-    A check of one clause carries that clause's value and message; several
+    A check of one clause carries that clause's value (and `display_value`) and message; several
     clauses are told as `key: message` in written order. A check's clauses are
     as many as its author wrote, so the list per check stays short.
     """
     by = by or ("check_id",)
+    with_text = "display_value" in clauses.columns
     problem = F.when(
         severity(F.col("outcome")) > 0,
         F.struct(
@@ -135,15 +152,18 @@ def fold_checks(clauses: DataFrame, *by: str) -> DataFrame:
         F.count(F.lit(1)).alias("clauses"),
         F.first("value").alias("one_value"),
         F.first("message").alias("one_message"),
+        *([F.first("display_value").alias("one_shown")] if with_text else []),
         F.array_sort(F.collect_list(problem)).alias("problems"),
     )
     single = F.col("clauses") == 1
+    shown = [F.when(single, F.col("one_shown")).otherwise("").alias("display_value")] if with_text else []
     several = F.array_join(F.transform("problems", lambda p: p["text"]), "; ")
     return folded.select(
         *by,
         "outcome",
         "clauses",
         F.when(single, F.col("one_value")).alias("value"),
+        *shown,
         F.when(single, F.col("one_message"))
         .otherwise(F.when(several != "", several))
         .alias("message"),

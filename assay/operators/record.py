@@ -24,7 +24,8 @@ from assay.spec import Suite
 
 # What a list of checks shows of each one's newest result.
 SHOWN = (
-    "name", "dataset", "datasource", "owner", "tags", "source", "expression", "metric", "value", "message",
+    "name", "dataset", "datasource", "owner", "tags", "source", "expression", "metric", "value", "display_value",
+    "message",
 )
 ATTEMPT = ("run_id", "datasource", "dataset")
 SAMPLED = (*samples.KEY, *samples.SAMPLE)

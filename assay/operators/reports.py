@@ -26,12 +26,32 @@ def report_rows(results: DataFrame, clauses: DataFrame) -> DataFrame:
         "message",
         finite(F.col("measured")).alias("measured"),
         "unit",
-        "previous",
+        *(["display_value"] if "display_value" in clauses.columns else []),
+        compared_with(clauses),
     )
     listed = clauses.groupBy("result_id").agg(
         F.array_sort(F.collect_list(clause)).alias("clauses")
     )
-    return results.join(listed, "result_id", "left")
+    # A run's results come with their number of clauses under the same name.
+    return results.drop("clauses").join(listed, "result_id", "left")
+
+
+def compared_with(clauses: DataFrame) -> Column:
+    """What a clause was compared with: value, run, time, baseline and number of runs.
+
+    Clauses that know the value alone have that.
+    """
+    previous = F.col("previous")
+    if not {"previous_run", "previous_at", "samples", "change"} <= set(clauses.columns):
+        return previous
+    known = F.struct(
+        finite(previous).alias("value"),
+        F.col("previous_run").alias("run_id"),
+        F.col("previous_at").alias("started_at"),
+        F.col("change").alias("baseline"),
+        F.col("samples").alias("runs"),
+    )
+    return F.when(previous.isNotNull(), known).alias("previous")
 
 
 def report_junit_counts(results: DataFrame) -> DataFrame:

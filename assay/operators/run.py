@@ -15,14 +15,19 @@ from pyspark.sql import functions as F
 from assay.functions.outcomes import severity
 from assay.functions.predicates import finite
 from assay.functions.rows import literal_rows
-from assay.operators.change import judge_changes
-from assay.operators.judge import fold_checks, judge, rules_of, run_rollup
+from assay.operators.change import NO_BASELINES, judge_changes
+from assay.operators.judge import display_value, fold_checks, judge, rules_of, run_rollup
 from assay.operators.measure import measure, measure_isolated
 from assay.sources.results import cut_lineage
 from assay.spec import Suite
 
-# How many datasets are measured at a time.
+# How many datasets are measured at a time, unless a run says otherwise.
 DATASETS_AT_A_TIME = 8
+# What a clause result keeps of its baseline.
+PREVIOUS_KINDS = {
+    "previous": "double", "previous_at": "timestamp", "previous_run": "string", "samples": "bigint",
+    "oldest": "timestamp",
+}
 
 
 @dataclass(frozen=True)
@@ -43,22 +48,22 @@ def clause_results(
 ) -> DataFrame:
     """A suite's clauses measured on a dataset and judged.
 
-    `baselines` (`clause_id, previous`) is what its `change` clauses compare
+    `baselines` (`clause_id, previous`, and more of `PREVIOUS`) is what its `change` clauses compare
     with; without it they have no earlier result.
     """
     spark = df.sparkSession
     rules = rules_of(spark, suite)
     measured = (measure_isolated if isolate else measure)(df, suite, now)
     plain = judge(measured, rules.where(F.col("change").isNull()))
-    plain = plain.withColumns(
-        {"measured": F.col("value"), "previous": F.lit(None).cast("double")}
-    )
-    if not any(clause.change for _, _, clause in suite.clause_ids()):
-        return plain
-    if baselines is None:
-        baselines = literal_rows(spark, "clause_id string, previous double", [])
-    changed = judge_changes(measured, baselines, rules.where(F.col("change").isNotNull()))
-    return plain.unionByName(changed)
+    nothing = {name: F.lit(None).cast(kind) for name, kind in PREVIOUS_KINDS.items()}
+    plain = plain.withColumns({"measured": F.col("value"), **nothing})
+    if any(clause.change for _, _, clause in suite.clause_ids()):
+        if baselines is None:
+            baselines = literal_rows(spark, NO_BASELINES, [])
+        rows = judge_changes(measured, baselines, rules.where(F.col("change").isNotNull()))
+        missing = {n: c for n, c in nothing.items() if n not in rows.columns}
+        plain = plain.unionByName(rows.withColumns(missing))
+    return plain.withColumn("display_value", display_value())
 
 
 def run_suites(
@@ -71,6 +76,7 @@ def run_suites(
     baselines: DataFrame | None = None,
     fail_on: str = "fail",
     isolate: bool = True,
+    at_a_time: int = DATASETS_AT_A_TIME,
 ) -> RunFrames:
     """One run over several datasets, each measured in its own scan.
 
@@ -82,7 +88,7 @@ def run_suites(
         "project": F.lit(project),
         "started_at": F.lit(now).cast("timestamp"),
     }
-    with ThreadPoolExecutor(DATASETS_AT_A_TIME) as pool:
+    with ThreadPoolExecutor(at_a_time) as pool:
         judged = list(
             pool.map(lambda s: clause_results(s[1], s[0], now, baselines, isolate), suites)
         )

@@ -21,6 +21,7 @@ from assay.functions.rows import literal_rows
 from assay.functions.times import day_number
 from assay.operators.change import (
     ORDER,
+    PREVIOUS,
     baseline_last_runs,
     baseline_previous,
     baseline_same_weekday,
@@ -96,7 +97,7 @@ def advance_samples(
 
 
 WANTED = "clause_id string, metric string, baseline string, runs int"
-FOUND = ("clause_id", "previous", "previous_at", "previous_run", "samples", "oldest")
+FOUND = ("clause_id", *PREVIOUS)
 
 
 def wanted_of(spark, suites: Sequence[Suite]) -> DataFrame:
@@ -202,11 +203,7 @@ def _from_history(asked: DataFrame, history: DataFrame, now: Column, run_key: st
     last = asked.where(F.col("baseline") == "last runs")
     for row in last.select("runs").distinct().collect():
         of_runs = rows.join(last.where(F.col("runs") == row["runs"]), list(KEY), "left_semi")
-        newest = of_runs.groupBy("clause_id").agg(F.max_by("run_id", F.struct(*ORDER)).alias("previous_run"))
-        means = baseline_last_runs(of_runs, row["runs"]).join(newest, "clause_id")
-        found = found.unionByName(
-            means.select(
-                "clause_id", "previous", F.col("started_at").alias("previous_at"), "previous_run", "samples", "oldest"
-            )
-        )
+        at, run_id = F.col("started_at").alias("previous_at"), F.col("run_id").alias("previous_run")
+        means = baseline_last_runs(of_runs, row["runs"])
+        found = found.unionByName(means.select("clause_id", "previous", at, run_id, "samples", "oldest"))
     return found

@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from assay.functions.outcomes import PROBLEM_ORDER, position_in
 from assay.operators import alerts, change, history, lifecycle, ordered, rollups, series, state
-from assay.operators.change import judge_changes
 from assay.operators.judge import rules_of
 from assay.plans.fixtures import STATE, derived, shown, with_tables
 from assay.plans.registry import query
@@ -112,22 +111,18 @@ def change_judge(spark: SparkSession, sf: str) -> DataFrame:
     rule = Rule("between", "-50%", "50%")
     suite = suite_of(Clause("sum", ("q",), rule, change=Change(), name="quantity"))
     found = change.previous_backfill(derived(spark, sf, "clause_history"))
-    place = F.concat_ws("/", F.col("clause_id").cast("string"), "run_id")
     rows = found.select(
-        place.alias("clause_id"),
+        F.col("clause_id").alias("of_clause"),
+        "run_id",
         F.col("measured").alias("value"),
         F.lit(None).cast("string").alias("detail"),
         F.lit(None).cast("string").alias("error"),
         "previous",
+        F.lit("sum").alias("metric"),
     )
-    rules = rows.select("clause_id").withColumn("metric", F.lit("sum")).join(
-        rules_of(spark, suite).drop("clause_id"), "metric"
-    )
-    judged = judge_changes(rows.drop("previous"), rows.select("clause_id", "previous"), rules)
-    parts = F.split("clause_id", "/")
-    return judged.select(
-        parts[0].cast("bigint").alias("clause_id"), parts[1].alias("run_id"), "outcome"
-    )
+    rules = rules_of(spark, suite)
+    judged = change.judged_changes(rows.join(rules, "metric"))
+    return judged.select(F.col("of_clause").alias("clause_id"), "run_id", "outcome")
 
 
 @query(

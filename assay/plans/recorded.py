@@ -2,13 +2,13 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import date, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.functions.outcomes import PROBLEM_ORDER
-from assay.operators import record, rollups, samples, timeline
+from assay.operators import history, record, rollups, samples, state, timeline
 from assay.plans.fixtures import STATE, derived, shown, with_tables
 from assay.plans.registry import query
 from assay.sources.log import Log
@@ -158,3 +158,49 @@ def retry_recorded(spark: SparkSession, sf: str) -> DataFrame:
     return found.groupBy("project").agg(
         F.count(F.lit(1)).alias("results"), F.countDistinct("run_id").alias("runs"), F.sum("value").alias("total")
     )
+
+
+@query(
+    "pages_stored",
+    with_tables("history", "runs", more=STATE)
+    + """, r as (select 'runs' as page, run_id, null::bigint as result_id from runs
+               where project = 'main' and exit_code is not null
+                 and (started_at < timestamp '2000-01-01' or (started_at = timestamp '2000-01-01' and run_id < 'r0000007000'))
+               order by started_at desc, run_id desc limit 50),
+         h as (select 'check' as page, run_id, result_id from history where check_id = 3
+               order by started_at desc, run_id desc limit 25),
+         a as (select 'alerts' as page, run_id, result_id from state where event in ('failing', 'recovered')
+                 and (started_at, run_id, result_id) < (timestamp '2000-01-01', 'r0000007000', 5)
+               order by started_at desc, run_id desc, result_id desc limit 40)
+         select * from r union all select * from h union all select * from a""",
+)
+def pages_stored(spark: SparkSession, sf: str) -> DataFrame:
+    """Pages of runs, of one check's history and of alerts from tables stored by day, here by year."""
+    folder = shared_folder(spark)
+
+    def stored(name: str, rows: DataFrame) -> DataFrame:
+        year = F.trunc(F.col("started_at").cast("date"), "year").alias("day")
+        return cut_lineage_by_day(rows.select("*", year), f"{folder}/{name}")
+
+    runs = stored("runs", derived(spark, sf, "runs"))
+    rows = stored("history", derived(spark, sf, "history").select("check_id", "result_id", "run_id", "started_at", "outcome"))
+    changes = stored("changes", state.state_changes(rows.drop("day")))
+    before = [F.expr("timestamp_ntz '2000-01-01'"), F.lit("r0000007000")]
+    newest = date(2000, 1, 1)
+    wanted = changes.where(F.col("event").isin("failing", "recovered"))
+    parts = [
+        history.stored_page(history.finished(runs, "main"), history.RUN_ORDER, 50, newest, before),
+        history.stored_page(rows.where("check_id = 3"), history.RUN_ORDER, 25, date(2001, 12, 31)),
+        history.stored_page(wanted, (*history.RUN_ORDER, "result_id"), 40, newest, [*before, F.lit(5)]),
+    ]
+    pages = None
+    for name, part in zip(("runs", "check", "alerts"), parts, strict=True):
+        result_id = F.col("result_id") if "result_id" in part.columns else F.lit(None)
+        part = part.select(F.lit(name).alias("page"), "run_id", result_id.cast("bigint").alias("result_id"))
+        pages = part if pages is None else pages.unionByName(part)
+    return pages
+
+
+def cut_lineage_by_day(rows: DataFrame, folder: str) -> DataFrame:
+    rows.write.partitionBy("day").parquet(folder)
+    return rows.sparkSession.read.schema(rows.schema).parquet(folder)

@@ -12,15 +12,17 @@ import os
 import statistics
 import tempfile
 import time
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from assay.operators import change, lifecycle, rollups, series, state
+from assay.operators import change, lifecycle, record, rollups, series, state, timeline
 from assay.operators import history as history_operators
 from assay.plans import catalog
 from assay.plans.fixtures import derived, table
 from assay.plans.measuring import FUSED, clause, values
+from assay.sources.log import Log
 from assay.sources.results import shared_folder
 
 SF_DIR = os.environ.get("BENCH_SF_DIR", "/root/testdata/sf0.1")
@@ -90,14 +92,47 @@ def main() -> None:
     def stored(name: str) -> DataFrame:
         return spark.read.parquet(f"{folder}/{name}")
 
+    # The same as runs are recorded: one table of heads with what the list shows of them.
+    log = Log(spark, f"{folder}/log")
+    shown = million.withColumns(
+        {"name": F.concat(F.lit("check "), F.col("check_id")), "message": F.col("outcome")}
+    )
+    carry = ("name", "message", "value")
+    replayed = timeline.replayed(shown, carry=carry)
+    heads = log.write("heads", timeline.heads_of(replayed, carry).coalesce(1))
+    log.commit(log.snapshot(), replaced=[heads])
+    timeline.binned(timeline.closed_of(replayed)).write.parquet(f"{folder}/closed")
+    before_last = timeline.replayed(shown.where("run_id <> 'r001999'"), carry=carry)
+    timeline.heads_of(before_last, carry).write.parquet(f"{folder}/carried")
+    timeline.closed_of(before_last).write.parquet(f"{folder}/closed_before")
+
     def overview() -> None:
-        """What the published request reads: every head with check, result and run."""
+        """What the published request shows: every check's newest result and state, and their counts."""
+        rows = record.overview(log).toArrow()
+        rows.group_by("outcome").aggregate([("check_id", "count")])
+
+    def overview_joined() -> None:
+        """The same joined from heads, checks, results and runs."""
         rows = history_operators.join_heads(
             stored("heads"), stored("checks"), stored("million"), stored("runs")
         )
         rows.toArrow()
         rollups.status_counts(rows).collect()
 
+    def as_of() -> None:
+        """Every check's state as of a run in the middle of the history."""
+        at = datetime(2023, 11, 14) + timedelta(hours=1000)
+        timeline.as_of(record.overview(log), stored("closed"), at, "r").toArrow()
+
+    def late() -> None:
+        """One late result: what lies after it is replayed."""
+        newest = shown.where("run_id = 'r001998' and check_id = 7").withColumn("run_id", F.lit("r001998late"))
+        both = shown.unionByName(newest.withColumn("result_id", F.lit(-1).cast("long")))
+        moved = timeline.advance(
+            stored("carried"), stored("closed_before"), both.where("run_id = 'r001998late'"), both, carry
+        )
+        run(moved.heads)
+
     setup = time.perf_counter() - began
 
     measured = history.selectExpr(
@@ -117,6 +152,10 @@ def main() -> None:
         "duplicate_count": lambda: values(lines, keys).collect(),
         "orders_suite": lambda: catalog.flagship(spark, SF_DIR).collect(),
         "overview_500_checks": overview,
+        "overview_500_checks_joined": overview_joined,
+        "state_as_of_500_checks": as_of,
+        "late_result_in_1m": late,
+        "replay_1m_results": lambda: run(timeline.replayed(million)),
         "heads_from_1m_results": lambda: run(state.current_heads(million)),
         "advance_heads_by_one_run": lambda: run(state.advance_heads(before, newest, million)),
         "state_changes_1m_results": lambda: run(state.state_changes(million)),
