@@ -150,8 +150,10 @@ def dedup_lines(
 ) -> DataFrame:
     """The documents, text without repeated lines, with counts of lines and dropped ones.
 
-    A text that loses nothing is left as it is, null included.
+    A text that loses nothing is left as it is, null included. Where the documents have a column
+    of the counts' names, case aside, it stays and the counts get names like them.
     """
+    n_lines, n_dropped = fresh(documents, n_lines, n_dropped)
     digest, its_doc, its_text, drops = fresh(documents, "_digest", "_doc", "_text", "_drops")
     lost = dropped_lines(documents, least_chars, least_docs, batches).select(
         F.col("doc_id").alias(its_doc),
@@ -164,9 +166,7 @@ def dedup_lines(
     cut = F.array_join(without(text_lines(F.col("text")), F.col(drops)), "\n")
     text = F.when(F.col(drops).isNull(), F.col("text")).otherwise(cut)
     others = [
-        text.alias(c) if c == "text" else F.col(f"`{c}`")
-        for c in documents.columns
-        if c not in (n_lines, n_dropped)
+        text.alias(c) if c == "text" else F.col(f"`{c}`") for c in documents.columns
     ]
     return joined.select(
         *others,

@@ -115,7 +115,12 @@ def mix(
     seed: int = 1,
     copy: str = "copy",
 ) -> DataFrame:
-    """The mixed documents: each as often as it is taken, numbered from 1 in `copy`."""
+    """The mixed documents: each as often as it is taken, numbered from 1 in `copy`.
+
+    Where the documents have a column of that name, case aside, it stays and the
+    numbers get a name like it.
+    """
+    (copy,) = fresh(documents, copy)
     plan = allotted(documents, weights, share, most, seed)
     same = Window.partitionBy("doc_id", "source", "text_hash").orderBy("copies")
     digest, nth, *own = fresh(documents, "_digest", "_nth", "_doc", "_source", "_text", "_n", "_times")
@@ -127,7 +132,9 @@ def mix(
         F.col("nth").alias(its_nth),
         F.col("copies").alias(times),
     )
-    alike = Window.partitionBy("doc_id", "source", digest).orderBy(F.lit(0))
+    # Rows alike in these may differ in others: a rerun must number them alike.
+    hashed = [F.col(f"`{f.name}`") for f in documents.schema if "map<" not in f.dataType.simpleString()]
+    alike = Window.partitionBy("doc_id", "source", digest).orderBy(F.xxhash64(*hashed))
     rows = documents.withColumn(digest, F.xxhash64("text"))
     rows = rows.withColumn(nth, F.row_number().over(alike))
     joined = rows.join(
@@ -138,5 +145,5 @@ def mix(
         & (F.col(nth) == F.col(its_nth)),
     )
     numbers = F.explode(F.sequence(F.lit(1).cast("long"), F.col(times))).alias(copy)
-    kept = [F.col(f"`{c}`") for c in documents.columns if c.lower() != copy.lower()]
+    kept = [F.col(f"`{c}`") for c in documents.columns]
     return joined.select(*kept, numbers)

@@ -42,7 +42,9 @@ def test_a_mix_repeats_itself_and_numbers_copies(spark):
     df = table(spark, rows)
     one, two = (sorted(map(tuple, mixing.mix(df).collect()), key=str) for _ in range(2))
     assert one == two
-    assert mixing.mix(df).columns == ["doc_id", "source", "text", "_nth", "copy"]
+    # The table has a column of that name, which stays.
+    assert mixing.mix(df).columns == [*df.columns, "copy_"]
+    assert {r["copy"] for r in mixing.mix(df).collect()} == {"c"}
     plan = mixing.allotted(df)
     assert len(one) == plan.agg(F.sum("copies")).first()[0]
     want = Counter()

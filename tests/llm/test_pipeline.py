@@ -66,3 +66,17 @@ def test_stages_keep_columns_and_take_odd_tables(spark):
             out = stage(spark, docs, SF_DIR)
             assert out.columns[: len(docs.columns)] == docs.columns, name
             out.collect()
+
+
+@pytest.mark.parametrize("name", ["n_lines", "N_Dropped", "Copy", "_score", "hash", "place"])
+def test_stages_keep_the_values_of_columns_named_like_their_own(spark, name):
+    said = "a line that is long enough to be dropped where others hold it"
+    rows = [(i, f"text of document number {i} about this and that\n{said}", "en", f"s{i % 2}", 77 + i) for i in range(6)]
+    docs = spark.createDataFrame(rows, f"doc_id long, text string, lang string, source string, {name} long")
+    for stage_name, stage in corpus_pipeline.STAGES:
+        if stage_name.startswith(("language", "n-gram")) and name not in ("_score", "_drops", "hash"):
+            continue  # these add no column of such a name
+        out = stage(spark, docs, SF_DIR)
+        assert out.columns[: len(docs.columns)] == docs.columns
+        got = out.select("doc_id", f"`{name}`").collect()
+        assert got and all(r[1] == 77 + r[0] for r in got), stage_name
