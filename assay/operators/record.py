@@ -10,12 +10,17 @@ hides the dataset's earlier rows; no stored file is rewritten for it.
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
-from datetime import datetime
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from assay.functions.outcomes import worst_outcome
 from assay.operators import samples, timeline
+from assay.operators.judge import run_rollup
+from assay.operators.lifecycle import register_on_result
+from assay.operators.ordered import newest_row
+from assay.operators.resume import answered
 from assay.operators.run import RunFrames, run_suites
 from assay.operators.state import CHANGE, HEAD, ORDER
 from assay.sources.log import AlreadyDone, Conflict, Log, Snapshot
@@ -32,11 +37,16 @@ SAMPLED = (*samples.KEY, *samples.SAMPLE)
 
 
 def record(
-    log: Log, run: RunFrames, *, retry: bool = False, stream: tuple[str, int] | None = None
+    log: Log,
+    run: RunFrames,
+    *,
+    retry: bool = False,
+    stream: tuple[str, int] | None = None,
+    recorded_at: datetime | None = None,
 ) -> Snapshot:
-    """Record a run's rows and move heads, intervals, changes and samples on.
+    """Record a run's rows and move heads, intervals, changes, samples and the registry on.
 
-    With `retry`, rows of the same run and dataset recorded before are replaced. `stream`
+    A check with a result becomes active in the registry. With `retry`, rows of the same run and dataset recorded before are replaced. `stream`
     is a stream's name and the number of its batch, which counts once. When another
     run is recorded meanwhile, what depends on it is worked out again; rows are written once.
     """
@@ -48,6 +58,7 @@ def record(
         log.write("clauses", with_day(keyed), by),
     ]
     new, clauses = log.rows_of(rows[1]), log.rows_of(rows[2])
+    now = F.lit(recorded_at or datetime.now(UTC)).cast("timestamp")
     carry = [c for c in SHOWN if c in new.columns]
     while True:
         base = log.snapshot()
@@ -76,6 +87,13 @@ def record(
         if closed is None:
             at, run_id = (F.col(c).alias(n) for c, n in zip(ORDER, timeline.UNTIL, strict=True))
             closed = heads.limit(0).select("*", at, run_id)
+        if retry:
+            added.append(log.write("runs", _whole_runs(whole, run.runs), by))
+        known = log.read(base, "registry")
+        if known is None:
+            nothing = F.lit(None).cast("string").alias("state"), now.alias("state_since")
+            known = new.limit(0).select("check_id", "name", "dataset", "datasource", *nothing)
+        registry = register_on_result(known, new, now)
         moved = timeline.advance(heads, closed, new, whole, carry, gone)
         added.append(log.write("closed", timeline.binned(moved.closed), ["bin"]))
         added.append(log.write("changes", moved.changes))
@@ -89,13 +107,30 @@ def record(
         else:
             held = samples.advance_samples(held, clauses, rebuilt, every)
         try:
-            return log.commit(
-                base, added, [log.write("heads", moved.heads), log.write("samples", held)], stream
-            )
+            kept = {"heads": moved.heads, "samples": held, "registry": registry}
+            return log.commit(base, added, [log.write(n, df) for n, df in kept.items()], stream)
         except Conflict:
             continue
 
 
+def _whole_runs(results: DataFrame, runs: DataFrame) -> DataFrame:
+    """The rows of retried runs, over the results of all their attempts."""
+    of_run = results.join(runs.select("run_id"), "run_id", "left_semi")
+    totals = run_rollup(of_run, "run_id", "position")
+    counts = {"passed": "pass", "warned": "warn", "failed": "fail", "errored": "error"}
+    whole = totals.select("run_id", "outcome", "exit_code", "total", *[F.col(c).alias(n) for n, c in counts.items()])
+    rest = [c for c in runs.columns if c == "run_id" or c not in whole.columns]
+    return with_day(runs.select(*rest).join(whole, "run_id").select(*runs.columns))
+
+
+def runs(log: Log, snapshot: Snapshot | None = None) -> DataFrame | None:
+    """The recorded runs, each as its last attempt left it."""
+    rows = log.read(snapshot or log.snapshot(), "runs", versions=True)
+    if rows is None:
+        return None
+    return newest_row(rows, ["run_id"], ["version", "total"]).drop("version")
+
+
 def _empty_head(results: DataFrame) -> list[Column]:
     kinds = {name: results.schema["started_at"].dataType for name in ("since", "last_started_at", "last_since")}
     return [
@@ -196,12 +231,39 @@ def run_recorded(
     retry: bool = False,
     stream: tuple[str, int] | None = None,
 ) -> Snapshot:
-    """Measure suites against their baselines and record the run."""
+    """Measure suites against their baselines and record the run.
+
+    A `run_key` names one logical run. If one with that key was recorded before, this goes on
+    with it: datasets it has an answer for are not measured again, those in error are and
+    replace what was recorded of them, and with nothing left to do nothing is recorded.
+    """
+    earlier = None if run_key is None else _attempted(log, project, run_key)
+    if earlier is not None:
+        run_id, now, retry, done = *earlier[:2], True, earlier[2]
+        suites = [(s, df) for s, df in suites if (s.datasource, s.dataset) not in done]
+        if not suites:
+            return log.snapshot()
     known = baselines(log, [suite for suite, _ in suites], now, run_key)
     run = run_suites(suites, now, project=project, run_id=run_id, run_key=run_key, baselines=known)
     return record(log, run, retry=retry, stream=stream)
 
 
+def _attempted(log: Log, project: str, run_key: str) -> tuple[str, datetime, set] | None:
+    """The run recorded under a key: its id, its start, and the datasets it has an answer for."""
+    snapshot = log.snapshot()
+    rows = runs(log, snapshot)
+    if rows is None:
+        return None
+    of_key = rows.where((F.col("project") == project) & (F.col("run_key") == run_key))
+    newest = of_key.orderBy(F.col("started_at").desc(), F.col("run_id").desc()).first()
+    if newest is None:
+        return None
+    results = history(log, snapshot).where((F.col("day") == F.lit(newest["day"])) & (F.col("run_id") == newest["run_id"]))
+    told = results.groupBy(*ATTEMPT).agg(worst_outcome(F.col("outcome")).alias("outcome"))
+    done = {(r["datasource"], r["dataset"]) for r in answered(told).collect()}  # of one run
+    return newest["run_id"], newest["started_at"], done
+
+
 def each_batch(
     log: Log, suite: Suite, name: str, project: str, now: Callable[[int], datetime]
 ) -> Callable[[DataFrame, int], None]:

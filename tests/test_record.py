@@ -187,3 +187,24 @@ def test_frames_of_several_runs_are_recorded_at_once(log):
     assert stored(log) == recomputed(log)
     assert record.intervals(log, log.snapshot()).count() == 4
     assert timeline.UNTIL[0] in record.intervals(log, log.snapshot()).columns
+
+
+def test_a_run_key_goes_on_with_its_run(log):
+    spark = log.spark
+    broken = suite("db.u", Check("broken", [Clause("failed_rows", options={"condition": "1 / (id - id) > 0"})]))
+    both = [(suite(), rows(spark, 5)), (broken, rows(spark, 5))]
+    record.run_recorded(log, both, START, project="p", run_key="k")
+    (first,) = record.runs(log).collect()
+    assert (first.outcome, first.exit_code, first.total, first.errored) == ("error", 2, 5, 1)
+    unreadable = rows(spark, 5).where(F.raise_error(F.lit("measured again")).isNotNull())
+    mended = suite("db.u", Check("broken", [Clause("failed_rows", options={"condition": "id < 0"})]))
+    later = START + timedelta(hours=3)
+    record.run_recorded(log, [(suite(), unreadable), (mended, rows(spark, 5))], later, project="p", run_key="k")
+    (run,) = record.runs(log).collect()
+    assert (run.run_id, run.started_at, run.exit_code, run.total, run.errored) == (first.run_id, START, 0, 5, 0)
+    assert len(record.history(log, log.snapshot()).collect()) == 5 and stored(log) == recomputed(log)
+    version = log.version()
+    record.run_recorded(log, [(suite(), unreadable), (mended, unreadable)], later, project="p", run_key="k")
+    assert log.version() == version
+    registry = log.read(log.snapshot(), "registry").collect()
+    assert len(registry) == 5 and {r.state for r in registry} == {"active"}
