@@ -20,7 +20,7 @@ import tiktoken
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from assay.llm.common import running
+from assay.llm.common import cut_lineage, running
 from assay.llm.words import chunks
 
 VOCABULARY = "/opt/tokenizers/byte_bpe_50k.tiktoken"
@@ -69,7 +69,8 @@ def histogram(lengths: DataFrame) -> DataFrame:
     length whose share is at least q.
     """
     counted = lengths.groupBy("n_tokens").agg(F.count(F.lit(1)).alias("docs"))
-    counted = counted.withColumn("tokens", F.col("docs") * F.col("n_tokens"))
+    # A row per length, written out: it is read twice, and the texts are to be encoded once.
+    counted = cut_lineage(counted.withColumn("tokens", F.col("docs") * F.col("n_tokens")))
     summed = running(
         counted.withColumns({"docs_within": F.col("docs"), "tokens_within": F.col("tokens")}),
         [],
