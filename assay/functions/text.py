@@ -111,10 +111,10 @@ def two_decimals(value: Column) -> Column:
 def format_value(
     unit: Column, value: Column, noun: Column | None = None, signed: bool = False
 ) -> Column:
-    """A measured value for people, by its unit; a dash when there is none.
+    """Text of a value column: whole counts, two decimals of percents, durations in units, else six digits.
 
-    `noun` is a (singular, plural) struct naming what a count counts. A `signed`
-    value shows a plus before a rise, unless it is shown as zero.
+    NULL becomes a dash. The field of `noun` that fits, `singular` or `plural`, follows a count.
+    With `signed`, texts with any digit but 0 get a plus if the value is above 0.
     """
     whole = F.bround(value, 0)
     count = F.format_number(whole, 0)

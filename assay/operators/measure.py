@@ -270,7 +270,7 @@ def measure_isolated(df: DataFrame, suite: Suite, now: datetime) -> DataFrame:
 
     def attempt(ids: list[str]) -> list[tuple]:
         try:
-            return [tuple(r) for r in measure(df, _only(suite, ids), now).collect()]
+            return [tuple(r) for r in measure(df, only(suite, ids), now).collect()]
         except PySparkException as exc:
             if len(ids) == 1:
                 return [(ids[0], None, None, masked(exc))]
@@ -282,7 +282,7 @@ def measure_isolated(df: DataFrame, suite: Suite, now: datetime) -> DataFrame:
     return literal_rows(df.sparkSession, MEASURED, rows)
 
 
-def _only(suite: Suite, ids: Sequence[str]) -> Suite:
+def only(suite: Suite, ids: Sequence[str]) -> Suite:
     """The suite with the clauses of these identities alone."""
     kept: dict[str, list[Clause]] = {}
     for clause_id, check, clause in suite.clause_ids():

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from assay.functions import outcomes, predicates, times
 from assay.functions.rows import literal_rows
 from assay.operators import judge as J
+from assay.operators.footers import measure_files
 from assay.operators.measure import measure, measure_isolated
 from assay.operators.run import clause_results, run_suites
 from assay.plans.fixtures import derived, shown, table, with_tables
@@ -597,6 +598,37 @@ def measure_isolation(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@query(
+    "footer_measures",
+    each(
+        ("avg(l_tax)", "round(avg(l_tax), 4)"),
+        ("max(l_linenumber)", "max(l_linenumber)"),
+        ("min(l_linenumber)", "min(l_linenumber)"),
+        ("min(l_orderkey)", "min(l_orderkey)"),
+        ("missing_count(l_shipdate)", "count(*) - count(l_shipdate)"),
+        ("returned", "count(*) filter (where l_returnflag = 'R')"),
+        ("row_count", "count(*)"),
+        source="lineitem",
+    ),
+)
+def footer_measures(spark: SparkSession, sf: str) -> DataFrame:
+    """Footers answer what they can, one scan the rest."""
+    suite = suite_of(
+        clause("row_count"),
+        clause("missing_count", "l_shipdate"),
+        clause("min", "l_linenumber"),
+        clause("max", "l_linenumber"),
+        clause("min", "l_orderkey"),
+        clause("avg", "l_tax"),
+        clause("row_count", name="returned", where="l_returnflag = 'R'"),
+    )
+    rules = J.rules_of(spark, suite).select("clause_id", "clause_key")
+    measured = measure_files(spark, f"{sf}/lineitem.parquet", suite, NOW)
+    return rules.join(measured, "clause_id").select(
+        F.col("clause_key").alias("clause"), F.round("value", 4).alias("value")
+    )
+
+
 @query(
     "register_metric",
     each(
