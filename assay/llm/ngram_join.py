@@ -29,8 +29,10 @@ Equal sets are one class before anything else. Of a group of near copies not all
 pairs are made: each set is first verified against one pivot of its signatures, a
 set that meets the most others. Signatures that by then hold one component only
 are done. In the others all pairs of different components are compared by bitmaps, a block of sets against
-the rest at a time, and only what may link is given out and verified; so every
-linked pair of different components is met in the end.
+the rest at a time. What leaves a block is which sets may link with any other, a row per set. The shingles of
+those alone are dealt to blocks again and verified there, each pair at the first signature it shares; a
+link joins its components within the block, so only links that join any leave it, and every linked pair of
+different components is met in the end.
 
 * Words are split at ASCII white space, A to Z lower-cased. A set has the distinct
   shingles of five words; a text with fewer words has one, the whole sequence. Null,
@@ -430,25 +432,26 @@ def components_of(
     sigs = signature_rows(documents, windows, percent, common)
     rows = cut_lineage(met_signatures(sigs, classes))
 
-    def linking(pairs: DataFrame) -> DataFrame:
-        nodes = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
+    def sets_of(nodes: DataFrame) -> DataFrame:
         wanted = classes.select("node", "key", "rep", "rep_text")
-        chosen = cut_lineage(wanted.join(nodes, "node", "left_semi"))
+        chosen = cut_lineage(wanted.join(nodes.distinct(), "node", "left_semi"))
         likely = among(documents.select("doc_id", "text"), "doc_id", chosen, "rep")
         # An id may have several texts.
         its = (F.col("doc_id") == F.col("rep")) & (F.xxhash64("text") == F.col("rep_text"))
-        held = cut_lineage(shingle_sets(likely.join(chosen, its)))
-        return cut_lineage(verified(pairs, held, percent))
+        return cut_lineage(shingle_sets(likely.join(chosen, its)))
 
-    pairs = tried = cut_lineage(to_pivots(rows, classes, percent))
+    pairs = cut_lineage(to_pivots(rows, classes, percent))
     if pairs.isEmpty():
         return components(pairs)
-    links = linking(pairs)
+    held = sets_of(pairs.select(F.explode(F.array("a", "b")).alias("node")))
+    links = cut_lineage(verified(pairs, held, percent))
     merged = cut_lineage(components(links))
-    rows = unsettled(rows, merged)
-    pairs = crossing(rows, classes, percent).distinct().join(tried, ["a", "b"], "left_anti")
-    pairs = cut_lineage(pairs)
-    return merged if pairs.isEmpty() else components(links.unionByName(linking(pairs)))
+    rows = cut_lineage(crossing(unsettled(rows, merged), classes, percent).distinct())
+    rows = cut_lineage(apart_signatures(rows))
+    if rows.isEmpty():
+        return merged
+    held = sets_of(rows.select("node"))
+    return components(links.unionByName(cut_lineage(crossing_links(rows, classes, held, percent))))
 
 
 def to_pivots(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
@@ -512,50 +515,133 @@ def unsettled(rows: DataFrame, merged: DataFrame) -> DataFrame:
     return cut_lineage(known.join(spread.where("low <> high").select("sig"), "sig", "left_semi"))
 
 
+#: Classes of a block, and their shingles where these are dealt to it; a class counts as `LIGHT` at least.
 BLOCK = 2048
+LIGHT = 200
 
 
-def crossing(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
-    """a, b: classes of one signature and different components whose bitmaps may agree.
+def in_blocks(rows: DataFrame, weight: Column, size: int) -> DataFrame:
+    """rows with place, block: the classes of a signature in order, a row for every block to go to.
+
+    A block takes classes up to `size` of weight, which none has more of. It holds them and
+    meets all that follow, which go to every block before theirs. So a task holds one
+    block, and a signature with very many classes is many blocks. Most have one.
+    """
+    before = Window.partitionBy("sig").orderBy("node").rowsBetween(Window.unboundedPreceding, -1)
+    place = F.coalesce(F.sum(weight.cast("long")).over(before), F.lit(0))
+    last = F.floor(F.col("place") / size).cast("int")
+    placed = rows.withColumn("place", place)
+    return placed.withColumn("block", F.explode(F.sequence(F.lit(0), last)))
+
 
-    A signature's classes are numbered; those of a block are held and compared with
-    all that follow, which go to every block before theirs. So a task holds one block,
-    and a signature with very many classes is many blocks. Most have one.
+def block_parts(
+    batches: Iterator[pa.RecordBatch], size: int
+) -> Iterator[tuple[int, bool, np.ndarray, pa.RecordBatch]]:
+    """The signature, whether a block begins, which rows it holds, and rows of one block.
+
+    Batches begin with sig, block, place and are sorted by them.
     """
+    key = None
+    for batch in batches:
+        sig, block, place = (batch.column(i).to_numpy() for i in range(3))
+        change = np.flatnonzero((sig[1:] != sig[:-1]) | (block[1:] != block[:-1])) + 1
+        bounds = [0, *change.tolist(), len(sig)]
+        for first, last in zip(bounds[:-1], bounds[1:], strict=True):
+            if first < last:
+                begins = key != (sig[first], block[first])
+                key = (sig[first], block[first])
+                inside = place[first:last] < (key[1] + 1) * size
+                yield key[0], begins, inside, batch.slice(first, last - first)
+
+
+def crossing(rows: DataFrame, classes: DataFrame, percent: int) -> DataFrame:
+    """sig, node, component: classes that may link with one of their signature in another component."""
     bits = classes.select("node", F.col("n_shingles").alias("n"), "bits")
-    place = F.row_number().over(Window.partitionBy("sig").orderBy("node")) - 1
-    placed = rows.select("sig", "node", "component", place.alias("place"))
-    last = F.floor(F.col("place") / BLOCK).cast("int")
-    placed = placed.withColumn("block", F.explode(F.sequence(F.lit(0), last)))
+    placed = in_blocks(rows.select("sig", "node", "component"), F.lit(1), BLOCK)
     dealt = placed.join(bits, "node").select(
         "sig", "block", "place", "node", "component", "n", "bits"
     )
     dealt = dealt.repartition("sig", "block").sortWithinPartitions("sig", "block", "place")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, held = None, None
-        for batch in batches:
-            sig, block, place, node, component, n = (
-                batch.column(i).to_numpy() for i in range(6)
+        held, told = Held(), np.zeros(0, np.int64)
+        for sig, begins, inside, part in block_parts(batches, BLOCK):
+            if begins:
+                held, told = Held(), np.zeros(0, np.int64)
+            node, component, n = (part.column(i).to_numpy() for i in (3, 4, 5))
+            some = np.zeros(len(held.node) + int(inside.sum()), dtype=bool)
+            new = np.zeros(len(node), dtype=bool)
+            for i, j in held.met(node, component, n, part.column(6).to_pylist(), inside, percent):
+                some[i] = new[j] = True
+            # Rows inside are both held and new.
+            found = np.unique(np.concatenate((held.node[some], node[new])))
+            found = found[~np.isin(found, told)]
+            if len(found):
+                told = np.concatenate((told, found))
+                named = np.concatenate((held.node, node)), np.concatenate((held.component, component))
+                order = np.argsort(named[0], kind="stable")
+                at = order[np.searchsorted(named[0], found, sorter=order)]
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(np.full(len(found), sig)), pa.array(found), pa.array(named[1][at])],
+                    ["sig", "node", "component"],
+                )
+
+    return dealt.mapInArrow(run, "sig long, node long, component long")
+
+
+def apart_signatures(rows: DataFrame) -> DataFrame:
+    """The rows of one signature of each set of classes: others of the same classes tell the same pairs.
+
+    Without this a pair of long texts would be dealt for each of its many signatures.
+    """
+    whole = rows.groupBy("sig").agg(
+        F.bit_xor(F.xxhash64("node")).alias("one"),
+        F.bit_xor(F.xxhash64("node", F.lit(1))).alias("two"),
+        F.count(F.lit(1)).alias("many"),
+    )
+    kept = whole.groupBy("one", "two", "many").agg(F.min("sig").alias("sig")).select("sig")
+    return rows.join(kept, "sig", "left_semi")
+
+
+def crossing_links(
+    rows: DataFrame, classes: DataFrame, held: DataFrame, percent: int
+) -> DataFrame:
+    """a, b: links between components, among classes of one signature.
+
+    All that may link are verified, but those that links of the same block joined
+    already, and those that met at a smaller signature. So a block gives out fewer
+    rows than it has components.
+    """
+    size = BLOCK * LIGHT
+    every = rows.groupBy("node").agg(F.sort_array(F.collect_list("sig")).alias("sigs"))
+    bits = classes.select("node", "bits")
+    known = cut_lineage(held.join(bits, "node").join(every, "node"))
+    counts = known.select("node", "n")
+    weight = F.least(F.greatest("n", F.lit(LIGHT)), F.lit(size))
+    placed = in_blocks(rows.join(counts, "node"), weight, size).drop("n")
+    dealt = placed.join(known, "node").select(
+        "sig", "block", "place", "node", "component", "n", "bits", "shingles", "sigs"
+    )
+    dealt = dealt.repartition("sig", "block").sortWithinPartitions("sig", "block", "place")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        block = Verifying(0)
+        for sig, begins, inside, part in block_parts(batches, size):
+            if begins:
+                block = Verifying(sig)
+            node, component, n = (part.column(i).to_numpy() for i in (3, 4, 5))
+            shingles, sigs = (
+                [part.column(i)[k].values.to_numpy() for k in range(len(part))] for i in (7, 8)
             )
-            maps = batch.column(6).to_pylist()
-            change = np.flatnonzero((sig[1:] != sig[:-1]) | (block[1:] != block[:-1])) + 1
-            bounds = [0, *change.tolist(), len(sig)]
-            for first, last in zip(bounds[:-1], bounds[1:], strict=True):
-                if first == last:
-                    continue
-                if key != (sig[first], block[first]):
-                    key, held = (sig[first], block[first]), Held()
-                cut = slice(first, last)
-                inside = place[cut] < (key[1] + 1) * BLOCK
-                found = held.met(node[cut], component[cut], n[cut], maps[first:last], inside, percent)
-                if len(found[0]):
-                    pair = np.sort(np.stack(found), axis=0)
-                    yield pa.RecordBatch.from_arrays(
-                        [pa.array(pair[0]), pa.array(pair[1])], ["a", "b"]
-                    )
+            maps = part.column(6).to_pylist()
+            links = block.links(node, component, n, maps, shingles, sigs, inside, percent)
+            if links:
+                pair = np.sort(np.array(links, dtype=np.int64), axis=1)
+                yield pa.RecordBatch.from_arrays(
+                    [pa.array(pair[:, 0].copy()), pa.array(pair[:, 1].copy())], ["a", "b"]
+                )
 
-    return dealt.mapInArrow(run, "a long, b long")
+    return dealt.mapInArrow(run, "a long, b long").distinct()
 
 
 def folded(maps: list[bytes], words: int) -> np.ndarray:
@@ -573,8 +659,10 @@ class Held:
         self.node = self.component = self.n = np.zeros(0, np.int64)
         self.maps: list[bytes] = []
 
-    def met(self, node, component, n, maps, inside, percent) -> tuple[np.ndarray, np.ndarray]:
-        """Pairs of a held and a new class; then those inside the block are held."""
+    def met(
+        self, node, component, n, maps, inside, percent
+    ) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Those inside the block are held; then places of held and of new classes that may link."""
         before = len(self.node)
         count = int(inside.sum())  # rows come in order, so these are the first
         self.node = np.concatenate((self.node, node[:count]))
@@ -583,7 +671,6 @@ class Held:
         self.maps += maps[:count]
         words = min(map(len, [*self.maps, *maps])) // 8
         ours = folded(self.maps, words)
-        a, b = [], []
         step = max(1, 4_000_000 // (max(len(ours), 1) * words))
         for at in range(0, len(node), step):
             new = slice(at, at + step)
@@ -595,9 +682,73 @@ class Held:
             order = np.arange(at, min(at + step, len(node))) + before
             near &= np.arange(len(ours))[:, None] < order[None, :]
             i, j = np.nonzero(near)
-            a.append(self.node[i])
-            b.append(node[new][j])
-        return np.concatenate(a), np.concatenate(b)
+            yield i, at + j
+
+
+def sharing(lists: list[np.ndarray], i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """Whether the lists number i and j have a value in common, for each pair."""
+    own = np.repeat(np.arange(len(lists)), [len(x) for x in lists])
+    values, place, times = np.unique(np.concatenate(lists), return_inverse=True, return_counts=True)
+    # Values of one list only tell nothing.
+    wanted = np.cumsum(times > 1) - 1
+    several = times[place] > 1
+    own, place = own[several], wanted[place[several]]
+    found = np.zeros(len(i), dtype=bool)
+    for low in range(0, int((times > 1).sum()), 4096):
+        some = (place >= low) & (place < low + 4096)
+        has = np.zeros((len(lists), 4096), dtype=bool)
+        has[own[some], place[some] - low] = True
+        words = np.packbits(has, axis=1).view(np.uint64)
+        for at in range(0, len(i), 50_000):
+            cut = slice(at, at + 50_000)
+            found[cut] |= (words[i[cut]] & words[j[cut]]).any(axis=1)
+    return found
+
+
+class Verifying(Held):
+    """The classes of a block with their shingles, joined as links are found."""
+
+    def __init__(self, sig: int):
+        super().__init__()
+        self.sig = sig
+        self.shingles: list[np.ndarray] = []
+        self.lower: list[np.ndarray] = []
+        self.joined: dict[int, int] = {}
+
+    def root(self, component: int) -> int:
+        last = component
+        while last in self.joined:
+            last = self.joined[last]
+        while component != last:
+            self.joined[component], component = last, self.joined[component]
+        return last
+
+    def roots(self, components: np.ndarray) -> np.ndarray:
+        return np.array([self.root(c) for c in components.tolist()]) if self.joined else components
+
+    def links(self, node, component, n, maps, shingles, sigs, inside, percent) -> list[tuple[int, int]]:
+        """Links of held and new classes that join components."""
+        found = []
+        count = int(inside.sum())
+        lower = [s[: np.searchsorted(s, self.sig)] for s in sigs]
+        self.shingles += shingles[:count]
+        self.lower += lower[:count]
+        for i, j in self.met(node, component, n, maps, inside, percent):
+            if len(i):
+                apart = self.roots(self.component)[i] != self.roots(component)[j]
+                i, j = i[apart], j[apart]
+            if len(i):
+                first = ~sharing([*self.lower, *lower], i, j + len(self.lower))
+                i, j = i[first], j[first]
+            for x, y in zip(i.tolist(), j.tolist(), strict=True):
+                one, two = self.root(int(self.component[x])), self.root(int(component[y]))
+                if one == two:
+                    continue
+                both = len(np.intersect1d(self.shingles[x], shingles[y], assume_unique=True))
+                if both * 100 >= (int(self.n[x]) + int(n[y]) - both) * percent:
+                    self.joined[one] = two
+                    found.append((int(self.node[x]), int(node[y])))
+        return found
 
 
 def linked(documents: DataFrame, percent: int = PERCENT) -> DataFrame:

@@ -51,6 +51,35 @@ def test_a_large_group_of_near_copies_and_a_passage_that_many_share(docs):
     assert joined(docs, rows) == sorted(brute.components(rows), key=str)
 
 
+def test_blocks_give_out_links_that_join_and_no_pairs(docs, monkeypatch):
+    """Of a large group of copies that mostly do not link, pairs stay in the blocks, of which there are many."""
+    rng = random.Random(8)
+    base = [f"w{i}" for i in range(120)]
+    rows = [(i, " ".join(edited(base, rng.choice((0.01, 0.02, 0.03)), rng))) for i in range(500)]
+    rows += [(i, f"{rows[i % 40][1]} {i}") for i in range(500, 520)]
+    seen = []
+
+    def counted(*given, do=ngram_join.crossing_links):
+        links = do(*given)
+        seen.append((given[0].count(), given[0].select("node").distinct().count(), links.count()))
+        return links
+
+    monkeypatch.setattr(ngram_join, "crossing_links", counted)
+    monkeypatch.setattr(ngram_join, "BLOCK", 64)
+    want = sorted(brute.components(rows), key=str)
+    assert joined(docs, rows) == want
+    (_, nodes, links), = seen
+    assert nodes > 100
+    assert links < 4 * nodes
+
+
+def test_pairs_are_verified_at_the_first_signature_they_share():
+    lists = [np.array(x, dtype=np.int64) for x in ([1, 5], [5, 9000], [7], [], range(8000, 9001))]
+    i, j = np.triu_indices(5, 1)
+    want = [bool(set(lists[a].tolist()) & set(lists[b].tolist())) for a, b in zip(i, j, strict=True)]
+    assert ngram_join.sharing(lists, i, j).tolist() == want
+
+
 def test_nulls_empty_texts_ties_and_repeats(docs):
     rows = [(3, None), (4, ""), (5, " \n\t"), (7, "A b"), (6, "a B"), (6, "a B"), (2, "one two three four five"), (1, "one two three four six")]
     want = [(1, 1, 1), (2, 1, 2), (3, 0, 3), (4, 0, 4), (5, 0, 5), (6, 1, 6), (6, 1, 6), (7, 1, 6)]
