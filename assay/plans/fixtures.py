@@ -6,10 +6,14 @@ is that check's result in that run: the history grows with the tables.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from collections.abc import Mapping
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
+from assay.sources.results import settled
+
 TABLES = (
     "region nation customer supplier part orders lineitem events documents "
     "embeddings pages benchmark labels conversations"
@@ -186,14 +190,51 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.schema(_SCHEMAS[path]).parquet(path)
 
 
-def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """A derived table as a DataFrame; checks get their tags as an array."""
-    made = {}
-    for part in _order((name,), []):
+# Lines of so many bytes of Parquet, some half a million, are grouped by one task.
+TASK_BYTES = 8 << 20
+
+
+def lines_by_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The lines dealt by order: grouped, and joined to their runs, where they are.
+
+    Tasks get no more lines as the table grows, so none needs more memory for them.
+    """
+    path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf_dir}/lineitem.parquet")
+    system = path.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf())
+    tasks = system.getContentSummary(path).getLength() // TASK_BYTES + 1
+    tasks = max(tasks, spark.sparkContext.defaultParallelism)
+    return table(spark, sf_dir, "lineitem").repartition(tasks, "l_orderkey")
+
+
+def history_rows(spark: SparkSession, sf_dir: str, *columns: str) -> DataFrame:
+    """Columns of the history, written out: for queries that read it more than once."""
+    return settled(derived(spark, sf_dir, "history").select(*columns))
+
+
+def run_text(number: Column) -> Column:
+    """The id of a run from its number. Texts rank as the numbers do, and are longer to group by."""
+    return F.concat(F.lit("r"), F.lpad(number.cast("string"), 10, "0"))
+
+
+def derived(
+    spark: SparkSession, sf_dir: str, name: str, given: Mapping[str, DataFrame] | None = None
+) -> DataFrame:
+    """A derived table as a DataFrame; checks get their tags as an array.
+
+    `given` holds derived tables that are there already, for queries that use one several times.
+    """
+    made = dict(given or {})
+
+    def make(part: str) -> DataFrame:
+        if part in made:
+            return made[part]
         text = CTES[part]
-        given = [t for t in TABLES if f"from {t} " in f"{text} " or f"join {t} " in f"{text} "]
-        inputs = {t: table(spark, sf_dir, t) for t in given if t not in NEEDS}
-        inputs.update({t: made[t] for t in NEEDS[part]})
+        inputs = {t: table(spark, sf_dir, t) for t in TABLES if f"from {t} " in f"{text} " or f"join {t} " in f"{text} "}
+        inputs = {t: df for t, df in inputs.items() if t not in NEEDS} | {t: make(t) for t in NEEDS[part]}
+        if part == "results":
+            # Written out, as Spark takes a join for as large as the product of its sides.
+            checks = settled(inputs["checks"].select("check_id", "name", "dataset", "datasource"))
+            inputs = {"lineitem": lines_by_order(spark, sf_dir), "checks": checks}
         for source in inputs:
             for word in ("from", "join"):
                 text = text.replace(f"{word} {source} ", f"{word} {{{source}}} ")
@@ -201,7 +242,9 @@ def derived(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
             if text.endswith(f"from {source}"):
                 text = text.removesuffix(source) + f"{{{source}}}"
         made[part] = spark.sql(text, **inputs)
-    df = made[name]
+        return made[part]
+
+    df = make(name)
     if name == "checks":
         tags = F.when(F.col("tag_text") == "", F.array().cast("array<string>"))
         df = df.withColumn("tags", tags.otherwise(F.split("tag_text", ",")))
