@@ -1,5 +1,8 @@
 """How often and by what the plans of history queries deal the lines; nothing is timed."""
 
+import pytest
+
+from assay.plans.catalog import QUERIES
 from assay.plans.fixtures import TASK_BYTES, derived, lines_by_order
 
 SF_DIR = "/root/testdata/sf0.1"
@@ -26,3 +29,12 @@ def test_tasks_get_no_more_lines_as_the_table_grows(spark, monkeypatch):
     few = lines_by_order(spark, SF_DIR).rdd.getNumPartitions()
     monkeypatch.setattr("assay.plans.fixtures.TASK_BYTES", TASK_BYTES // 64)
     assert lines_by_order(spark, SF_DIR).rdd.getNumPartitions() > few
+
+
+@pytest.mark.parametrize(
+    "name",
+    ["join_heads"],
+)
+def test_a_history_read_more_than_once_is_written_out(spark, name):
+    read = QUERIES[name](spark, SMALL).inputFiles()
+    assert not [path for path in read if "lineitem" in path]
