@@ -31,7 +31,7 @@ def test_tasks_get_no_more_lines_as_the_table_grows(spark, monkeypatch):
     assert lines_by_order(spark, SF_DIR).rdd.getNumPartitions() > few
 
 
-@pytest.mark.parametrize("name", ["report_junit_counts", "keyed_run_tally"])
+@pytest.mark.parametrize("name", ["report_junit_counts", "keyed_run_tally", "run_rollup"])
 def test_counts_of_runs_stay_where_their_lines_are(spark, name):
     plan = plan_of(QUERIES[name](spark, SF_DIR))
     assert plan.count("Exchange hashpartitioning") == 1
