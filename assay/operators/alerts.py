@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from assay.operators.history import recorded_after
 from assay.operators.ordered import running
+from assay.sources.results import settled
 
 # An alert is given up on after so many sends, or this long.
 MOST_ATTEMPTS = 5
@@ -109,6 +110,7 @@ def alerts_pending(deliveries: DataFrame, runs: DataFrame, now: Column) -> DataF
         ),
         "run_id",
     )
+    keyed = settled(keyed)  # read three times
     thread = ["project", "run_key", "check_id", "notifier"]
     at = F.struct("started_at", "run_id")
     told = F.struct("event", F.col("sent_at").isNotNull().alias("sent"))

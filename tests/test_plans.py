@@ -44,3 +44,8 @@ def test_counts_of_runs_stay_where_their_lines_are(spark, name):
 def test_a_history_read_more_than_once_is_written_out(spark, name):
     read = QUERIES[name](spark, SMALL).inputFiles()
     assert not [path for path in read if "lineitem" in path]
+
+
+def test_deliveries_of_threads_are_derived_once(spark):
+    read = QUERIES["alerts_pending"](spark, SMALL).inputFiles()
+    assert not [path for path in read if "lineitem" in path]
