@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from assay.operators import alerts, lifecycle, resume, state
-from assay.plans.fixtures import STATE, derived, shown, table, with_tables
+from assay.plans.fixtures import STATE, derived, history_rows, lines_by_order, shown, with_tables
 from assay.plans.histories import VERSIONS, versions_of
 from assay.plans.registry import query
 
@@ -98,7 +98,7 @@ def definitions(spark: SparkSession, sf: str, shift: int, every: bool = False) -
     set), and turns their order round. An order has at most seven lines.
     """
     line, key = F.col("l_linenumber"), F.col("l_orderkey")
-    kept = table(spark, sf, "lineitem")
+    kept = lines_by_order(spark, sf)
     kept = kept if every else kept.where((F.col("l_partkey") + shift) % 6 != 0)
     lines = kept.groupBy(key, line).agg(
         F.max("l_quantity").alias("most"), F.max("l_returnflag").alias("flag")

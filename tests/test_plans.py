@@ -49,3 +49,9 @@ def test_a_history_read_more_than_once_is_written_out(spark, name):
 def test_deliveries_of_threads_are_derived_once(spark):
     read = QUERIES["alerts_pending"](spark, SMALL).inputFiles()
     assert not [path for path in read if "lineitem" in path]
+
+
+def test_definitions_are_grouped_where_their_lines_are(spark):
+    from assay.plans.lifecycles import definitions
+
+    assert plan_of(definitions(spark, SF_DIR, 0)).count("Exchange hashpartitioning") == 1
