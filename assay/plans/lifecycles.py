@@ -277,10 +277,10 @@ def checks_with_notifiers(spark: SparkSession, sf: str) -> DataFrame:
                          and d.notifier = n.notifier and d.event = s.event)""",
 )
 def alerts_to_write(spark: SparkSession, sf: str) -> DataFrame:
-    rows = derived(spark, sf, "history")
-    written = alerts.alerts_to_write(
-        state.state_changes(rows), checks_with_notifiers(spark, sf), derived(spark, sf, "deliveries"), rows
-    )
+    rows = history_rows(spark, sf, "check_id", "result_id", "run_id", "started_at", "outcome", "value", "run_key")
+    changes = state.state_changes(rows.select("check_id", "result_id", "run_id", "started_at", "outcome"))
+    deliveries = derived(spark, sf, "deliveries", {"history": rows})
+    written = alerts.alerts_to_write(changes, checks_with_notifiers(spark, sf), deliveries, rows)
     return written.select("run_id", "check_id", "notifier", "event", "previous_outcome")
 
 
@@ -324,12 +324,10 @@ def delivery_status(spark: SparkSession, sf: str) -> DataFrame:
        left join told t on t.run_id = s.run_id and t.check_id = s.check_id and t.event = s.event where s.event is not null""",
 )
 def join_alerts(spark: SparkSession, sf: str) -> DataFrame:
-    changes = state.state_changes(derived(spark, sf, "history")).select(
-        "result_id", "check_id", "run_id", "event"
-    )
-    joined = alerts.join_alerts(
-        changes, derived(spark, sf, "checks"), derived(spark, sf, "runs"), derived(spark, sf, "deliveries")
-    )
+    rows = history_rows(spark, sf, "check_id", "result_id", "run_id", "started_at", "outcome", "value", "run_key")
+    changes = state.state_changes(rows).select("result_id", "check_id", "run_id", "event")
+    deliveries = derived(spark, sf, "deliveries", {"history": rows})
+    joined = alerts.join_alerts(changes, derived(spark, sf, "checks"), derived(spark, sf, "runs"), deliveries)
     told = F.transform("deliveries", lambda d: F.concat_ws(" ", d["notifier"], d["status"]))
     deliveries = F.coalesce(F.array_join(told, ","), F.lit("-")).alias("deliveries")
     return joined.select("result_id", "name", "event", deliveries)
@@ -361,7 +359,7 @@ def join_outbox(spark: SparkSession, sf: str) -> DataFrame:
          from state s join notified n on n.check_id = s.check_id where s.event is not null""",
 )
 def notification_batches(spark: SparkSession, sf: str) -> DataFrame:
-    rows = derived(spark, sf, "history")
+    rows = history_rows(spark, sf, "check_id", "result_id", "run_id", "started_at", "outcome")
     changes = state.state_changes(rows).drop("result_id")
     told = changes.join(checks_with_notifiers(spark, sf).select("check_id", "notify"), "check_id")
     told = told.withColumn("notifier", F.explode("notify"))
