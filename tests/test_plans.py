@@ -39,7 +39,7 @@ def test_counts_of_runs_stay_where_their_lines_are(spark, name):
 
 @pytest.mark.parametrize(
     "name",
-    ["incremental_state", "join_heads", "report_as_of", "alerts_to_write", "notification_batches", "join_alerts"],
+    ["baselines_stored", "incremental_state", "join_heads", "report_as_of", "alerts_to_write", "notification_batches", "join_alerts"],
 )
 def test_a_history_read_more_than_once_is_written_out(spark, name):
     read = QUERIES[name](spark, SMALL).inputFiles()
