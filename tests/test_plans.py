@@ -1,5 +1,7 @@
 """How often and by what the plans of history queries deal the lines; nothing is timed."""
 
+from itertools import count
+
 import pytest
 
 from assay.plans.catalog import QUERIES
@@ -51,6 +53,18 @@ def test_deliveries_of_threads_are_derived_once(spark):
     assert not [path for path in read if "lineitem" in path]
 
 
+def test_a_written_history_has_the_columns_it_stores_alone(spark, tmp_path, monkeypatch):
+    from assay.plans import files
+    from assay.sources import results
+
+    names = (str(tmp_path / f"f{i}") for i in count())
+    monkeypatch.setattr(results, "shared_folder", lambda _: next(names))
+    files.write_results(spark, SMALL)
+    inputs = [spark.read.parquet(str(p)) for p in tmp_path.iterdir() if not (p / "results").exists()]
+    wide = [df.columns for df in inputs if {"dataset", "expression"} & set(df.columns) and "result_id" in df.columns]
+    assert inputs and not wide, wide
+
+
 def test_definitions_are_grouped_where_their_lines_are(spark):
     from assay.plans.lifecycles import definitions
 
