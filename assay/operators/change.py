@@ -164,26 +164,27 @@ def last_runs_backfill(history: DataFrame, runs: int, hot_rows: int = HOT_ROWS)
     ).select(*history.columns, "previous", "samples")
 
 
-def same_weekday_backfill(history: DataFrame) -> DataFrame:
+def same_weekday_backfill(history: DataFrame, hot_rows: int = HOT_ROWS) -> DataFrame:
     """Every result with its baseline of the same weekday, `previous`.
 
-    The baseline depends on the day alone, so results are first folded to one
-    row per clause and day; the windows run over those.
+    The results of a clause on one weekday are in order in one place, so the first of a
+    day finds its baseline right before it, and the others of the day share it.
     """
-    dtype = history.schema["started_at"].dataType
-    day = F.col("_day")
-    rows = history.withColumn("_day", day_number(F.col("started_at"), dtype))
-    measured = F.col("measured").isNotNull()
+    day = day_number(F.col("started_at"), history.schema["started_at"].dataType)
+    rows = history.withColumn("_weekday", F.pmod(day, F.lit(7)))
+    by = ["clause_id", "_weekday"]
+    hot = hot_keys(rows, by, "started_at", hot_rows)
+    if hot.cuts is None:
+        # Dealt without the samples, which hold the same columns again.
+        rows = rows.repartition(*by)
     sample = F.struct(F.col("measured").alias("value"), *ORDER)
-    days = rows.groupBy("clause_id", "_day").agg(
-        F.max_by(sample, F.when(measured, F.struct(*ORDER))).alias("sample")
-    )
-    weekday = Window.partitionBy("clause_id", F.pmod(day, F.lit(7))).orderBy("_day")
-    before = F.last("sample", ignorenulls=True).over(
-        weekday.rowsBetween(Window.unboundedPreceding, -1)
-    )
-    found = days.select("clause_id", "_day", before.alias("_before"))
-    return rows.join(found, ["clause_id", "_day"], "left").select(
+    before = running(
+        rows, by, ORDER, newest={"_last": F.when(F.col("measured").isNotNull(), sample)}, hot=hot
+    ).drop(SPAN)
+    of_day = day_number(F.col("_last.started_at"), history.schema["started_at"].dataType) == day
+    earlier = F.when(~of_day, F.col("_last"))
+    found = running(before, by, ORDER, newest={"_before": earlier}, inclusive=True, hot=hot)
+    return found.select(
         *history.columns,
         F.col("_before.value").alias("previous"),
         F.col("_before.started_at").alias("previous_at"),

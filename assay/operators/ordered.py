@@ -24,6 +24,8 @@ SPAN = "_span"
 HOT_ROWS = 1_000_000
 # Into so many; only results of one and the same microsecond stay together.
 SPANS = 256
+# Keys are counted together by their hash, and alone only where so many rows have one.
+GROUPS = 4096
 
 
 @dataclass(frozen=True)
@@ -40,11 +42,18 @@ NONE_HOT = HotKeys()
 def hot_keys(df: DataFrame, by: Sequence[str], time: str, hot_rows: int) -> HotKeys:
     """The keys with more rows than `hot_rows`: one counting job, and no more if there are none.
 
-    Cuts are written out, as quantiles may differ when they are computed again.
+    A key has no more rows than all keys of its hash together, and of hashes there are few,
+    so a task gives out few counts however many keys it has seen. Cuts are written out, as
+    quantiles may differ when they are computed again.
     """
-    counts = df.groupBy(*by).agg(F.count(F.lit(1)).alias("_n"))
-    most = counts.agg(F.max("_n")).first()[0]
-    if most is None or most <= hot_rows:
+    n = F.count(F.lit(1)).alias("_n")
+    group = F.pmod(F.hash(*by), F.lit(GROUPS))
+    large = df.groupBy(group.alias("_group")).agg(n).where(F.col("_n") > hot_rows)
+    groups = [r["_group"] for r in large.select("_group").collect()]  # at most GROUPS
+    if not groups:
+        return NONE_HOT
+    counts = df.where(group.isin(*groups)).groupBy(*by).agg(n)
+    if counts.agg(F.max("_n")).first()[0] <= hot_rows:
         return NONE_HOT
     at = micros(F.col(time), df.schema[time].dataType)
     hot = cut_lineage(counts.where(F.col("_n") > hot_rows).select(*by))
@@ -69,6 +78,11 @@ def with_spans(df: DataFrame, by: Sequence[str], time: str, hot: HotKeys, how: s
     return joined.withColumn(SPAN, number).drop("_cuts", "_at")
 
 
+def _spans(by: Sequence[str], hot: HotKeys) -> list[str]:
+    """What windows lie within: with no hot key each key is one, and is not dealt by its span besides."""
+    return list(by) if hot.cuts is None else [*by, SPAN]
+
+
 def running(
     df: DataFrame,
     by: Sequence[str],
@@ -107,7 +121,7 @@ def running(
 
     names = [*newest, *totals]
     cut = hot.cuts is not None
-    inside = Window.partitionBy(*by, SPAN).orderBy(*order)
+    inside = Window.partitionBy(*_spans(by, hot)).orderBy(*order)
     frame = inside.rowsBetween(Window.unboundedPreceding, 0 if inclusive else -1)
     rows = with_spans(df.withColumns(values), by, order[0], hot, "left")
     rows = rows.withColumns({f"_w_{n}": local(n).over(frame) for n in names})
@@ -129,6 +143,26 @@ def running(
     return joined.select(*kept, *[column.alias(n) for n, column in out.items()])
 
 
+def followed(
+    df: DataFrame, by: Sequence[str], order: Sequence[str], names: Sequence[str], hot: HotKeys
+) -> DataFrame:
+    """Add the place in `order` of the row after each row of its key, as `names`; NULL after the last."""
+    inside = Window.partitionBy(*_spans(by, hot)).orderBy(*order)
+    next_of = dict(zip(names, order, strict=True))
+    rows = with_spans(df, by, order[0], hot, "left")
+    rows = rows.withColumns({name: F.lead(column).over(inside) for name, column in next_of.items()})
+    if hot.cuts is None:
+        return rows.drop(SPAN)
+    starts = with_spans(df, by, order[0], hot, "inner").groupBy(*by, SPAN)
+    starts = starts.agg(F.min(F.struct(*order)).alias("_start"))
+    later = F.lead("_start").over(Window.partitionBy(*by).orderBy(SPAN))
+    joined = rows.join(starts.select(*by, SPAN, later.alias("_later")), [*by, SPAN], "left")
+    last = F.col(names[-1]).isNull()
+    held = [name for name in rows.columns if name != SPAN and name not in next_of]
+    ends = {name: F.when(last, F.col("_later")[column]).otherwise(F.col(name)) for name, column in next_of.items()}
+    return joined.select(*held, *[column.alias(name) for name, column in ends.items()])
+
+
 def numbered(
     rows: DataFrame, by: Sequence[str], order: Sequence[str], name: str, hot: HotKeys
 ) -> DataFrame:
@@ -137,7 +171,7 @@ def numbered(
     A window numbers them inside a span, without another shuffle; only spans
     of hot keys have others before them to count.
     """
-    inside = Window.partitionBy(*by, SPAN).orderBy(*order)
+    inside = Window.partitionBy(*_spans(by, hot)).orderBy(*order)
     earlier = Window.partitionBy(*by).orderBy(SPAN).rowsBetween(Window.unboundedPreceding, -1)
     if hot.cuts is None:
         return rows.withColumn(name, F.row_number().over(inside).cast("long")).drop(SPAN)

@@ -305,3 +305,29 @@ def test_heads_shuffle_aggregates_alone(spark, tmp_path):
     spark.createDataFrame(random_history(1), SCHEMA).write.parquet(str(tmp_path / "h"))
     plan = final_plan(state.current_heads(spark.read.parquet(str(tmp_path / "h"))))
     assert "SortMergeJoin" not in plan and "Window" not in plan
+
+
+@pytest.mark.parametrize("hot_rows", [ordered.HOT_ROWS, 3])
+def test_same_weekday_in_one_shuffle_and_of_clauses_cut_in_spans(spark, hot_rows, tmp_path):
+    rows = measures(6)
+    rows += [(99, f"b{i:03d}", START + timedelta(days=7 * (i % 4), minutes=i), float(i) if i % 3 else None) for i in range(80)]
+    spark.createDataFrame(rows, MEASURES).write.parquet(str(tmp_path / "h"))
+    found = change.same_weekday_backfill(spark.read.parquet(str(tmp_path / "h")), hot_rows)
+    if hot_rows == ordered.HOT_ROWS:
+        plan = found._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("FileScan") == 1 and plan.count("Exchange hashpartitioning") == 1, plan
+    got = {(r.clause_id, r.run_id): r for r in found.collect()}
+    assert len(got) == len(rows)
+    for row in rows:
+        wanted = weekday_of(rows, row)
+        assert got[row[0], row[1]].previous == (wanted and wanted[3]), row
+        assert got[row[0], row[1]].previous_run == (wanted and wanted[1]), row
+
+
+def test_keys_are_counted_alone_only_where_many_rows_share_a_hash(spark, monkeypatch):
+    rows = spark.range(300).selectExpr("id % 100 as k", "timestamp_seconds(id) as at")
+    hot = rows.unionAll(spark.range(50).selectExpr("7L as k", "timestamp_seconds(1000 + id) as at"))
+    for groups in (1, 4, ordered.GROUPS):  # keys that share a hash are told apart
+        monkeypatch.setattr(ordered, "GROUPS", groups)
+        assert ordered.hot_keys(rows, ["k"], "at", 3).cuts is None
+        assert [r.k for r in ordered.hot_keys(hot, ["k"], "at", 3).cuts.collect()] == [7]
