@@ -21,7 +21,7 @@ from pyspark.sql import functions as F
 
 from assay.functions.outcomes import ALERTING, is_evaluated, known_outcome
 from assay.functions.times import day_number
-from assay.operators.ordered import HOT_ROWS, NONE_HOT, hot_keys, newest_row, running
+from assay.operators.ordered import HOT_ROWS, NONE_HOT, followed, hot_keys, running
 from assay.operators.state import CHANGE, HEAD, ORDER, event_of
 from assay.sources.results import settled
 
@@ -38,11 +38,11 @@ def replayed(
     carry: Sequence[str] = (),
     hot_rows: int | None = HOT_ROWS,
 ) -> DataFrame:
-    """A row per result: the head it gave its check, its event, and the head `before` it.
+    """A row per result: the head it gave its check, its event, and `UNTIL` where it held; NULL if it still does.
 
-    `seeds` are heads that were there before the first of the results; a check
-    without one starts with its first result. All is one shuffle and one sort by check,
-    unless a check has more than `hot_rows` results; None says that none has.
+    `seeds` are heads that were there before the first of the results; they are among the
+    rows, without an event. A check without one starts with its first result. All is one shuffle
+    and one sort by check, unless a check has more than `hot_rows` results; None says that none has.
     """
     rest = ["check_id", "result_id", *ORDER]
     outcome, seeded = F.col("outcome"), F.col("_seed")
@@ -75,22 +75,21 @@ def replayed(
     alert, unskipped = F.col("basis_alert"), F.col("basis_unskipped")
     alerting, counted = outcome.isin(*ALERTING), outcome != "skipped"
 
+    at = F.col("started_at")
     before = passed(
-        rows,
+        followed(rows, ["check_id"], ORDER, UNTIL, hot),
         False,
-        _evaluated=F.when(seeded, shown).when(evaluated, outcome),
+        _shown=F.when(seeded, shown).when(evaluated, outcome),
+        _shown_at=F.when(seeded, shown_at).when(evaluated, at),
         _outcome=outcome,
         _alert=F.when(seeded, alert).when(alerting, outcome),
         _unskipped=F.when(seeded, unskipped).when(counted, outcome),
     )
-    starts = evaluated & ~outcome.eqNullSafe(F.col("_evaluated"))
+    starts = evaluated & ~outcome.eqNullSafe(F.col("_shown"))
     turns = ~outcome.eqNullSafe(F.col("_outcome"))
-    at = F.col("started_at")
     after = passed(
         before,
         True,
-        _shown=F.when(seeded, shown).when(evaluated, outcome),
-        _shown_at=F.when(seeded, shown_at).when(evaluated, at),
         _shown_since=F.when(seeded, shown_since).when(starts, at),
         _raw_since=F.when(seeded, F.when(~evaluated, F.col("since"))).when(turns, at),
     )
@@ -102,29 +101,27 @@ def replayed(
         "basis_alert": F.when(alerting, outcome).otherwise(F.col("_alert")),
         "basis_unskipped": F.when(counted, outcome).otherwise(F.col("_unskipped")),
     }
-    told = after.select(
+    event = event_of(outcome, F.col("_alert"), F.col("_unskipped"))
+    return after.select(
         *[c for c in HEAD if c not in head],
         *[F.when(seeded, F.col(name)).otherwise(value).alias(name) for name, value in head.items()],
         *carry,
-        "_seed",
-        event_of(outcome, F.col("_alert"), F.col("_unskipped")).alias("event"),
+        F.when(~seeded, event).alias("event"),
         F.when(outcome == "error", F.col("_unskipped")).otherwise(F.col("_alert")).alias(
             "previous_outcome"
         ),
+        *UNTIL,
     )
-    linked = passed(told, False, before=F.struct(*HEAD, *carry))
-    return linked.where(~seeded).drop("_seed")
 
 
 def heads_of(rows: DataFrame, carry: Sequence[str] = ()) -> DataFrame:
     """The head each check has after `replayed` rows."""
-    return newest_row(rows.select(*HEAD, *carry), ["check_id"], ORDER).select(*HEAD, *carry)
+    return rows.where(F.col(UNTIL[1]).isNull()).select(*HEAD, *carry)
 
 
 def closed_of(rows: DataFrame) -> DataFrame:
     """The intervals that `replayed` rows ended."""
-    ended = rows.where(F.col("before").isNotNull())
-    return ended.select("before.*", F.col("started_at").alias(UNTIL[0]), F.col("run_id").alias(UNTIL[1]))
+    return rows.where(F.col(UNTIL[1]).isNotNull()).drop("event", "previous_outcome")
 
 
 def changes_of(rows: DataFrame) -> DataFrame:
@@ -236,14 +233,14 @@ def advance(
         place = F.struct(F.col("first_at").alias("started_at"), F.col("first_run").alias("run_id"))
         until = F.struct(F.col(UNTIL[0]).alias("started_at"), F.col(UNTIL[1]).alias("run_id"))
         around = closed.join(late, "check_id").where((at < place) & (until >= place))
-        seeds = seeds.unionByName(around.select(*HEAD, *carry))
+        # Written out, since all of the stored intervals are read for them.
+        seeds = settled(seeds.unionByName(around.select(*HEAD, *carry)))
     rows = replayed(suffix, seeds, carry, hot_rows=HOT_ROWS if lowest is not None else None)
     rows = settled(rows)
     unmoved = both.where(F.col("first").isNull()).select(*HEAD, *carry)
     # A seed after which nothing is left holds again.
-    newest = heads_of(rows.select(*HEAD, *carry).unionByName(seeds), carry)
     return Moved(
-        unmoved.unionByName(newest),
+        unmoved.unionByName(heads_of(rows, carry)),
         closed_of(rows),
         changes_of(rows),
         late if lowest is not None else None,

@@ -117,3 +117,30 @@ def test_replaying_is_one_shuffle(spark, tmp_path):
     rows = timeline.replayed(spark.read.parquet(str(tmp_path / "h")), hot_rows=None)
     plan = rows._jdf.queryExecution().executedPlan().toString()
     assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") <= 2, plan
+
+
+@pytest.mark.parametrize("hot_rows", [ordered.HOT_ROWS, 6])
+def test_replaying_from_seeds_gives_intervals_and_heads_of_seeds_too(spark, hot_rows):
+    rows = random_history(23, checks=12)
+    history = spark.createDataFrame(rows, SCHEMA)
+    middle = START + timedelta(hours=100)
+    early = timeline.replayed(history.where(F.col("started_at") < F.lit(middle)))
+    late = history.where(F.col("started_at") >= F.lit(middle))
+    rest = timeline.replayed(late, timeline.heads_of(early), hot_rows=hot_rows)
+    assert as_heads(timeline.heads_of(rest)) == sequential(rows)[0]
+    found = timeline.closed_of(early).unionByName(timeline.closed_of(rest)).collect()
+    wanted = timeline.closed_of(timeline.replayed(history)).collect()
+    assert sorted(map(tuple, found), key=str) == sorted(map(tuple, wanted), key=str)
+    told = timeline.changes_of(early).unionByName(timeline.changes_of(rest)).collect()
+    assert {r.result_id: (r.event, r.previous_outcome) for r in told} == sequential(rows)[1]
+
+
+def test_replaying_from_seeds_is_one_shuffle_and_heads_are_no_other(spark, tmp_path):
+    heads = timeline.heads_of(timeline.replayed(spark.createDataFrame(random_history(1), SCHEMA)))
+    heads.write.parquet(str(tmp_path / "heads"))
+    spark.createDataFrame(random_history(2), SCHEMA).write.parquet(str(tmp_path / "h"))
+    history, seeds = (spark.read.parquet(str(tmp_path / n)) for n in ("h", "heads"))
+    rows = timeline.replayed(history, seeds, hot_rows=None)
+    for part in (rows, timeline.heads_of(rows), timeline.closed_of(rows)):
+        plan = part._jdf.queryExecution().executedPlan().toString()
+        assert plan.count("Exchange hashpartitioning") == 1 and plan.count("Sort [") == 1, plan
